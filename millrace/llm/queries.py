@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op7_byte_bpe
 from .near_dedup import op1_minhash_near_dedup
+from .packing import op6_sequence_packing
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op6_sequence_packing": op6_sequence_packing,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
