@@ -98,3 +98,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     return cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+#: Buckets of a key filter; the broadcast holds at most so many numbers.
+FILTER_BUCKETS = 1 << 20
+
+
+def may_match(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``keys``: no row with a match is lost, most others are.
+
+    Only hash buckets are broadcast, at most FILTER_BUCKETS of them whatever the
+    size of ``keys``; with many more keys the filter passes everything.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS))
+    hit = keys.select(bucket.alias("_bucket")).distinct()
+    return df.withColumn("_bucket", bucket).join(F.broadcast(hit), "_bucket", "left_semi").drop("_bucket")

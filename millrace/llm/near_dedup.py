@@ -11,11 +11,12 @@ Plan
      for a chance below 1e-9, see ``LEAST``), so in any common order of the
      values the first ``size - overlap + 1`` of both meet. Ordered rarest
      first, common passages make no lists.
-  4. Lists become groups of at most ``2 * BLOCK`` documents: equal lists once,
-     long lists cut in blocks by hash and set size, blocks meeting only where
-     sizes allow a link. In a group the sketches' overlaps estimate Jaccard by
-     the union sketch, then full sets confirm. A group emits a spanning forest
-     of its links, so output is linear in its documents.
+  4. Lists become groups of at most about ``2 * BLOCK`` documents: equal lists
+     once, long lists cut in blocks by hash that meet pairwise. A pair belongs
+     to the list of its smallest common listed value alone. In a group the
+     sketches' overlaps estimate Jaccard by the union sketch; only documents of
+     pairs that stay get their full sets, which confirm. A group emits a
+     spanning forest of its links, so output is linear in its documents.
   5. Star contraction gives the components.
 
 Defined results: null or wordless texts have an empty set and stay alone; rows
@@ -25,14 +26,13 @@ doc_id count as one node; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, ship, staged, unstage
+from .common import components, may_match, ship, staged, unstage
 from .shingles import shingle_set
 
 K = 64
@@ -88,65 +88,100 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def candidates(v: int, n: np.ndarray, low: list[np.ndarray], marks: np.ndarray, percent: int) -> np.ndarray:
+    """Upper triangle of the pairs that list ``v`` has to verify.
+
+    ``low``: sketches; ``marks``: bit i says that a sketch's value i is listed.
+    A pair belongs to the list of its smallest common listed value alone, and
+    stays if the union sketch does not rule a link out.
+    """
+    both = _overlaps(low)
+    size = np.minimum(n, K)
+    union = np.minimum(K, size[:, None] + size[None, :] - both)
+    least = np.where((n[:, None] > K) | (n[None, :] > K), union * (LEAST / K), 0)
+    sized = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    maybe = np.triu((both >= least) & (both > 0) & sized, 1)
+    if len(n) > 2 and maybe.any():
+        bits = [(m >> np.arange(len(s), dtype=np.uint64) & np.uint64(1)).astype(bool) for m, s in zip(marks, low, strict=True)]
+        smaller = [s[b & (s.view(np.int64) < v)] for s, b in zip(low, bits, strict=True)]
+        maybe &= _overlaps(smaller) == 0
+    elif maybe.any():
+        bits = [(m >> np.arange(len(s), dtype=np.uint64) & np.uint64(1)).astype(bool) for m, s in zip(marks, low, strict=True)]
+        common = np.intersect1d(low[0][bits[0]], low[1][bits[1]], assume_unique=True).view(np.int64)
+        maybe &= not (common < v).any()
+    return maybe
+
+
 def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose Jaccard similarity is at least ``percent`` / 100."""
+    """A spanning forest of the pairs whose Jaccard similarity is at least ``percent`` / 100, on full sets."""
     n = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         if 100 * min(n) < percent * max(n):
             return []
         i = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(int(ids[0]), int(ids[1]))] if 100 * i >= percent * (n.sum() - i) else []
-    # filter: the share of the union's K smallest values that both sketches hold
-    low = [s[:K] for s in sets]
-    both = _overlaps(low)
-    size = np.minimum(n, K)
-    union = np.minimum(K, size[:, None] + size[None, :] - both)
-    least = np.where((n[:, None] > K) | (n[None, :] > K), union * LEAST / K, 0)
-    sized = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    maybe = np.triu((both >= least) & (both > 0) & sized, 1)
-    used = np.flatnonzero(maybe.any(0) | maybe.any(1))
-    if not len(used):
-        return []
-    inter = np.rint(_overlaps([sets[i] for i in used])).astype(np.int64)
-    m = n[used]
-    ok = np.triu(100 * inter >= percent * (m[:, None] + m[None, :] - inter), 1) & maybe[np.ix_(used, used)]
-    root = np.arange(len(used))
+    inter = np.rint(_overlaps(sets)).astype(np.int64)
+    ok = np.triu(100 * inter >= percent * (n[:, None] + n[None, :] - inter), 1)
+    root = np.arange(len(sets))
     out = []
     for a, b in zip(*np.nonzero(ok), strict=True):
         ra, rb = root[a], root[b]
         if ra != rb:
             root[root == rb] = ra
-            out.append((int(ids[used[a]]), int(ids[used[b]])))
+            out.append((int(ids[a]), int(ids[b])))
     return out
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[tuple | None]:
+    """(gid, ids, arrays, rows) of each group of batches sorted by gid and doc_id; None after each batch."""
+    gid, ids, arrays, rest = None, [], [], []
+    for b in batches:
+        g, d = b.column("gid").to_numpy(zero_copy_only=False), b.column("doc_id").to_numpy()
+        s = b.column(lists)
+        off, flat = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
+        more = [b.column(c).to_numpy() for c in b.schema.names if c not in ("gid", "doc_id", lists)]
+        for i in range(b.num_rows):
+            if g[i] != gid:
+                if len(ids) > 1:
+                    yield gid, np.array(ids), arrays, rest
+                gid, ids, arrays, rest = g[i], [], [], []
+            if not ids or ids[-1] != d[i]:
+                ids.append(d[i])
+                arrays.append(flat[off[i] : off[i + 1]].copy())
+                rest.append([m[i] for m in more])
+        yield None
+    if len(ids) > 1:
+        yield gid, np.array(ids), arrays, rest
+    yield None
+
+
+def _filter_groups(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gids, ids = [], []
+        for got in _by_group(batches, "sketch"):
+            if got is None:
+                yield pa.RecordBatch.from_arrays([pa.array(gids, pa.string()), pa.array(ids, pa.int64())], ["gid", "doc_id"])
+                gids, ids = [], []
+                continue
+            gid, docs, low, rest = got
+            v, n, marks = rest[0][0], np.array([r[1] for r in rest], np.int64), np.array([r[2] for r in rest], np.int64).view(np.uint64)
+            maybe = candidates(int(v), n, low, marks, percent)
+            used = np.flatnonzero(maybe.any(0) | maybe.any(1))
+            gids += [gid] * len(used)
+            ids += docs[used].tolist()
+
+    return run
+
+
 def _group_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, ids, sets = None, [], []
         out: list[tuple[int, int]] = []
-
-        def close() -> None:
-            if len(ids) > 1:
-                out.extend(links(np.array(ids), sets, percent))
-
-        def batch() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
-            out.clear()
-            return r
-
-        for b in batches:
-            g, d, s = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(), b.column(2)
-            off, flat = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
-            for i in range(b.num_rows):
-                if g[i] != gid:
-                    close()
-                    gid, ids, sets = g[i], [], []
-                if not ids or ids[-1] != d[i]:
-                    ids.append(d[i])
-                    sets.append(flat[off[i] : off[i + 1]].copy())
-            yield batch()
-        close()
-        yield batch()
+        for got in _by_group(batches, "shingles"):
+            if got is None:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                out = []
+                continue
+            out += links(got[1], got[2], percent)
 
     return run
 
@@ -162,7 +197,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     # rarest first; values that one class alone holds come before all others and need no list
-    ratio = percent / 100
     s = F.least(F.col("n_shingles"), F.lit(K))
     overlap = (F.when(F.col("n_shingles") > K, F.lit(LEAST))
                .otherwise(F.ceil(F.col("n_shingles") * percent / 100.0) - F.greatest(F.lit(0), F.floor(F.col("n_shingles") * 100.0 / percent) - K)))
@@ -170,33 +204,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
               .withColumn("left", s - overlap + 1 - (s - F.size("vs")))
               .where("left > 0")
-              .select("doc_id", "n_shingles", F.explode(F.slice("vs", F.lit(1), F.col("left").cast("int"))).alias("e"))
-              .select("doc_id", "n_shingles", "e.v"))
+              .select("doc_id", "n_shingles", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
     listed = staged(listed, "lists")
-    counts = listed.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    short = (listed.join(counts.where(F.col("c") <= BLOCK), "v").groupBy("v")
+    # with each listed class its sketch, and which of the sketch's values are listed
+    mark = F.aggregate(F.sequence(F.lit(0), F.size("sketch") - 1), F.lit(0).cast("long"),
+                       lambda acc, i: F.when(F.array_contains("vs", F.element_at("sketch", i + 1)), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc))
+    marked = staged(may_match(reps.select("doc_id", "sketch"), listed, "doc_id").join(listed, "doc_id")
+                    .select("doc_id", "n_shingles", "sketch", mark.alias("marks")), "marked")
+    lists = listed.select("doc_id", F.explode("vs").alias("v"))
+    counts = lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    short = (lists.join(counts.where(F.col("c") <= BLOCK), "v").groupBy("v")
              .agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-             .groupBy(F.xxhash64("ids").alias("h"), F.size("ids").alias("l")).agg(F.first("ids").alias("ids"))
-             .select(F.concat_ws(":", "h", "l").alias("gid"), F.explode("ids").alias("doc_id")))
-    # long lists: blocks of (size band, hash); a band meets itself and the next one
+             .groupBy(F.xxhash64("ids").alias("h"), F.size("ids").alias("l")).agg(F.min(F.struct("v", "ids")).alias("m"))
+             .select(F.concat_ws(":", "h", "l").alias("gid"), "m.v", F.explode("m.ids").alias("doc_id")))
+    # long lists: blocks by hash, each of which meets each
     parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1 / ratio)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), parts.cast("long")).cast("int")
-    long = (listed.join(counts.where(F.col("c") > BLOCK), "v")
-            .select("v", "doc_id", band.alias("s"), own.alias("h"), parts.alias("p"))
-            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-            .withColumn("t", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-            .select("doc_id", F.when(F.col("t") == 0, F.concat_ws(":", F.lit("s"), "v", "s", F.least("h", "o"), F.greatest("h", "o")))
-                    .when(F.col("t") == 1, F.concat_ws(":", F.lit("n"), "v", "s", "h", "o"))
-                    .otherwise(F.concat_ws(":", F.lit("n"), "v", F.col("s") - 1, "o", "h")).alias("gid")))
-    groups = staged(short.unionByName(long).select("gid", "doc_id"), "groups")
+    long = (lists.join(counts.where(F.col("c") > BLOCK), "v")
+            .select("v", "doc_id", F.pmod(F.xxhash64("doc_id"), parts.cast("long")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
+            .select(F.concat_ws(":", F.lit("b"), "v", F.least("h", "o"), F.greatest("h", "o")).alias("gid"), "v", "doc_id"))
+    groups = (short.unionByName(long).join(marked, "doc_id").select("gid", "doc_id", "v", "n_shingles", "marks", "sketch")
+              .repartition("gid").sortWithinPartitions("gid", "doc_id"))
+    groups = staged(groups.mapInArrow(_filter_groups(percent), "gid string, doc_id long"), "groups")
     need = groups.select("doc_id").distinct()
-    sets = (docs.where("doc_id is not null").join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = (may_match(docs.where("doc_id is not null"), need, "doc_id").join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
             .mapInArrow(set_batches, "doc_id long, shingles array<long>"))
     edges = (groups.join(sets, "doc_id").select("gid", "doc_id", "shingles").repartition("gid")
              .sortWithinPartitions("gid", "doc_id").mapInArrow(_group_links(percent), "a long, b long"))
     comp = components(edges)
-    unstage(listed, groups)
+    unstage(listed, marked, groups)
     classes = (reps.select("n_shingles", "f1", "f2", F.col("doc_id").alias("node"))
                .join(comp, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component_id")))
     out = base.select("doc_id", "n_shingles", "f1", "f2")
