@@ -6,10 +6,12 @@ from .byte_bpe import op7_byte_bpe
 from .near_dedup import op1_minhash_near_dedup
 from .packing import op6_sequence_packing
 from .quality_rules import OP5_SQL, op5_quality_rules
+from .toxicity import op4_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_sequence_packing": op6_sequence_packing,
     "op7_byte_bpe": op7_byte_bpe,
