@@ -30,6 +30,7 @@ from .common import ship
 #: Pre-tokens that a worker remembers; it starts afresh when they are reached.
 MEMO = 1 << 19
 _LONGEST_KEPT = 64
+_GONE = -1
 
 
 class PerfectHash:
@@ -95,6 +96,9 @@ class ByteBPE:
         for k, s in zip(keys, self.hash.slot_of, strict=True):
             self.ids[s] = ranks[k]
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.byte_id = [ranks[bytes([c])] for c in range(256)]
+        # ids of two parts that make a token: the token's id, which is its rank
+        self.pairs = {ranks[k[:i]] << 20 | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
         self.split = regex.compile(pattern).findall
         self.memo = _Memo(self)
 
@@ -109,31 +113,26 @@ class ByteBPE:
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals, over linked parts."""
-        n = len(piece)
-        end, prev, nxt = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := self.rank(piece[i : i + 2])) >= 0:
-                heap.append((r, i, i + 1, i + 2))
+        n, pair, push = len(piece), self.pairs.get, heapq.heappush
+        ids = [self.byte_id[c] for c in piece]
+        prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [r << 32 | i for i, r in enumerate(map(pair, [a << 20 | b for a, b in zip(ids, ids[1:])])) if r is not None]
         heapq.heapify(heap)
-        alive = bytearray(b"\1") * n
         while heap:
-            _, i, j, e = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and nxt[i] == j and end[j] == e and end[i] == j):
+            x = heapq.heappop(heap)
+            i, r = x & 0xFFFFFFFF, x >> 32
+            j = nxt[i]
+            if j >= n or pair(ids[i] << 20 | ids[j]) != r:  # one of the two has been merged meanwhile
                 continue
-            end[i], nxt[i], alive[j] = e, nxt[j], 0
-            k, p = nxt[i], prev[i]
+            ids[i], ids[j], k, p = r, _GONE, nxt[j], prev[i]
+            nxt[i] = k
             if k < n:
                 prev[k] = i
-                if (r := self.rank(piece[i : end[k]])) >= 0:
-                    heapq.heappush(heap, (r, i, k, end[k]))
-            if p >= 0 and (r := self.rank(piece[p:e])) >= 0:
-                heapq.heappush(heap, (r, p, i, e))
-        out, i = [], 0
-        while i < n:
-            out.append(self.rank(piece[i : end[i]]))
-            i = nxt[i]
-        return out
+                if (s := pair(r << 20 | ids[k])) is not None:
+                    push(heap, s << 32 | i)
+            if p >= 0 and (s := pair(ids[p] << 20 | r)) is not None:
+                push(heap, s << 32 | p)
+        return [i for i in ids if i != _GONE]
 
     def encode(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit integers."""
