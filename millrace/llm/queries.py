@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op7_byte_bpe
 from .html_extract import op3_html_extraction
 from .knn_join import OP2_SQL, op2_knn_join
+from .lm_scoring import op10_lm_scoring
 from .near_dedup import op1_minhash_near_dedup
 from .packing import op6_sequence_packing
 from .quality_rules import OP5_SQL, op5_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_sequence_packing": op6_sequence_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_url_filter": op9_url_filter,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
