@@ -38,7 +38,7 @@ from .shingles import shingle_set
 K = 64
 #: P(Binomial(64, 0.85) < 32) is below 1e-9.
 LEAST = 32
-BLOCK = 512
+BLOCK = 1536
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +96,13 @@ def candidates(v: int, n: np.ndarray, low: list[np.ndarray], marks: np.ndarray,
     stays if the union sketch does not rule a link out.
     """
     both = _overlaps(low)
-    size = np.minimum(n, K)
-    union = np.minimum(K, size[:, None] + size[None, :] - both)
-    least = np.where((n[:, None] > K) | (n[None, :] > K), union * (LEAST / K), 0)
-    sized = 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-    maybe = np.triu((both >= least) & (both > 0) & sized, 1)
+    size = np.minimum(n, K).astype(np.float32)
+    union = np.minimum(np.float32(K), size[:, None] + size[None, :] - both)
+    partial = n > K
+    maybe = np.triu((both > 0) & ((both >= union * np.float32(LEAST / K)) | ~(partial[:, None] | partial[None, :])), 1)
+    low_n = (n * (percent / 100 - 1e-9)).astype(np.float32)  # a filter: a little low, never high
+    m = n.astype(np.float32) * np.float32(1.000001)
+    maybe &= (m[:, None] >= low_n[None, :]) & (m[None, :] >= low_n[:, None])
     if len(n) > 2 and maybe.any():
         bits = [(m >> np.arange(len(s), dtype=np.uint64) & np.uint64(1)).astype(bool) for m, s in zip(marks, low, strict=True)]
         smaller = [s[b & (s.view(np.int64) < v)] for s, b in zip(low, bits, strict=True)]
