@@ -243,5 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one per group of near-duplicates, all columns as they are; rows without a doc_id all stay."""
+    kept = staged(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -36,13 +36,14 @@ ALPHA = 0.005
 DELTA = 0.05
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every row."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", row: Column | None = None) -> DataFrame:
+    """doc_id, stratum and the counts of every row, and ``row`` if given."""
+    extra = [] if row is None else [row.alias("row")]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = F.translate(text, WS, "")
     chars = F.char_length(bare)
     words = F.filter(F.split(F.translate(text, WS, " " * len(WS)), " "), lambda w: w != "")
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("stratum"), chars.alias("word_chars"),
+    df = docs.select(*extra, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("stratum"), chars.alias("word_chars"),
                      (chars - F.char_length(F.translate(bare, SYMBOLS, ""))).alias("n_symbols"),
                      (chars - F.char_length(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_capitals"),
                      F.filter(F.split(text, "\n"), lambda x: F.translate(x, WS, "") != "").alias("lines"), words.alias("w"))
@@ -51,7 +52,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     df = df.withColumn("s", F.expr("CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array(transform(h, (x, i) -> struct(x AS x, i AS i))) END"))
     df = df.withColumn("p", F.expr("sort_array(transform(filter(s, (x, i) -> (i > 0 AND s[greatest(i - 1, 0)].x = x.x) OR (i + 1 < size(s) AND s[least(i + 1, size(s) - 1)].x = x.x)), x -> x.i))"))
     covered = F.expr("coalesce(aggregate(p, struct(0L AS n, -3L AS last), (a, i) -> struct(a.n + least(3L, i - a.last) AS n, cast(i AS bigint) AS last), a -> a.n), 0L)")
-    return df.select("doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"), F.col("n_capitals").cast("long"),
+    return df.select(*(["row"] if extra else []), "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"), F.col("n_capitals").cast("long"),
                      F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"))
 
 
@@ -80,16 +81,27 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     return seen.select("stratum", "n", *out)
 
 
-def judge(docs: DataFrame, labels: DataFrame, **cols: str) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row."""
-    feats = staged(features(docs, **cols), "features")
-    cuts = staged(cutoffs(feats, labels), "cutoffs")  # a row per stratum; its size is known, so Spark chooses the join
+def verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``feats`` with base_failed and kept."""
     bad = F.lit(False)
     for r, (f, _) in RULES.items():
         bad = bad | F.coalesce(F.expr(f) > F.col(f"cut_{r}"), F.lit(False))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (feats.join(cuts, "stratum", "left")
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~bad).alias("kept")))
+    return feats.join(cuts, "stratum", "left").withColumn("base_failed", base).withColumn("kept", ~base & ~bad)
+
+
+def judge(docs: DataFrame, labels: DataFrame, **cols: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row."""
+    feats = staged(features(docs, **cols), "features")
+    cuts = staged(cutoffs(feats, labels), "cutoffs")  # a row per stratum; its size is known, so Spark chooses the join
+    return verdict(feats, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def screen(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are."""
+    feats = staged(features(docs, row=F.struct(*docs.columns)), "features")
+    cuts = staged(cutoffs(feats.drop("row"), labels), "cutoffs")
+    return verdict(feats, cuts).where("kept").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

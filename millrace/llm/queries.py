@@ -9,6 +9,7 @@ from .lm_scoring import op10_lm_scoring
 from .near_dedup import op1_minhash_near_dedup
 from .packing import op6_sequence_packing
 from .quality_rules import OP5_SQL, op5_quality_rules
+from .token_rollup import op8_token_counts
 from .toxicity import op4_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sequence_packing": op6_sequence_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_token_counts": op8_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
 }

@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: tuple[list[str], list[float], float], keep: li
             p = 1 / (1 + np.exp(-np.clip(np.array(got, float), -40, 40)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], [*keep, "score"])
 
-    texts = F.col("text").cast("string").alias("_text")
+    texts = F.col("text").cast("string").alias("_text")  # names that begin with _ are this package's own
     return docs.select(*keep, texts).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
 
 
@@ -222,3 +222,11 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def screen(docs: DataFrame, labels: DataFrame, at_most: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``at_most``, all columns as they are."""
+    ship(docs.sparkSession)
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = fit(typed, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
+    return score(docs, model, docs.columns).where(F.col("score") < at_most).drop("score")
