@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, STEP, DIM, CLASSES = 16, 32, 32, 128
+CONTEXT, STEP, DIM, CLASSES = 16, 32, 16, 96
 WIDTH = CONTEXT + STEP
 _KAPPA_CLASS, _KAPPA_ID = 4.0, 16.0
 
@@ -154,7 +154,7 @@ class Model:
         whole[used] = p["E"]
         p["E"] = whole
 
-    def score(self, texts: list[np.ndarray], batch: int = 512) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], batch: int = 64) -> np.ndarray:
         """log10 probability of each text's ids and its end."""
         if not texts:
             return np.zeros(0)
@@ -175,6 +175,6 @@ class Model:
             z += self.bias[last[place]]
             own = z[np.arange(len(z)), cls[place]].astype(np.float64)
             np.exp(z, out=z)
-            out[place] = own - np.log(z.sum(1, dtype=np.float64))
+            out[place] = own - np.log(z.sum(1))
         out += self.emit[self.classes[last], target]
         return np.add.reduceat(out, np.concatenate(([0], np.cumsum(lengths)[:-1]))) / np.log(10)

@@ -4,8 +4,8 @@ Plan
   1. At most WINDOWS training windows, from at most SAMPLE_DOCS training texts
      chosen by a hash, go to the driver: they fix the id classes and train
      embeddings and attention (see attention_lm). These bounds are the only ones.
-  2. One pass over all training texts counts words (by 64-bit hash) and the
-     model's class tables, merged per task before the shuffle.
+  2. One pass encodes all texts. One over the training texts counts words (by
+     64-bit hash) and the model's class tables, merged per task before the shuffle.
   3. Words counted at least 2**b times, with the least b that leaves at most
      HOT of them, are broadcast as two arrays, and so are the model's tables,
      whose size the vocabulary bounds. One pass scores whole texts: the model's
@@ -34,8 +34,9 @@ from .shingles import word_hashes
 SAMPLE_DOCS = 3000
 WINDOWS = 24_000
 HOT = 1 << 20
-_FLUSH = 6_000_000
-VOCAB, END = 50_257, 50_256
+_FLUSH = 3_000_000
+VOCAB, END = 50_257, 50_256  # ids fit in 16 bits
+_ENDS = np.array([END], "<u2")
 
 
 def _ids(ranks_path: str):
@@ -58,18 +59,35 @@ def _sample_windows(ranks_path: str):
     return run
 
 
-def _count(ranks_path: str, classes: np.ndarray):
+def _encode(ranks_path: str):
+    """Each text with its ids, so that it is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        ids, part, at = _ids(ranks_path), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                piece = batch.slice(s, 512)
+                raw = [ids(t).astype("<u2").tobytes() for t in piece.column("text").to_pylist()]
+                row = pa.array((part << 40) + at + np.arange(len(raw)))
+                at += len(raw)
+                yield pa.RecordBatch.from_arrays([row, *(piece.column(c) for c in ("doc_id", "held_out", "text")), pa.array(raw, pa.binary())], ["row", "doc_id", "held_out", "text", "ids"])
+
+    return run
+
+
+def _count(classes: np.ndarray):
     """(kind, key, n): kind 0 words, 1 (last id, class), 2 (class of last id, id), 3 texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids(ranks_path)
         hashes, tokens, held, docs = [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not docs:
                 return
             h, n = np.unique(np.concatenate(hashes).view(np.int64), return_counts=True)
-            flat = np.concatenate(tokens)
+            flat = np.concatenate(tokens).astype(np.int64)
             a, b = flat[:-1], flat[1:]
             # every text is END, its ids, END; the pair of two ENDs between texts is no event
             real = np.ones(len(a), bool)
@@ -81,10 +99,10 @@ def _count(ranks_path: str, classes: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([h, k1, k2, [0]])), pa.array(np.concatenate([n, n1, n2, [docs]]))], ["kind", "key", "n"])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                h, t = word_hashes(text.encode()), ids(text)
+            for text, raw in zip(batch.column("text"), batch.column("ids"), strict=True):
+                h, t = word_hashes(text.as_buffer().to_pybytes()), np.frombuffer(raw.as_buffer(), "<u2")
                 hashes.append(h)
-                tokens.append(np.r_[END, t, END])
+                tokens.append(np.concatenate([_ENDS, t, _ENDS]))
                 held, docs = held + len(h) + len(t), docs + 1
                 if held >= _FLUSH:
                     yield from flush()
@@ -94,21 +112,17 @@ def _count(ranks_path: str, classes: np.ndarray):
     return run
 
 
-def _score(ranks_path: str, shared):
+def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ids, (model, keys, counts, z, c_end) = _ids(ranks_path), shared.value
-        part, at = TaskContext.get().partitionId(), 0
+        model, keys, counts, z, c_end = shared.value
         log_hot = np.log10((counts + 0.5) / z)
         log_end, log_none = np.log10((c_end + 0.5) / z), np.log10(0.5 / z)
         for batch in batches:
             for s in range(0, batch.num_rows, 128):
                 piece = batch.slice(s, 128)
-                texts = piece.column("text").to_pylist()
                 n, known, base, th, tm = [], [], [], [], []
-                for text in texts:
-                    h, m = np.unique(word_hashes(text.encode()).view(np.int64), return_counts=True)
+                for text in piece.column("text"):
+                    h, m = np.unique(word_hashes(text.as_buffer().to_pybytes()).view(np.int64), return_counts=True)
                     p = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                     hit = keys[p] == h if len(keys) else np.zeros(len(h), bool)
                     n.append(int(m.sum()) + 1)
@@ -116,12 +130,10 @@ def _score(ranks_path: str, shared):
                     base.append(float((m[hit] * log_hot[p[hit]]).sum() + m[~hit].sum() * log_none + log_end))
                     th.append(h[~hit])
                     tm.append(m[~hit])
-                score = model.score([ids(t) for t in texts])
+                score = model.score([np.frombuffer(raw.as_buffer(), "<u2").astype(np.int64) for raw in piece.column("ids")])
                 off = pa.array(np.cumsum([0, *map(len, th)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x).astype(np.int64))) for x in (th, tm)]
-                row = pa.array((part << 40) + at + np.arange(len(texts)))
-                at += len(texts)
-                yield pa.RecordBatch.from_arrays([row, piece.column("doc_id"), piece.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), *lists],
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), *lists],
                                                  ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "th", "tm"])
 
     return run
@@ -145,7 +157,8 @@ def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     starts = np.array([i == END or e.decode_single_token_bytes(i)[:1] == b" " for i in range(VOCAB)])
     model = Model(VOCAB, END, make_classes(x[:, CONTEXT:][scored], y[scored], VOCAB, END, starts))
     # counts over all training texts
-    counts = staged(train.select("text").mapInArrow(_count(ranks_path, model.classes), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    coded = staged(docs.mapInArrow(_encode(ranks_path), "row long, doc_id long, held_out boolean, text string, ids binary"), "encoded")
+    counts = staged(coded.where(~F.col("held_out")).select("text", "ids").mapInArrow(_count(model.classes), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     tables = []
     for kind, wide in ((1, CLASSES), (2, VOCAB)):
         t = counts.where(F.col("kind") == kind).select("key", "n").toArrow()  # at most VOCAB * CLASSES rows
@@ -170,7 +183,8 @@ def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     key, n = hot.column("key").to_numpy(), hot.column("n").to_numpy().astype(np.float64)
     order = np.argsort(key)
     shared = spark.sparkContext.broadcast((model, key[order], n[order], z, c_end))
-    out = staged(docs.mapInArrow(_score(ranks_path, shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, th array<long>, tm array<long>"), "scores")
+    out = staged(coded.mapInArrow(_score(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, th array<long>, tm array<long>"), "scores")
+    unstage(coded)
     log_none = F.lit(float(np.log10(0.5 / z)))
     rest = words.where(F.col("n") < 2**least).select("key", "n")
     more = (out.select("row", F.explode(F.arrays_zip("th", "tm")).alias("t")).select("row", F.col("t.th").alias("key"), F.col("t.tm").alias("m")).join(rest, "key")
