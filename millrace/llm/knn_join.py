@@ -157,7 +157,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     parts = []
 
     def clean(df: DataFrame) -> DataFrame:
-        v = F.transform(F.col(vec_col).cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
+        # from 2**52 on a double is a whole number, and floor() would not hold it
+        v = F.transform(F.col(vec_col).cast("array<double>"), lambda x: F.when(F.abs(x * scale) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(x * scale))
         fine = F.forall(F.col(vec_col).cast("array<double>"), lambda x: F.coalesce((x - x) == 0, F.lit(False)))
         return df.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False)) & (F.size(F.col(vec_col)) > 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 

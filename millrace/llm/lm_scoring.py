@@ -174,7 +174,7 @@ def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     c_end = counts.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, z = n_words + c_end, n_words + c_end + 0.5 * (v_words + (c_end > 0) + 1)
     by_size = words.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("b")).agg(F.count("*").alias("c")).orderBy(F.desc("b")).collect()  # at most 64 rows
-    least, kept = 63, 0
+    least, kept = 62, 0
     for r in by_size:
         if kept + r["c"] > HOT:
             break

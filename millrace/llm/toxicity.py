@@ -39,6 +39,8 @@ LEXICON = ("idiot moron stupid dumb loser scum trash clown pathetic worthless di
 _SEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Lengths in bytes of the beginnings of words that are tried.
 PREFIXES = (4, 5, 6, 7, 8)
+#: Names of columns that no input has.
+_TEXT, _SCORE = "__millrace_text", "__millrace_score"
 PATTERNS = ("addressed", "shouting", "exclaiming")
 
 
@@ -189,13 +191,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     post = label_model(v[:, seen], label)
     # one prior row per voter stands for what its name says; it decides only where the sample has no case
     x = np.vstack([v, np.eye(m), np.zeros((3, m))])
-    y = np.concatenate([post, np.r_[np.ones(len(lexicon)), np.full(len(PATTERNS), 0.5)], np.zeros(3)])
+    y = np.concatenate([post, np.r_[np.ones(len(lexicon)), np.full(len(PATTERNS), 0.1)], np.zeros(3)])
     w, b = fit_linear(x, y)
     return lexicon, w.tolist(), b
 
 
-def score(docs: DataFrame, model: tuple[list[str], list[float], float], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and ``score`` of every row."""
+def score(docs: DataFrame, model: tuple[list[str], list[float], float], keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``out`` of every row."""
     lexicon, weights, bias = model
     keep = keep or ["doc_id"]
     kinds = dict(docs.dtypes)
@@ -203,12 +205,12 @@ def score(docs: DataFrame, model: tuple[list[str], list[float], float], keep: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(lexicon)
         for b in batches:
-            got = [bias + sum(weights[i] for i in voters.votes(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in b.column("_text")]
+            got = [bias + sum(weights[i] for i in voters.votes(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in b.column(_TEXT)]
             p = 1 / (1 + np.exp(-np.clip(np.array(got, float), -40, 40)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], [*keep, out])
 
-    texts = F.col("text").cast("string").alias("_text")  # names that begin with _ are this package's own
-    return docs.select(*keep, texts).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    texts = F.col("text").cast("string").alias(_TEXT)
+    return docs.select(*keep, texts).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` double")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,4 +231,4 @@ def screen(docs: DataFrame, labels: DataFrame, at_most: float = 0.3) -> DataFram
     ship(docs.sparkSession)
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit(typed, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
-    return score(docs, model, docs.columns).where(F.col("score") < at_most).drop("score")
+    return score(docs, model, docs.columns, _SCORE).where(F.col(_SCORE) < at_most).drop(_SCORE)
