@@ -89,7 +89,7 @@ def kl_term(ref: Column, new: Column, longest: Column | float) -> Column:
     def one(r: Column, n: Column) -> Column:
         d = F.nanvl(r - n, F.lit(0.0))
         d = F.least(F.greatest(d, F.lit(-20.0)), F.lit(20.0))
-        return F.exp(d) - d - 1
+        return F.when(r.isNull() | n.isNull(), 0.0).otherwise(F.exp(d) - d - 1)
     return F.coalesce(F.aggregate(F.zip_with(ref, new, one), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))), F.lit(0.0)) / longest
 
 

@@ -198,7 +198,7 @@ def sample_hash(question: Column, path: Column) -> Column:
 def judge_score(c: Column) -> Column:
     """The first integer, held to 0..10, as a share of 10."""
     n = F.regexp_extract(c, r"\d+", 0).try_cast("double")
-    return F.coalesce(F.least(n, F.lit(10.0)) / 10, F.lit(0.0))
+    return F.when(n.isNull(), 0.0).otherwise(F.least(n, F.lit(10.0)) / 10)  # least() would skip a null
 
 
 def preview(c: Column, n: int = 256) -> Column:

@@ -25,46 +25,57 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def over_rollouts(name: str, cols: dict, sql: dict[str, str], source: str = "sr") -> None:
+def over_rollouts(name: str, cols, sql: dict[str, str], source: str = "sr") -> None:
     """A projection of the rollouts."""
     query(name, D.SR + f"SELECT sample_index, traj, {', '.join(f'{e} AS {c}' for c, e in sql.items())} FROM {source}")(
-        lambda spark, d: rollouts(spark, d).select(*KEY, *[c.alias(n) for n, c in cols.items()]))
-
-
-a1, a2, f1, truth, kind = (F.col(c) for c in ("a1", "a2", "f1", "ground_truth", "answer_type"))
-over_rollouts("p1_answer_tags", {"x": T.answer_tag(a1), "has_tag": T.has_answer_tag(a1)}, {"x": D.tag("a1"), "has_tag": D.has_tag("a1")})
-over_rollouts("p2_think_answer_tags", {"x": T.has_think_answer(a1)}, {"x": D.has_think("a1")})
-over_rollouts("p3_boxed", {"x": T.boxed(f1), "think": T.has_think_boxed(f1)}, {"x": D.boxed("f1"), "think": r"regexp_matches(f1, '(?is)<think>.*?</think>.*?\\boxed\{.*?\}')"})
-over_rollouts("p4_extract_answer", {"loose": T.extract(a1, kind), "strict": T.extract(a1, kind, strict=True)}, {"loose": D.extract("a1", "answer_type"), "strict": D.extract("a1", "answer_type", True)})
-over_rollouts("p5_atomic_answer", {"x": T.atomic(T.answer_tag(a2), kind)}, {"x": D.atomic(f"({D.tag('a2')})", "answer_type")})
-over_rollouts("p6_mcq_letter", {"x": T.mcq_letter(a1)}, {"x": D.mcq("a1")})
-over_rollouts("p7_yesno", {"x": T.yesno(a1), "hedge": T.hedging(F.concat(F.lit("Maybe "), a1))}, {"x": D.yesno("a1"), "hedge": D.hedge("concat('Maybe ', a1)")})
-over_rollouts("p8_numeric", {"x": T.numeric(a1), "w": T.numeric(F.replace(a1, F.lit("2"), F.lit("two")), True)}, {"x": D.numeric("a1", False), "w": D.numeric("replace(a1, '2', 'two')", True)})
-over_rollouts("p9_letter_and_text", {"letter": T.letter_and_text(a1)[0], "txt": T.letter_and_text(a1)[1]}, {
+        lambda spark, d: rollouts(spark, d).select(*KEY, *[x.alias(n) for n, x in cols().items()]))
+
+
+
+
+class _Columns:
+    """Columns of the judged rollouts by short names; made when asked for, as they need a session."""
+
+    _of = {"a1": "a1", "a2": "a2", "f1": "f1", "truth": "ground_truth", "kind": "answer_type"}
+
+    def __getattr__(self, name: str):
+        return F.col(self._of[name]) if name in self._of else F.col(f"{name}.verdict") == CORRECT
+
+
+c = _Columns()
+over_rollouts("p1_answer_tags", lambda: {"x": T.answer_tag(c.a1), "has_tag": T.has_answer_tag(c.a1)}, {"x": D.tag("a1"), "has_tag": D.has_tag("a1")})
+over_rollouts("p2_think_answer_tags", lambda: {"x": T.has_think_answer(c.a1)}, {"x": D.has_think("a1")})
+over_rollouts("p3_boxed", lambda: {"x": T.boxed(c.f1), "think": T.has_think_boxed(c.f1)}, {"x": D.boxed("f1"), "think": r"regexp_matches(f1, '(?is)<think>.*?</think>.*?\\boxed\{.*?\}')"})
+over_rollouts("p4_extract_answer", lambda: {"loose": T.extract(c.a1, c.kind), "strict": T.extract(c.a1, c.kind, strict=True)}, {"loose": D.extract("a1", "answer_type"), "strict": D.extract("a1", "answer_type", True)})
+over_rollouts("p5_atomic_answer", lambda: {"x": T.atomic(T.answer_tag(c.a2), c.kind)}, {"x": D.atomic(f"({D.tag('a2')})", "answer_type")})
+over_rollouts("p6_mcq_letter", lambda: {"x": T.mcq_letter(c.a1)}, {"x": D.mcq("a1")})
+over_rollouts("p7_yesno", lambda: {"x": T.yesno(c.a1), "hedge": T.hedging(F.concat(F.lit("Maybe "), c.a1))}, {"x": D.yesno("a1"), "hedge": D.hedge("concat('Maybe ', a1)")})
+over_rollouts("p8_numeric", lambda: {"x": T.numeric(c.a1), "w": T.numeric(F.replace(c.a1, F.lit("2"), F.lit("two")), True)}, {"x": D.numeric("a1", False), "w": D.numeric("replace(a1, '2', 'two')", True)})
+over_rollouts("p9_letter_and_text", lambda: {"letter": T.letter_and_text(c.a1)[0], "txt": T.letter_and_text(c.a1)[1]}, {
     "letter": rf"CASE WHEN {D.two(D.strip('a1'), r'(?s)(?:\(([A-Fa-f])\)\s*|([A-Fa-f])\.\s*)(.*)').replace('$$', '')} <> '' THEN {D.two(D.strip('a1'), r'(?s)(?:\(([A-Fa-f])\)\s*|([A-Fa-f])\.\s*)(.*)')} ELSE {D.mcq(D.strip('a1'))} END",
     "txt": D.strip(rf"regexp_extract({D.strip('a1')}, '(?s)(?:\(([A-Fa-f])\)\s*|([A-Fa-f])\.\s*)(.*)', 3)")})
-over_rollouts("p10_normalize_answer", {"x": T.normalize_answer(truth)}, {"x": "regexp_replace(rtrim(lower(ground_truth), '.,;:'), '^\\((.*)\\)$', '\\1')"})
-over_rollouts("p11_answer_portion", {"x": T.answer_portion(F.concat(F.lit("Thought: t\nAnswer: "), truth, F.lit("\nRationale: r")))}, {"x": D.strip("ground_truth")})
-over_rollouts("p12_sentence_number", {"x": T.sentence_number(a1)}, {"x": D.sentence_number("a1")})
-over_rollouts("p13_normalize_text", {"x": T.normalize_text(a1), "n": F.size(T.token_set(a1))}, {"x": D.norm("a1"), "n": f"CAST(len(list_distinct(list_filter(string_split({D.norm('a1')}, ' '), lambda w: w <> ''))) AS INTEGER)"})
-over_rollouts("p14_parse_number", {"x": T.parse_number(truth), "y": F.round(T.parse_number(F.concat(T.numeric(truth), F.lit("/7"))), 6), "z": T.parse_number(F.concat(F.lit("1,"), F.lpad(T.numeric(truth), 3, "0"), F.lit("%")))},
+over_rollouts("p10_normalize_answer", lambda: {"x": T.normalize_answer(c.truth)}, {"x": "regexp_replace(rtrim(lower(ground_truth), '.,;:'), '^\\((.*)\\)$', '\\1')"})
+over_rollouts("p11_answer_portion", lambda: {"x": T.answer_portion(F.concat(F.lit("Thought: t\nAnswer: "), c.truth, F.lit("\nRationale: r")))}, {"x": D.strip("ground_truth")})
+over_rollouts("p12_sentence_number", lambda: {"x": T.sentence_number(c.a1)}, {"x": D.sentence_number("a1")})
+over_rollouts("p13_normalize_text", lambda: {"x": T.normalize_text(c.a1), "n": F.size(T.token_set(c.a1))}, {"x": D.norm("a1"), "n": f"CAST(len(list_distinct(list_filter(string_split({D.norm('a1')}, ' '), lambda w: w <> ''))) AS INTEGER)"})
+over_rollouts("p14_parse_number", lambda: {"x": T.parse_number(c.truth), "y": F.round(T.parse_number(F.concat(T.numeric(c.truth), F.lit("/7"))), 6), "z": T.parse_number(F.concat(F.lit("1,"), F.lpad(T.numeric(c.truth), 3, "0"), F.lit("%")))},
               {"x": D.parse_number("ground_truth"), "y": f"round({D.parse_number(f"concat({D.numeric('ground_truth', False)}, '/7')")}, 6)", "z": D.parse_number(f"concat('1,', lpad({D.numeric('ground_truth', False)}, 3, '0'), '%')")})
-over_rollouts("p15_answer_type", {"x": T.answer_type(F.lit("What is it?"), truth, F.lit("")), "y": T.answer_type(F.concat(F.lit("Which? "), truth, F.lit(" one")), F.lit("q"), F.lit(""))}, {
+over_rollouts("p15_answer_type", lambda: {"x": T.answer_type(F.lit("What is it?"), c.truth, F.lit("")), "y": T.answer_type(F.concat(F.lit("Which? "), c.truth, F.lit(" one")), F.lit("q"), F.lit(""))}, {
     "x": rf"CASE WHEN lower(ground_truth) IN ('yes', 'no', 'y', 'n', 'true', 'false') THEN 'yesno' WHEN regexp_matches(lower(ground_truth), '^[a-f]$') THEN 'mcq' WHEN ({D.num("replace(ground_truth, ',', '')")}) IS NOT NULL THEN 'numeric' ELSE 'open' END",
     "y": r"CASE WHEN regexp_matches(concat('Which? ', ground_truth, ' one'), '(?i)\([A-F]\)\s*\w+') THEN 'mcq' ELSE 'open' END"})
-over_rollouts("p16_category_type", {"x": T.category_type(F.when(kind == "yesno", "yes_no").otherwise(F.concat(kind, F.lit(""))), F.lit("fallback"))}, {"x": "CASE answer_type WHEN 'mcq' THEN 'mcq' WHEN 'yesno' THEN 'yesno' WHEN 'counting' THEN 'counting' ELSE 'fallback' END"})
-over_rollouts("p17_completion_text", {"x": T.completion_text(F.array(T.message("user", f1), T.message("assistant", a1), T.message("assistant", a2))), "y": T.completion_text(F.array(T.message("user", a1), T.message("tool", a2)))}, {"x": "a1", "y": "concat(a1, ' ', a2)"})
-over_rollouts("p19_choices", {"x": T.choices_of(F.concat(F.lit("Pick:\n(A) red one\n(B) "), truth))}, {"x": r"list_aggregate(list_transform(regexp_extract_all(concat('Pick:' || chr(10) || '(A) red one' || chr(10) || '(B) ', ground_truth), '\([A-F]\)\s*[^()\n]+'), lambda m: regexp_replace(m, '^\s+|\s+$', '', 'g')), 'string_agg', ', ')"})
-over_rollouts("p20_image_path", {"x": T.image_path(F.lit(""), F.array(F.concat(F.lit("d/"), F.col("traj").cast("string"), F.lit(".png"))), "/base"), "y": T.image_path(F.lit("/abs.png"), F.array().cast("array<string>"), "/base")}, {"x": "concat('/base/d/', CAST(traj AS VARCHAR), '.png')", "y": "'/abs.png'"})
-over_rollouts("p21_record_truth", {"x": T.record_truth(T.extract(truth, F.lit("mcq"))), "question": T.clean_question(F.concat(F.lit(" <image> What? "), kind))}, {"x": f"regexp_replace({D.extract('ground_truth', chr(39) + 'mcq' + chr(39))}, '^([A-Za-z])$', '(\\1)')", "question": "concat('What? ', answer_type)"})
-over_rollouts("p22_question_template", {"x": F.format_string("How many %s are there in image %d?", F.col("dataset_name"), F.col("sample_index"))}, {"x": "printf('How many %s are there in image %d?', dataset_name, sample_index)"})
-over_rollouts("p23_prompts", {"x": T.refiner_prompt(F.lit("Q?"), a1, f1)[0]["content"], "n": F.size(T.with_completion(T.answer_prompt(F.lit("Q?")), a1)), "c": T.critic_prompt(F.lit("Q?"), a1, F.lit(""))[0]["content"]},
+over_rollouts("p16_category_type", lambda: {"x": T.category_type(F.when(c.kind == "yesno", "yes_no").otherwise(F.concat(c.kind, F.lit(""))), F.lit("fallback"))}, {"x": "CASE answer_type WHEN 'mcq' THEN 'mcq' WHEN 'yesno' THEN 'yesno' WHEN 'counting' THEN 'counting' ELSE 'fallback' END"})
+over_rollouts("p17_completion_text", lambda: {"x": T.completion_text(F.array(T.message("user", c.f1), T.message("assistant", c.a1), T.message("assistant", c.a2))), "y": T.completion_text(F.array(T.message("user", c.a1), T.message("tool", c.a2)))}, {"x": "a1", "y": "concat(a1, ' ', a2)"})
+over_rollouts("p19_choices", lambda: {"x": T.choices_of(F.concat(F.lit("Pick:\n(A) red one\n(B) "), c.truth))}, {"x": r"list_aggregate(list_transform(regexp_extract_all(concat('Pick:' || chr(10) || '(A) red one' || chr(10) || '(B) ', ground_truth), '\([A-F]\)\s*[^()\n]+'), lambda m: regexp_replace(m, '^\s+|\s+$', '', 'g')), 'string_agg', ', ')"})
+over_rollouts("p20_image_path", lambda: {"x": T.image_path(F.lit(""), F.array(F.concat(F.lit("d/"), F.col("traj").cast("string"), F.lit(".png"))), "/base"), "y": T.image_path(F.lit("/abs.png"), F.array().cast("array<string>"), "/base")}, {"x": "concat('/base/d/', CAST(traj AS VARCHAR), '.png')", "y": "'/abs.png'"})
+over_rollouts("p21_record_truth", lambda: {"x": T.record_truth(T.extract(c.truth, F.lit("mcq"))), "question": T.clean_question(F.concat(F.lit(" <image> What? "), c.kind))}, {"x": f"regexp_replace({D.extract('ground_truth', chr(39) + 'mcq' + chr(39))}, '^([A-Za-z])$', '(\\1)')", "question": "concat('What? ', answer_type)"})
+over_rollouts("p22_question_template", lambda: {"x": F.format_string("How many %s are there in image %d?", F.col("dataset_name"), F.col("sample_index"))}, {"x": "printf('How many %s are there in image %d?', dataset_name, sample_index)"})
+over_rollouts("p23_prompts", lambda: {"x": T.refiner_prompt(F.lit("Q?"), c.a1, c.f1)[0]["content"], "n": F.size(T.with_completion(T.answer_prompt(F.lit("Q?")), c.a1)), "c": T.critic_prompt(F.lit("Q?"), c.a1, F.lit(""))[0]["content"]},
               {"x": "concat('Question: Q?', chr(10), chr(10), 'Earlier answer: ', a1, chr(10), chr(10), 'Feedback: ', f1)", "n": "2", "c": "concat('Question: Q?', chr(10), chr(10), 'Answer: ', a1)"})
-over_rollouts("p24_sample_hash", {"x": T.sample_hash(a1, F.col("dataset_name"))}, {"x": "substr(sha256(concat(a1, '|', dataset_name)), 1, 16)"})
-over_rollouts("p25_judge_score", {"x": T.judge_score(F.concat(F.lit("Score: "), (F.col("sample_index") % 14).cast("string")))}, {"x": "least(sample_index % 14, 10) / 10.0"})
-over_rollouts("p26_preview", {"x": T.preview(F.concat(F.lit("  "), F.repeat(a1, 20)), 64)}, {"x": f"substr({D.strip("repeat(a1, 20)")}, 1, 64)"})
-over_rollouts("p27_clean_atomic", {"x": T.clean_atomic(T.answer_tag(a1), kind)}, {"x": D.clean_atomic(f"({D.tag('a1')})", "answer_type")})
-over_rollouts("p29_edit_distance", {"x": F.round(N.edit_distance(a1, a2), 6)}, {"x": f"round({D.edit('a1', 'a2')}, 6)"})
+over_rollouts("p24_sample_hash", lambda: {"x": T.sample_hash(c.a1, F.col("dataset_name"))}, {"x": "substr(sha256(concat(a1, '|', dataset_name)), 1, 16)"})
+over_rollouts("p25_judge_score", lambda: {"x": T.judge_score(F.concat(F.lit("Score: "), (F.col("sample_index") % 14).cast("string")))}, {"x": "least(sample_index % 14, 10) / 10.0"})
+over_rollouts("p26_preview", lambda: {"x": T.preview(F.concat(F.lit("  "), F.repeat(c.a1, 20)), 64)}, {"x": f"substr({D.strip("repeat(a1, 20)")}, 1, 64)"})
+over_rollouts("p27_clean_atomic", lambda: {"x": T.clean_atomic(T.answer_tag(c.a1), c.kind)}, {"x": D.clean_atomic(f"({D.tag('a1')})", "answer_type")})
+over_rollouts("p29_edit_distance", lambda: {"x": F.round(N.edit_distance(c.a1, c.a2), 6)}, {"x": f"round({D.edit('a1', 'a2')}, 6)"})
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
@@ -84,13 +95,13 @@ query("v1_verify_answer", J + "SELECT sample_index, traj, m1_v, round(m1_s, 6) A
     lambda spark, d: judged(spark, d).select(*KEY, *[c for m in ("m1", "m2", "n1", "n2") for c in (ok(m).alias(f"{m}_v"), F.round(f"{m}.score", 6).alias(f"{m}_s"))]))
 for _id, _kind in (("v2_verify_mcq", "mcq"), ("v3_verify_yesno", "yesno"), ("v4_verify_counting", "counting"), ("v5_verify_numeric", "numeric"), ("v6_verify_open", "open")):
     query(_id, J + f"SELECT sample_index, traj, m1_v, round(m1_s, 6) AS m1_s, n2_v FROM j WHERE answer_type = '{_kind}'")(
-        lambda spark, d, _kind=_kind: verify(verify(rollouts(spark, d).where(kind == _kind), "a1", "ground_truth", "answer_type", "m1"), "a2", "ground_truth", "answer_type", "n2", strict=True)
+        lambda spark, d, _kind=_kind: verify(verify(rollouts(spark, d).where(c.kind == _kind), "a1", "ground_truth", "answer_type", "m1"), "a2", "ground_truth", "answer_type", "n2", strict=True)
         .select(*KEY, ok("m1").alias("m1_v"), F.round("m1.score", 6).alias("m1_s"), ok("n2").alias("n2_v")))
 _PG = f"SELECT sample_index, traj, answer_type, lower({D.extract('a1', 'answer_type')}) AS p, lower({D.extract('ground_truth', 'answer_type')}) AS g FROM sr"
 query("v5b_match_answer", D.SR + f", t AS ({_PG}), u AS (SELECT *, {D.parse_number('p')} AS np, {D.parse_number('g')} AS ng FROM t) SELECT sample_index, traj, CASE WHEN p = '' THEN NULL WHEN answer_type IN ('mcq', 'yesno') THEN p = g "
       "WHEN answer_type = 'numeric' THEN coalesce(abs(np - ng) / abs(ng) <= 0.01, false) WHEN answer_type = 'counting' THEN coalesce(np = ng, false) WHEN p = g THEN true END AS x FROM u")(
-    lambda spark, d: rollouts(spark, d).select(*KEY, "answer_type", T.extract(a1, kind).alias("p"), T.extract(truth, kind).alias("g")).withColumns({"p": T.normalize_answer(F.col("p")), "g": T.normalize_answer(F.col("g"))})
-    .select(*KEY, match_answer(F.col("p"), F.col("g"), kind).alias("x")))
+    lambda spark, d: rollouts(spark, d).select(*KEY, "answer_type", T.extract(c.a1, c.kind).alias("p"), T.extract(c.truth, c.kind).alias("g")).withColumns({"p": T.normalize_answer(F.col("p")), "g": T.normalize_answer(F.col("g"))})
+    .select(*KEY, match_answer(F.col("p"), F.col("g"), c.kind).alias("x")))
 
 
 @query("v7_token_f1", D.SR + f""", t AS (SELECT sample_index, traj, {D.norm('a1')} AS p, {D.norm('a2')} AS g FROM sr), u AS (SELECT *, list_distinct(list_filter(string_split(p, ' '), lambda w: w <> '')) AS pt, list_distinct(list_filter(string_split(g, ' '), lambda w: w <> '')) AS gt FROM t),
@@ -98,7 +109,7 @@ query("v5b_match_answer", D.SR + f", t AS ({_PG}), u AS (SELECT *, {D.parse_numb
 SELECT sample_index, traj, round(CASE WHEN n = 0 THEN 0.0 ELSE 2.0 * (n / len(pt)) * (n / len(gt)) / ((n / len(pt)) + (n / len(gt))) END, 6) AS f1, p <> '' AND g <> '' AND (contains(p, g) OR contains(g, p)) AS inside FROM w""")
 def _v7(spark, d):
     from millrace.operators.verify import contained, token_f1
-    return rollouts(spark, d).select(*KEY, F.round(token_f1(T.token_set(a1), T.token_set(a2)), 6).alias("f1"), contained(T.normalize_text(a1), T.normalize_text(a2)).alias("inside"))
+    return rollouts(spark, d).select(*KEY, F.round(token_f1(T.token_set(c.a1), T.token_set(c.a2)), 6).alias("f1"), contained(T.normalize_text(c.a1), T.normalize_text(c.a2)).alias("inside"))
 
 
 @query("v8_contradictions", D.SR + """, t AS (SELECT sample_index, traj, a1, a2 FROM sr WHERE answer_type = 'open')
@@ -106,15 +117,14 @@ SELECT sample_index, traj, (regexp_matches(a1, '\\bleft\\b') AND regexp_matches(
  (regexp_matches(a1, '\\bred\\b') AND regexp_matches(a2, '\\bblue\\b')) OR (regexp_matches(a1, '\\bblue\\b') AND regexp_matches(a2, '\\bred\\b')) AS color FROM t""")
 def _v8(spark, d):
     from millrace.operators.verify import antonym_conflict, color_conflict
-    p, g = (T.token_set(F.regexp_replace(c, "<[^>]*>", " ")) for c in (a1, a2))
-    return rollouts(spark, d).where(kind == "open").select(*KEY, antonym_conflict(p, g).alias("antonym"), color_conflict(p, g).alias("color"))
+    p, g = (T.token_set(F.regexp_replace(x, "<[^>]*>", " ")) for x in (c.a1, c.a2))
+    return rollouts(spark, d).where(c.kind == "open").select(*KEY, antonym_conflict(p, g).alias("antonym"), color_conflict(p, g).alias("color"))
 
 
 query("v10_verify_distinct", J + "SELECT answer_type, count(*) AS n, count(*) FILTER (m1_v) AS right_ FROM j GROUP BY 1")(
     lambda spark, d: verify_distinct(rollouts(spark, d), "a1", "ground_truth", "answer_type", "m1").groupBy("answer_type").agg(F.count("*").alias("n"), F.count_if(ok("m1")).alias("right_")))
 
 # ---- rewards -------------------------------------------------------------------
-m1, m2, n1, n2 = ok("m1"), ok("m2"), ok("n1"), ok("n2")
 DET = "answer_type IN ('mcq', 'yesno', 'numeric', 'counting')"
 
 
@@ -134,69 +144,71 @@ unit = lambda x, lo, hi: f"least(greatest(({x} - ({lo})) / (({hi}) - ({lo})), 0.
 typed = lambda x, r: f"(CASE WHEN {DET} THEN {unit(x, *r[0])} ELSE {unit(x, *r[1])} END)"
 
 
-def reward(name: str, cols: dict, sql: dict[str, str]) -> None:
+def reward(name: str, cols, sql: dict[str, str]) -> None:
     query(name, J + f"SELECT sample_index, traj, {', '.join(f'round(CAST({e} AS DOUBLE), 6) AS {c}' for c, e in sql.items())} FROM j")(
-        lambda spark, d: judged(spark, d).select(*KEY, *[F.round(c.cast("double"), 6).alias(n) for n, c in cols.items()]))
+        lambda spark, d: judged(spark, d).select(*KEY, *[F.round(x.cast("double"), 6).alias(n) for n, x in cols().items()]))
 
 
-reward("r1_a2_correctness", {"x": R.correctness(kind, m2, F.col("m2.score"))}, {"x": corr("m2_v", "m2_s")})
-reward("r2_a1_correctness_01", {"x": F.when(m1, 1.0).otherwise(0.0)}, {"x": "CASE WHEN m1_v THEN 1 ELSE 0 END"})
-reward("r3_improvement", {"x": R.by_transition("improvement", kind, m1, m2)}, {"x": case("improvement", "m1_v", "m2_v")})
-reward("r4_no_regression", {"x": R.by_transition("no_regression_alone", kind, m1, m2)}, {"x": case("no_regression_alone", "m1_v", "m2_v")})
-reward("r5_downstream", {"x": R.critic(f1, kind, m1, m2)["downstream"]}, {"x": f"CASE WHEN {EMPTY} THEN 0.0 ELSE {case('downstream_alone', 'm1_v', 'm2_v')} END"})
-reward("r6_verification", {"x": R.verification(f1, m1)}, {"x": VER})
-reward("r7_feedback_format", {"x": R.feedback_format(f1)}, {"x": FBF})
-reward("r8_formats", {"think": R.tag_format(a2, kind), "tag": R.answer_tag_format(a2, kind), "bare": R.bare_format(a2, kind)}, {
+reward("r1_a2_correctness", lambda: {"x": R.correctness(c.kind, c.m2, F.col("m2.score"))}, {"x": corr("m2_v", "m2_s")})
+reward("r2_a1_correctness_01", lambda: {"x": F.when(c.m1, 1.0).otherwise(0.0)}, {"x": "CASE WHEN m1_v THEN 1 ELSE 0 END"})
+reward("r3_improvement", lambda: {"x": R.by_transition("improvement", c.kind, c.m1, c.m2)}, {"x": case("improvement", "m1_v", "m2_v")})
+reward("r4_no_regression", lambda: {"x": R.by_transition("no_regression_alone", c.kind, c.m1, c.m2)}, {"x": case("no_regression_alone", "m1_v", "m2_v")})
+reward("r5_downstream", lambda: {"x": R.critic(c.f1, c.kind, c.m1, c.m2)["downstream"]}, {"x": f"CASE WHEN {EMPTY} THEN 0.0 ELSE {case('downstream_alone', 'm1_v', 'm2_v')} END"})
+reward("r6_verification", lambda: {"x": R.verification(c.f1, c.m1)}, {"x": VER})
+reward("r7_feedback_format", lambda: {"x": R.feedback_format(c.f1)}, {"x": FBF})
+reward("r8_formats", lambda: {"think": R.tag_format(c.a2, c.kind), "tag": R.answer_tag_format(c.a2, c.kind), "bare": R.bare_format(c.a2, c.kind)}, {
     "think": D.tag_format("a2", "answer_type"), "tag": f"CASE WHEN regexp_matches(a2, '(?i)<answer>') AND ({D.tag('a2')}) <> '' AND {D.clean_atomic(f"({D.tag('a2')})", 'answer_type')} THEN 1.0 ELSE 0.0 END",
     "bare": rf"CASE WHEN a2 = '' THEN -1.0 WHEN answer_type = 'open' THEN 0.0 WHEN regexp_matches(lower(a2), CASE answer_type WHEN 'mcq' THEN '^\(?[a-f]\)?$' WHEN 'yesno' THEN '^(yes|no)$' ELSE '^\d+$' END) THEN 0.0 ELSE -1.0 END"})
-reward("r9_critic", {"total": R.critic(f1, kind, m1, m2)["total"]}, {"total": f"2.0 * CASE WHEN {EMPTY} THEN 0.0 ELSE {case('downstream_alone', 'm1_v', 'm2_v')} END"})
-reward("r10_refiner", {"total": R.refiner(kind, m1, m2, F.col("m2.score"), R.tag_format(a2, kind))["total"]}, {"total": f"{corr('m2_v', 'm2_s')} + 2.0 * {case('no_regression_alone', 'm1_v', 'm2_v')} + 0.15 * {D.tag_format('a2', 'answer_type')}"})
-_resp = R.response(kind, n1, n2, F.col("n2.score"), R.tag_format(a1, kind), R.tag_format(a2, kind))
+reward("r9_critic", lambda: {"total": R.critic(c.f1, c.kind, c.m1, c.m2)["total"]}, {"total": f"2.0 * CASE WHEN {EMPTY} THEN 0.0 ELSE {case('downstream_alone', 'm1_v', 'm2_v')} END"})
+reward("r10_refiner", lambda: {"total": R.refiner(c.kind, c.m1, c.m2, F.col("m2.score"), R.tag_format(c.a2, c.kind))["total"]}, {"total": f"{corr('m2_v', 'm2_s')} + 2.0 * {case('no_regression_alone', 'm1_v', 'm2_v')} + 0.15 * {D.tag_format('a2', 'answer_type')}"})
+_resp = lambda: R.response(c.kind, c.n1, c.n2, F.col("n2.score"), R.tag_format(c.a1, c.kind), R.tag_format(c.a2, c.kind))
 RESP = {"a1_correctness": "(CASE WHEN n1_v THEN 1.0 ELSE -1.0 END)", "a1_format": f"({D.tag_format('a1', 'answer_type')})", "a2_correctness": corr("n2_v", "n2_s"), "a2_format": f"({D.tag_format('a2', 'answer_type')})", "no_regression": case("no_regression", "n1_v", "n2_v")}
 TOTAL = lambda comps, w: " + ".join(f"{getattr(w, k)} * {e}" for k, e in comps.items())
-reward("r11_response", {k: _resp[k] for k in (*RESP, "total")}, {**RESP, "total": TOTAL(RESP, R.ResponseWeights())})
+reward("r11_response", lambda: {k: _resp()[k] for k in (*RESP, "total")}, {**RESP, "total": TOTAL(RESP, R.ResponseWeights())})
 DOWN = f"(CASE WHEN {EMPTY} THEN 0.0 ELSE {case('downstream', 'm1_v', 'm2_v')} END)"
 FEED = {"downstream": f"(CASE WHEN {VER} > 0 THEN {DOWN} ELSE least({DOWN}, 0.0) END)", "verification": VER, "format": FBF}
-_feed = R.feedback(f1, kind, m1, m2)
-reward("r12_feedback", {k: _feed[k] for k in (*FEED, "total")}, {**FEED, "total": TOTAL(FEED, R.FeedbackWeights())})
+_feed = lambda: R.feedback(c.f1, c.kind, c.m1, c.m2)
+reward("r12_feedback", lambda: {k: _feed()[k] for k in (*FEED, "total")}, {**FEED, "total": TOTAL(FEED, R.FeedbackWeights())})
 D01 = f"(CASE WHEN {EMPTY} THEN {unit('0.0', -1.5, 3)} ELSE {typed(case('downstream', 'm1_v', 'm2_v'), R.RANGES['downstream'])} END)"
-reward("r13_unit_rewards", {"correctness": R.correctness_01(kind, m2, F.col("m2.score")), "no_reg": R.no_regression_01(kind, m1, m2), "downstream": R.downstream_01(f1, kind, m1, m2), "verification": R.verification_01(f1, m1), "format": R.format_unit(R.tag_format(a2, kind))},
+reward("r13_unit_rewards", lambda: {"correctness": R.correctness_01(c.kind, c.m2, F.col("m2.score")), "no_reg": R.no_regression_01(c.kind, c.m1, c.m2), "downstream": R.downstream_01(c.f1, c.kind, c.m1, c.m2), "verification": R.verification_01(c.f1, c.m1), "format": R.format_unit(R.tag_format(c.a2, c.kind))},
        {"correctness": unit(corr("m2_v", "m2_s"), -1, 1), "no_reg": typed(case("no_regression", "m1_v", "m2_v"), R.RANGES["no_regression"]), "downstream": D01, "verification": unit(VER, -1, 1), "format": D.tag_format("a2", "answer_type")})
 R01 = {"a1_correctness": "(CASE WHEN n1_v THEN 1.0 ELSE 0.0 END)", "a1_format": RESP["a1_format"], "a2_correctness": unit(corr("n2_v", "n2_s"), -1, 1), "a2_format": RESP["a2_format"], "no_regression": typed(case("no_regression", "n1_v", "n2_v"), R.RANGES["no_regression"])}
 F01 = {"downstream": f"(CASE WHEN {VER} > 0 THEN {D01} ELSE least({D01}, CASE WHEN answer_type IN ('mcq', 'yesno', 'numeric') THEN {1.5 / 4.5} ELSE 0.5 END) END)", "verification": unit(VER, -1, 1), "format": FBF}
-_r01, _f01 = R.response_01(kind, n1, n2, F.col("n2.score"), R.tag_format(a1, kind), R.tag_format(a2, kind)), R.feedback_01(f1, kind, m1, m2)
-reward("r14_unit_breakdowns", {"response": _r01["total"], "feedback": _f01["total"], "gated": _f01["downstream"]}, {"response": TOTAL(R01, R.ResponseWeights()), "feedback": TOTAL(F01, R.FeedbackWeights()), "gated": F01["downstream"]})
-reward("r15_baseline", {"format": R.tag_format(a1, kind), "total": R.baseline(m1, R.tag_format(a1, kind))["total"]}, {"format": RESP["a1_format"], "total": f"0.9 * CASE WHEN m1_v THEN 1 ELSE 0 END + 0.1 * {RESP['a1_format']}"})
-_shaped_r, _shaped_f = R.response(kind, n1, n2, F.col("n2.score"), F.lit(1.0), F.lit(1.0), shaping=R.alpha(-1.0, 1.0)), R.feedback(f1, kind, m1, m2, shaping=0.5)
-reward("r17_shaped", {"no_regression": _shaped_r["no_regression"], "downstream": _shaped_f["downstream"]}, {
+_r01 = lambda: R.response_01(c.kind, c.n1, c.n2, F.col("n2.score"), R.tag_format(c.a1, c.kind), R.tag_format(c.a2, c.kind))
+_f01 = lambda: R.feedback_01(c.f1, c.kind, c.m1, c.m2)
+reward("r14_unit_breakdowns", lambda: {"response": _r01()["total"], "feedback": _f01()["total"], "gated": _f01()["downstream"]}, {"response": TOTAL(R01, R.ResponseWeights()), "feedback": TOTAL(F01, R.FeedbackWeights()), "gated": F01["downstream"]})
+reward("r15_baseline", lambda: {"format": R.tag_format(c.a1, c.kind), "total": R.baseline(c.m1, R.tag_format(c.a1, c.kind))["total"]}, {"format": RESP["a1_format"], "total": f"0.9 * CASE WHEN m1_v THEN 1 ELSE 0 END + 0.1 * {RESP['a1_format']}"})
+_shaped_r = lambda: R.response(c.kind, c.n1, c.n2, F.col("n2.score"), F.lit(1.0), F.lit(1.0), shaping=R.alpha(-1.0, 1.0))
+_shaped_f = lambda: R.feedback(c.f1, c.kind, c.m1, c.m2, shaping=0.5)
+reward("r17_shaped", lambda: {"no_regression": _shaped_r()["no_regression"], "downstream": _shaped_f()["downstream"]}, {
     "no_regression": f"{RESP['a2_correctness']} - {RESP['a1_correctness']}",
     "downstream": (lambda x: f"CASE WHEN {VER} > 0 THEN {x} ELSE least({x}, 0.0) END")(f"(CASE WHEN {EMPTY} THEN 0.0 ELSE CASE WHEN m2_v THEN 1.0 ELSE -1.0 END + 0.5 * (CASE WHEN m2_v THEN 1.0 ELSE -1.0 END - CASE WHEN m1_v THEN 1.0 ELSE -1.0 END) END)")})
 query("r16_weight_sets", "SELECT * FROM (VALUES ('response', true), ('feedback', true), ('baseline', true), ('critic', false)) AS t(name, convex)")(
     lambda spark, d: spark.createDataFrame([(n, R.convex(w)) for n, w in (("response", R.ResponseWeights()), ("feedback", R.FeedbackWeights()), ("baseline", R.BaselineWeights()), ("critic", R.CriticWeights()))], "name string, convex boolean"))
 query("r18_transitions", J + "SELECT answer_type, concat(CASE WHEN m1_v THEN 'R' ELSE 'W' END, CASE WHEN m2_v THEN 'R' ELSE 'W' END) AS t, count(*) AS n FROM j GROUP BY ALL")(
-    lambda spark, d: judged(spark, d).groupBy("answer_type", R.transition(m1, m2).alias("t")).agg(F.count("*").alias("n")))
-reward("r19_refiner_functions", {"format": R.bare_format(F.coalesce(a2, F.lit("")), kind), "correctness": R.correctness(kind, m2, F.col("m2.score")), "no_regression": R.by_transition("no_regression_alone", kind, F.lit(True), m2)},
+    lambda spark, d: judged(spark, d).groupBy("answer_type", R.transition(c.m1, c.m2).alias("t")).agg(F.count("*").alias("n")))
+reward("r19_refiner_functions", lambda: {"format": R.bare_format(F.coalesce(c.a2, F.lit("")), c.kind), "correctness": R.correctness(c.kind, c.m2, F.col("m2.score")), "no_regression": R.by_transition("no_regression_alone", c.kind, F.lit(True), c.m2)},
        {"format": ORACLES["r8_formats"].split("round(CAST(")[3].rsplit(" AS DOUBLE)", 1)[0], "correctness": corr("m2_v", "m2_s"), "no_regression": case("no_regression_alone", "true", "m2_v")})
 
 # ---- metrics and group analytics -----------------------------------------------
 
 
 def flags(spark, d):
-    return judged(spark, d).withColumns({"a1_correct": m1, "a2_correct": m2})
+    return judged(spark, d).withColumns({"a1_correct": c.m1, "a2_correct": c.m2})
 
 
 RATES = ", ".join(f"round(avg(CASE WHEN {c} THEN 1 ELSE 0 END), 6) AS {n}" for n, c in {"a1_accuracy": "m1_v", "a2_accuracy": "m2_v", "rr_rate": "m1_v AND m2_v", "rw_rate": "m1_v AND NOT m2_v", "wr_rate": "NOT m1_v AND m2_v", "ww_rate": "NOT m1_v AND NOT m2_v"}.items())
 rounded = lambda df, *keep: df.select(*keep, *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keep])
 query("a10_transition_metrics", J + f"SELECT dataset_name, count(*) AS total_trajectories, {RATES} FROM j GROUP BY 1")(lambda spark, d: rounded(G.transition_metrics(flags(spark, d), "dataset_name"), "dataset_name"))
 query("a10b_baseline_metrics", J + f"SELECT answer_type, count(*) AS n, round(avg(CASE WHEN m1_v THEN 1 ELSE 0 END), 6) AS acc, round(avg(CASE WHEN {D.tag_format('a1', 'answer_type')} = 0.0 THEN 1 ELSE 0 END), 6) AS violations FROM j GROUP BY 1")(
-    lambda spark, d: flags(spark, d).groupBy("answer_type").agg(F.count("*").alias("n"), F.round(G.rate(F.col("a1_correct")), 6).alias("acc"), F.round(G.rate(R.tag_format(a1, kind) == 0.0), 6).alias("violations")))
+    lambda spark, d: flags(spark, d).groupBy("answer_type").agg(F.count("*").alias("n"), F.round(G.rate(F.col("a1_correct")), 6).alias("acc"), F.round(G.rate(R.tag_format(c.a1, c.kind) == 0.0), 6).alias("violations")))
 query("a10c_feedback_words", D.SR + r"SELECT dataset_name, round(avg(len(list_filter(regexp_split_to_array(f1, '\s+'), lambda w: w <> ''))), 6) AS words FROM sr GROUP BY 1")(
     lambda spark, d: rollouts(spark, d).groupBy("dataset_name").agg(F.round(F.avg(F.size(F.filter(F.split("f1", r"\s+"), lambda w: w != ""))), 6).alias("words")))
 
 
 def rewarded(spark, d):
     j = judged(spark, d)
-    return j.select(*KEY, "dataset_name", *[c.alias(k) for k, c in _resp.items() if k in (*RESP, "total")], *[_feed[k].alias(f"fb_{k}") for k in (*FEED, "total")])
+    return j.select(*KEY, "dataset_name", *[c.alias(k) for k, c in _resp().items() if k in (*RESP, "total")], *[_feed()[k].alias(f"fb_{k}") for k in (*FEED, "total")])
 
 
 RW = J + ", rw AS (SELECT sample_index, traj, dataset_name, " + ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in RESP.items()) + f", CAST({TOTAL(RESP, R.ResponseWeights())} AS DOUBLE) AS total, " + ", ".join(f"CAST({e} AS DOUBLE) AS fb_{k}" for k, e in FEED.items()) + f", CAST({TOTAL(FEED, R.FeedbackWeights())} AS DOUBLE) AS fb_total FROM j)\n"
@@ -260,7 +272,7 @@ query("a9_recommendation", _DIFF + "SELECT count(*) FILTER (b IN ('trivial', 'br
 query("j1_drop_extremes", _DIFF + "SELECT sample_index, traj FROM sr WHERE sample_index NOT IN (SELECT sample_index FROM db WHERE b IN ('trivial', 'brick_wall'))")(
     lambda spark, d: C.drop_extremes(rollouts(spark, d), difficulty(spark, d), "sample_index").select(*KEY))
 query("m5_difficulty_rows", J + "SELECT sample_index, list_sort(list(substr(a1, 1, 16))) AS completions FROM j GROUP BY 1")(
-    lambda spark, d: rollouts(spark, d).groupBy("sample_index").agg(F.sort_array(F.collect_list(T.preview(a1, 16))).alias("completions")))
+    lambda spark, d: rollouts(spark, d).groupBy("sample_index").agg(F.sort_array(F.collect_list(T.preview(c.a1, 16))).alias("completions")))
 query("j10_repeat_interleave", D.SR + "SELECT sample_index, traj, sample_index * 8 + traj AS pos, sample_index = (sample_index * 8 + traj) // 8 AS same FROM sr")(
     lambda spark, d: rollouts(spark, d).withColumn("pos", F.col("sample_index") * 8 + F.col("traj")).select(*KEY, "pos", (G.block_of(F.col("pos"), 8) == F.col("sample_index")).alias("same")))
 query("j12_lookup_by_key", D.SR + ", q AS (SELECT DISTINCT sample_index, concat('Q', CAST(sample_index % 50 AS VARCHAR)) AS question FROM sr) SELECT sr.sample_index, traj, question FROM sr JOIN q USING (sample_index)")(
