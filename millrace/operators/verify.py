@@ -30,11 +30,9 @@ def result(ok: Column | bool, verdict: Column | str, extracted: Column | str, sc
 def antonym_conflict(p: Column, g: Column) -> Column:
     """Of token sets: words that only one has form an antonym pair."""
     po, go = F.array_except(p, g), F.array_except(g, p)
-    out = F.lit(False)
-    for a, b in ANTONYMS:
-        pair = F.array(F.lit(a), F.lit(b))
-        out = out | (F.arrays_overlap(po, pair) & F.arrays_overlap(go, pair))
-    return out
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ANTONYMS])
+    crossed = lambda x, y: F.array_contains(po, x) & F.array_contains(go, y)
+    return (F.size(po) > 0) & (F.size(go) > 0) & F.exists(pairs, lambda w: crossed(w["a"], w["b"]) | crossed(w["b"], w["a"]))
 
 
 def color_conflict(p: Column, g: Column) -> Column:
@@ -90,18 +88,23 @@ def verify(df: DataFrame, text: str, truth: str, kind: str, out: str, strict: bo
     raw = F.col(text) if strict else T.answer_portion(F.col(text))
     df = df.withColumns({"_raw": F.coalesce(raw, F.lit("")), "_truth": F.coalesce(T.answer_portion(F.col(truth)), F.lit(""))})
     r, g = F.col("_raw"), F.col("_truth")
-    _, tail = T.letter_and_text(r)
+    df = df.withColumns({"_x": T.strip(r), "_in": T.answer_tag(r), "_has": T.has_answer_tag(r), "_gin": T.answer_tag(g)})
+    inner = F.col("_in")
+    if strict:
+        pred, number = F.when(~F.col("_has"), "").otherwise(T.atomic(inner, k)), F.when(F.col("_has"), T.to_float(F.regexp_extract(inner, T.NUMERIC_ATOMIC, 1)))
+    else:
+        pred, number = F.when(k == "mcq", T.mcq_letter(inner)).when(k == "yesno", T.yesno(inner)).when(k == "numeric", T.numeric(inner)).otherwise(inner), T.sentence_number(r)
     df = df.withColumns({
-        "_x": T.strip(r), "_p": T.extract(r, k, strict=strict), "_gm": F.when(k == "mcq", T.extract(g, F.lit("mcq"))), "_tail": F.when(k == "mcq", tail),
+        "_p": pred, "_gm": F.when(k == "mcq", T.mcq_letter(F.col("_gin"))), "_tail": F.when(k == "mcq", F.regexp_extract(F.col("_x"), T.MCQ_LETTER_TEXT, 3)),
         "_hedge": F.when(k == "yesno", T.hedging(r)), "_ps": F.lower(F.regexp_extract(r, T.YESNO_START, 1)), "_gs": F.lower(F.regexp_extract(g, T.YESNO_START, 1)),
         "_pa": F.lower(F.regexp_extract(r, T.YESNO, 1)), "_ga": F.lower(F.regexp_extract(g, T.YESNO, 1)),
-        "_gnum": F.when(k == "counting", T.sentence_number(g)), "_pnum": F.when(k == "counting", T.to_float(T.extract(r, F.lit("counting"), strict=True)) if strict else T.sentence_number(r))})
+        "_gnum": F.when(k == "counting", T.sentence_number(g)), "_pnum": F.when(k == "counting", number)})
     df = open_stages(df, "_x", "_truth", "_open")
     p, x, o = F.col("_p"), F.col("_x"), F.col("_open")
     none = result(False, WRONG, "")
     sided = lambda a, b: F.when(a == b, CORRECT).otherwise(WRONG)
     gm = F.col("_gm")
-    mcq = (F.when((p != "") & (gm != ""), result(True, sided(p, gm), p)).when((p != "") & (gm == "") & (F.col("_tail") != "") & (F.lower(T.strip(g)) == F.lower(F.col("_tail"))), result(True, CORRECT, x))
+    mcq = (F.when((p != "") & (gm != ""), result(True, sided(p, gm), p)).when((p != "") & (gm == "") & (F.col("_tail") != "") & (F.lower(T.strip(g)) == F.lower(T.strip(F.col("_tail")))), result(True, CORRECT, x))
            .when(gm == "", o).otherwise(none))
     ps, gs, pa, ga = (F.col(c) for c in ("_ps", "_gs", "_pa", "_ga"))
     first = F.coalesce(F.nullif(gs, F.lit("")), ga)
@@ -117,7 +120,7 @@ def verify(df: DataFrame, text: str, truth: str, kind: str, out: str, strict: bo
     count = count.when(pn.isNull(), none).otherwise(result(False, WRONG, _number_text(pn))) if strict else count.otherwise(o)
     numeric = F.when(p == "", none).otherwise(result(True, F.when(number_match(T.parse_number(p), T.parse_number(g), tolerance), CORRECT).otherwise(WRONG), p))
     found = F.when(k == "mcq", mcq).when(k == "yesno", yn).when(k == "counting", count).when(k == "numeric", numeric).otherwise(o)
-    return df.withColumn(out, found).drop("_raw", "_truth", "_x", "_p", "_gm", "_tail", "_hedge", "_ps", "_gs", "_pa", "_ga", "_gnum", "_pnum", "_open")
+    return df.withColumn(out, found).drop("_raw", "_truth", "_x", "_in", "_has", "_gin", "_p", "_gm", "_tail", "_hedge", "_ps", "_gs", "_pa", "_ga", "_gnum", "_pnum", "_open")
 
 
 def verify_distinct(df: DataFrame, text: str, truth: str, kind: str, out: str, scorer: Callable[[DataFrame], DataFrame] | None = None, **how) -> DataFrame:
