@@ -274,3 +274,69 @@ def _sx(spark, d):
     for _ in range(2):  # the second run finds nothing new
         ST.append_batches(log, out, ck, ["sample_index", "traj"]).awaitTermination()
     return spark.read.parquet(out).select("sample_index", "traj")
+
+
+# ---- the rest of the inventory: resume scans, split loads, folders, configurations, nested and long forms ----
+@query("s4_resume_scan", "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 50 <> 7")
+def _s4(spark, d):
+    path = scratch(spark, "s4")
+    done = F.to_json(F.struct("doc_id"))
+    docs(spark, d).where("doc_id % 4 <> 0").select(F.when(F.col("doc_id") % 50 == 7, F.lit("{cut off")).otherwise(done).alias("value")).write.text(path)
+    return S.read_jsonl_tolerant(spark, path, "doc_id long").select("doc_id").distinct()
+
+
+@query("s14_split_loads", "SELECT CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY 1")
+def _s14(spark, d):
+    path = scratch(spark, "s14")
+    docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train").alias("split")).write.partitionBy("split").parquet(path)
+    parts = [spark.read.parquet(f"{path}/split={s}").withColumn("split", F.lit(s)) for s in ("train", "validation", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("s17_folder_scan", "SELECT concat('lang=', lang) AS label, sum(1) > 0 AS found FROM documents GROUP BY 1")
+def _s17(spark, d):
+    path = scratch(spark, "s17")
+    docs(spark, d).select("doc_id", "lang").repartition(1).write.partitionBy("lang").json(path)
+    return S.images(spark, path, "*.json").groupBy("label").agg((F.count("*") > 0).alias("found"))
+
+
+@query("s22_configuration", "SELECT 'response' AS name, 0.27 AS a1_correctness, 0.4 AS no_regression")
+def _s22(spark, d):
+    from millrace.operators.rewards import ResponseWeights
+    path = scratch(spark, "s22")
+    w = ResponseWeights()
+    spark.createDataFrame([("response", w.a1_correctness, w.no_regression)], "name string, a1_correctness double, no_regression double").write.json(path)
+    return spark.read.schema("name string, a1_correctness double, no_regression double").json(path)
+
+
+@query("s23_task_loop", "SELECT lang AS task, count(*) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY 1")
+def _s23(spark, d):
+    path, out = scratch(spark, "s23"), None
+    for task in ("de", "fr"):
+        S.write_tsv(docs(spark, d).where(F.col("lang") == task).select("doc_id", "lang"), f"{path}/{task}")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for task in ("de", "fr", "xx"):  # a missing input is skipped
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{task}")):
+            t = S.read_tsv(spark, f"{path}/{task}").select(F.lit(task).alias("task"))
+            out = t if out is None else out.unionByName(t)
+    return out.groupBy("task").agg(F.count("*").alias("n"))
+
+
+query("a4_manifest_counts", "SELECT source, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM documents GROUP BY GROUPING SETS ((1, 2), (1))")(
+    lambda spark, d: C.manifest(docs(spark, d).withColumn("split", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("val")), "source", "split"))
+query("a10d_metrics_long", D.SR + "SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT avg(CASE WHEN traj % 2 = 0 THEN 1.0 ELSE 0 END) AS a1_accuracy, avg(CASE WHEN traj % 3 = 0 THEN 1.0 ELSE 0 END) AS a2_accuracy, avg(CASE WHEN traj % 6 = 0 THEN 1.0 ELSE 0 END) AS rr_rate FROM sr) ON COLUMNS(*) INTO NAME metric VALUE value)")(
+    lambda spark, d: G.transition_metrics(rollouts(spark, d).select((F.col("traj") % 2 == 0).alias("a1_correct"), (F.col("traj") % 3 == 0).alias("a2_correct"))).unpivot([], ["a1_accuracy", "a2_accuracy", "rr_rate"], "metric", "value").select("metric", F.round("value", 6).alias("value")))
+query("m7_nested_rollouts", D.SR + "SELECT sample_index, list(a1 ORDER BY traj) AS answers FROM sr GROUP BY 1")(
+    lambda spark, d: rollouts(spark, d).groupBy("sample_index").agg(F.sort_array(F.collect_list(F.struct("traj", "a1"))).alias("x")).select("sample_index", F.transform("x", lambda e: e["a1"]).alias("answers")))
+query("m7_long_rollouts", D.SR + "SELECT sample_index, CAST(traj AS INTEGER) AS traj, a1 FROM sr")(
+    lambda spark, d: rollouts(spark, d).groupBy("sample_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("traj", "a1"))), lambda e: e["a1"]).alias("x")).select("sample_index", F.posexplode("x").alias("traj", "a1")))
+query("t1_seeded_order", f"SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY {h42('doc_id')}, doc_id) AS pos FROM documents")(
+    lambda spark, d: docs(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(N.seeded(F.col("doc_id")), "doc_id")).alias("pos")))
+query("t9_natural_order", "SELECT * FROM (VALUES (0, 'image'), (1, 'image_2'), (2, 'image_10')) AS t(pos, name)")(
+    lambda spark, d: S.image_cells(spark.range(1).select("id", *[F.lit(c.encode()).alias(c) for c in ("image_10", "image", "image_2")]), "id").select("pos", F.col("bytes").cast("string").alias("name")))
+query("u6_merged_folders", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr')")(lambda spark, d: (lambda x: x.where("lang = 'en'").union(x.where("lang = 'fr'")))(docs(spark, d).select("doc_id", "lang")))
+query("v9_short_pairs", D.SR + f", t AS (SELECT sample_index, traj, len(list_filter(string_split({D.norm('a1')}, ' '), lambda w: w <> '')) AS p, len(list_filter(string_split({D.norm('a2')}, ' '), lambda w: w <> '')) AS g FROM sr) SELECT sample_index, traj, p BETWEEN 1 AND 3 AND g BETWEEN 1 AND 3 AS short FROM t")(
+    lambda spark, d: rollouts(spark, d).select("sample_index", "traj", (F.size(T.words(F.col("a1"))).between(1, 3) & F.size(T.words(F.col("a2"))).between(1, 3)).alias("short")))
+query("d1_line_drift", "SELECT doc_id FROM documents WHERE doc_id % 50 <> 7 AND doc_id < 20")(
+    lambda spark, d: (lambda p: (docs(spark, d).where("doc_id < 20").coalesce(1).sortWithinPartitions("doc_id").select(F.when(F.col("doc_id") % 50 == 7, F.lit("")).otherwise(F.to_json(F.struct("doc_id", "lang", "text"))).alias("value")).write.text(p),
+                                 S.read_jsonl_tolerant(spark, p, SMALL).where("line = doc_id").select("doc_id"))[1])(scratch(spark, "d1")))
