@@ -40,7 +40,7 @@ docs = lambda spark, d: table(spark, d, "documents")
 SMALL = "doc_id long, lang string, text string"
 
 
-@query("s1_jsonl_tolerant", "SELECT doc_id, lang, length(text) AS n FROM documents WHERE doc_id % 50 <> 7")
+@query("s1_jsonl_tolerant", "SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id % 50 <> 7")
 def _s1(spark, d):
     path = scratch(spark, "s1")
     line = F.to_json(F.struct("doc_id", "lang", "text"))
@@ -48,7 +48,7 @@ def _s1(spark, d):
     return S.read_jsonl_tolerant(spark, path, SMALL).select("doc_id", "lang", F.length("text").alias("n"))
 
 
-@query("s2_jsonl_strict", "SELECT doc_id, lang, length(text) AS n FROM documents")
+@query("s2_jsonl_strict", "SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS n FROM documents")
 def _s2(spark, d):
     path = scratch(spark, "s2")
     S.write_jsonl(docs(spark, d).select("doc_id", "lang", "text"), path)
@@ -104,7 +104,7 @@ def _s11(spark, d):
 query("s12_sampled_prefix", f"SELECT doc_id FROM documents ORDER BY {h42('doc_id')}, doc_id LIMIT 100")(lambda spark, d: docs(spark, d).orderBy(N.seeded(F.col("doc_id")), "doc_id").limit(100).select("doc_id"))
 query("s13_image_cells", "SELECT doc_id, CAST(unnest([0, 2]) AS INTEGER) AS pos FROM documents")(
     lambda spark, d: S.image_cells(docs(spark, d).select("doc_id", F.lit(b"a").alias("image"), F.lit(None).cast("binary").alias("image_1"), F.lit(b"b").alias("image_2")), "doc_id").select("doc_id", "pos"))
-query("s18_image_size", "SELECT doc_id, 16 AS w, 256 + doc_id % 2 AS h FROM documents WHERE doc_id % 3 <> 0")(
+query("s18_image_size", "SELECT doc_id, CAST(16 AS BIGINT) AS w, 256 + doc_id % 2 AS h FROM documents WHERE doc_id % 3 <> 0")(
     lambda spark, d: (lambda b: docs(spark, d).select("doc_id", *[x.alias(n) for n, x in zip("wh", S.image_size(b), strict=True)]).where("w is not null"))(
         F.unhex(F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("FFD8FFE000104A46")).otherwise(F.lit("89504E470D0A1A0A")), F.lit("0000000D49484452"), F.lit("00000010"), F.lpad(F.hex(256 + F.col("doc_id") % 2), 8, "0")))))
 query("s20_manifest", "SELECT source, lang, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source, lang), (source))")(lambda spark, d: C.manifest(docs(spark, d), "source", "lang"))
@@ -162,7 +162,7 @@ def sigs(spark, d):
     return docs(spark, d).select("doc_id", F.conv(F.substring(F.md5(F.substring("text", 1, 3).cast("binary")), 1, 15), 16, 10).cast("long").alias("sig"))
 
 
-query("j5_near_signatures", f"WITH s AS ({_SIG}) SELECT a.doc_id, b.doc_id AS held, bit_count(xor(a.sig, b.sig)) AS distance FROM s a JOIN s b ON b.doc_id % 5 = 0 AND a.doc_id % 5 <> 0 AND bit_count(xor(a.sig, b.sig)) < 8")(
+query("j5_near_signatures", f"WITH s AS ({_SIG}) SELECT a.doc_id, b.doc_id AS held, CAST(bit_count(xor(a.sig, b.sig)) AS INTEGER) AS distance FROM s a JOIN s b ON b.doc_id % 5 = 0 AND a.doc_id % 5 <> 0 AND bit_count(xor(a.sig, b.sig)) < 8")(
     lambda spark, d: (lambda s: X.near_signatures(s.where("doc_id % 5 <> 0"), s.where("doc_id % 5 = 0").select(F.col("doc_id").alias("held"), F.col("sig").alias("held_sig")), "doc_id", "sig", "held", "held_sig"))(sigs(spark, d)))
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 query("j6_max_cosine", f"SELECT a.vec_id, round(max({_COS}), 5) AS max_sim, max({_COS}) < 0.4 AS kept FROM embeddings a, embeddings b WHERE b.vec_id % 5 = 0 GROUP BY 1")(
@@ -176,7 +176,7 @@ query("j8_all_members", "SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM l
 query("j9_adjacent_pairs", f"WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY {h42('doc_id')}, doc_id) - 1 AS r FROM documents) SELECT a.lang, a.r // 2 AS pair, a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.lang = b.lang AND a.r % 2 = 0 AND b.r = a.r + 1 AND a.source <> b.source")(
     lambda spark, d: C.adjacent_pairs(docs(spark, d), "lang", "doc_id", "source").select("lang", "pair", "a", "b"))
 query("j11_index_pairs", "SELECT i, j FROM range(1, 7) a(i), range(1, 7) b(j) WHERE j - i >= 2")(lambda spark, d: spark.range(1, 7).select(F.col("id").alias("i"), F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long")), lambda j: j - F.col("id") >= 2)).alias("j")))
-query("u1_merge_corpora", f"SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY {h42('doc_id')}, doc_id) AS pos FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM documents)")(
+query("u1_merge_corpora", f"SELECT doc_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY {h42('doc_id')}, doc_id) AS INTEGER) AS pos FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM documents)")(
     lambda spark, d: (lambda x: x.where("doc_id % 2 = 0").withColumn("split", F.lit("train")).unionByName(x.where("doc_id % 2 = 1").withColumn("split", F.lit("val")), allowMissingColumns=True))(docs(spark, d).select("doc_id"))
     .withColumn("pos", F.row_number().over(Window.partitionBy("split").orderBy(N.seeded(F.col("doc_id")), "doc_id"))))
 query("u2_composite_dedup", "SELECT doc_id, NOT ((doc_id % 2 = 0 AND doc_id % 3 = 0) OR (doc_id % 5 = 0 AND doc_id % 2 = 0)) AS kept FROM documents")(
@@ -300,7 +300,7 @@ def _s17(spark, d):
     return S.images(spark, path, "*.json").groupBy("label").agg((F.count("*") > 0).alias("found"))
 
 
-@query("s22_configuration", "SELECT 'response' AS name, 0.27 AS a1_correctness, 0.4 AS no_regression")
+@query("s22_configuration", "SELECT 'response' AS name, CAST(0.27 AS DOUBLE) AS a1_correctness, CAST(0.4 AS DOUBLE) AS no_regression")
 def _s22(spark, d):
     from millrace.operators.rewards import ResponseWeights
     path = scratch(spark, "s22")
@@ -330,7 +330,7 @@ query("m7_nested_rollouts", D.SR + "SELECT sample_index, list(a1 ORDER BY traj)
     lambda spark, d: rollouts(spark, d).groupBy("sample_index").agg(F.sort_array(F.collect_list(F.struct("traj", "a1"))).alias("x")).select("sample_index", F.transform("x", lambda e: e["a1"]).alias("answers")))
 query("m7_long_rollouts", D.SR + "SELECT sample_index, CAST(traj AS INTEGER) AS traj, a1 FROM sr")(
     lambda spark, d: rollouts(spark, d).groupBy("sample_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("traj", "a1"))), lambda e: e["a1"]).alias("x")).select("sample_index", F.posexplode("x").alias("traj", "a1")))
-query("t1_seeded_order", f"SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY {h42('doc_id')}, doc_id) AS pos FROM documents")(
+query("t1_seeded_order", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY {h42('doc_id')}, doc_id) AS INTEGER) AS pos FROM documents")(
     lambda spark, d: docs(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(N.seeded(F.col("doc_id")), "doc_id")).alias("pos")))
 query("t9_natural_order", "SELECT * FROM (VALUES (0, 'image'), (1, 'image_2'), (2, 'image_10')) AS t(pos, name)")(
     lambda spark, d: S.image_cells(spark.range(1).select("id", *[F.lit(c.encode()).alias(c) for c in ("image_10", "image", "image_2")]), "id").select("pos", F.col("bytes").cast("string").alias("name")))
