@@ -60,18 +60,29 @@ def quota(df: DataFrame, cls: str, order: Column, quotas: dict[str, int]) -> Dat
 
 
 def prefix_split(df: DataFrame, group: list[str], key: str, train: int, val: int, test: int, seed: int = 42) -> DataFrame:
-    """Seeded order per group: the first rows train, the next val, the next test, the rest none."""
+    """Seeded order per group: the first rows train, the next val, the next test, the rest none. The filter on the rank
+    limits groups before the shuffle."""
     r = F.row_number().over(Window.partitionBy(*group).orderBy(seeded(F.col(key), seed), key))
-    return df.withColumn("split", F.when(r <= train, "train").when(r <= train + val, "val").when(r <= train + val + test, "test")).where("split is not null")
+    top = df.withColumn("_r", r).where(F.col("_r") <= train + val + test)
+    return top.withColumn("split", F.when(F.col("_r") <= train, "train").when(F.col("_r") <= train + val, "val").otherwise("test")).drop("_r")
+
+
+def seeded_rank(df: DataFrame, key: str, seed: int = 42, out: str = "rank") -> DataFrame:
+    """The place from 1 of each row in the seeded order of distinct keys, without a global sort: rows are ranked within
+    65,536 ranges of the hash, and the ranges' counts, a table of that many rows, are summed up."""
+    h = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_p", F.substring("_h", 1, 4))
+    counts = h.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_p").orderBy("_h", key)
+    return h.join(F.broadcast(before), "_p").withColumn(out, F.row_number().over(w) + F.col("_before")).drop("_h", "_p", "_before")
 
 
 def entity_split(df: DataFrame, entity: str, seed: int = 42, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """Splits that share no entity: seeded order over distinct entities, cut at the shares rounded down."""
     ent = df.select(entity).distinct()
     n = ent.agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.orderBy(seeded(F.col(entity), seed), entity))
-    cut = ent.withColumn("r", r).crossJoin(F.broadcast(n)).select(entity, F.when(F.col("r") <= F.floor(F.col("n") * shares[0]), "train").when(
-        F.col("r") <= F.floor(F.col("n") * shares[0]) + F.floor(F.col("n") * shares[1]), "val").otherwise("test").alias("split"))
+    r, n_train, n_val = F.col("rank"), F.floor(F.col("n") * shares[0]), F.floor(F.col("n") * shares[1])
+    cut = seeded_rank(ent, entity, seed).crossJoin(F.broadcast(n)).select(entity, F.when(r <= n_train, "train").when(r <= n_train + n_val, "val").otherwise("test").alias("split"))
     return df.join(cut, entity)
 
 
