@@ -108,7 +108,7 @@ class Model:
         h = np.tanh(x[:, CONTEXT:] + s @ v)
         return x, q, k, v, s, h
 
-    def train(self, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray, missing: np.ndarray, epochs: int = 3, batch: int = 192, rate: float = 0.015, seed: int = 5) -> None:
+    def train(self, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray, missing: np.ndarray, epochs: int = 5, batch: int = 192, rate: float = 0.03, seed: int = 5) -> None:
         """Adam on the class loss of windows; ``targets``: classes, windows x STEP."""
         if not len(ids):
             return
