@@ -22,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set to a temporary one only where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -37,8 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, wherever they run: Spark's file server hands it out once a session."""
+    """Let executors import this package, wherever they run: Spark's file server hands it out once a session.
+    Arrow batches of whole texts are kept small, unless the session says otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's default, made for narrow rows
+        spark.conf.set(ARROW_ROWS, "1000")
     if getattr(sc, "_millrace_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -70,48 +70,50 @@ def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "shingles"])
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections: incidence columns that two sets share, in blocks."""
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+#: Rows of a strip of a group's overlap matrix; a matrix is never held whole.
+STRIP = 384
+
+
+def _strips(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, sizes of the intersections of STRIP sets with all) from incidence columns that two sets share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, col, cnt = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = cnt[col] > 1
-    rows, code = rows[keep], np.cumsum(cnt > 1)[col[keep]] - 1
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    owner, code = owner[keep], (np.cumsum(cnt > 1) - 1)[col[keep]]
     order = np.argsort(code, kind="stable")
-    rows, code = rows[order], code[order]
-    width = max(256, (1 << 22) // max(1, len(sets)))
-    for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        i, j = np.searchsorted(code, (at, at + width))
-        x = np.zeros((len(sets), width), np.float32)
-        x[rows[i:j], code[i:j] - at] = 1
-        out += x @ x.T
-    return out
+    owner, code = owner[order], code[order]
+    width = max(256, (1 << 21) // n)
+    cuts = [(at, *np.searchsorted(code, (at, at + width))) for at in range(0, int(code[-1]) + 1 if len(code) else 0, width)]
+    for i in range(0, n, STRIP):
+        out = np.zeros((min(STRIP, n - i), n), np.float32)
+        for at, a, b in cuts:
+            x = np.zeros((n, width), np.float32)
+            x[owner[a:b], code[a:b] - at] = 1
+            out += x[i : i + STRIP] @ x.T
+        yield i, out
 
 
 def candidates(v: int, n: np.ndarray, low: list[np.ndarray], marks: np.ndarray, percent: int) -> np.ndarray:
-    """Upper triangle of the pairs that list ``v`` has to verify.
+    """Indices of the documents in any pair that list ``v`` has to verify.
 
     ``low``: sketches; ``marks``: bit i says that a sketch's value i is listed.
     A pair belongs to the list of its smallest common listed value alone, and
     stays if the union sketch does not rule a link out.
     """
-    both = _overlaps(low)
-    size = np.minimum(n, K).astype(np.float32)
-    union = np.minimum(np.float32(K), size[:, None] + size[None, :] - both)
-    partial = n > K
-    maybe = np.triu((both > 0) & ((both >= union * np.float32(LEAST / K)) | ~(partial[:, None] | partial[None, :])), 1)
-    low_n = (n * (percent / 100 - 1e-9)).astype(np.float32)  # a filter: a little low, never high
-    m = n.astype(np.float32) * np.float32(1.000001)
-    maybe &= (m[:, None] >= low_n[None, :]) & (m[None, :] >= low_n[:, None])
-    if len(n) > 2 and maybe.any():
-        bits = [(m >> np.arange(len(s), dtype=np.uint64) & np.uint64(1)).astype(bool) for m, s in zip(marks, low, strict=True)]
-        smaller = [s[b & (s.view(np.int64) < v)] for s, b in zip(low, bits, strict=True)]
-        maybe &= _overlaps(smaller) == 0
-    elif maybe.any():
-        bits = [(m >> np.arange(len(s), dtype=np.uint64) & np.uint64(1)).astype(bool) for m, s in zip(marks, low, strict=True)]
-        common = np.intersect1d(low[0][bits[0]], low[1][bits[1]], assume_unique=True).view(np.int64)
-        maybe &= not (common < v).any()
-    return maybe
+    used = np.zeros(len(n), bool)
+    bits = [(m >> np.arange(len(s), dtype=np.uint64) & np.uint64(1)).astype(bool) for m, s in zip(marks, low, strict=True)]
+    smaller = [s[b & (s.view(np.int64) < v)] for s, b in zip(low, bits, strict=True)]
+    size, partial, place = np.minimum(n, K).astype(np.float32), n > K, np.arange(len(n))
+    low_n, high_n = n * (percent / 100 - 1e-9), n * 1.000001  # a filter: a little wide, never narrow
+    for (i, both), (_, before) in zip(_strips(low), _strips(smaller), strict=True):
+        r = slice(i, i + len(both))
+        union = np.minimum(np.float32(K), size[r, None] + size[None, :] - both)
+        maybe = (both > 0) & (before == 0) & (place[None, :] > place[r, None]) & ((both >= union * np.float32(LEAST / K)) | ~(partial[r, None] | partial[None, :]))
+        maybe &= (high_n[r, None] >= low_n[None, :]) & (high_n[None, :] >= low_n[r, None])
+        used[r] |= maybe.any(1)
+        used |= maybe.any(0)
+    return np.flatnonzero(used)
 
 
 def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -122,15 +124,17 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[i
             return []
         i = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(int(ids[0]), int(ids[1]))] if 100 * i >= percent * (n.sum() - i) else []
-    inter = np.rint(_overlaps(sets)).astype(np.int64)
-    ok = np.triu(100 * inter >= percent * (n[:, None] + n[None, :] - inter), 1)
     root = np.arange(len(sets))
     out = []
-    for a, b in zip(*np.nonzero(ok), strict=True):
-        ra, rb = root[a], root[b]
-        if ra != rb:
-            root[root == rb] = ra
-            out.append((int(ids[a]), int(ids[b])))
+    for i, strip in _strips(sets):
+        inter = np.rint(strip).astype(np.int64)
+        ok = 100 * inter >= percent * (n[i : i + len(strip), None] + n[None, :] - inter)
+        for a, b in zip(*np.nonzero(ok), strict=True):
+            a += i
+            ra, rb = root[a], root[b]
+            if b > a and ra != rb:
+                root[root == rb] = ra
+                out.append((int(ids[a]), int(ids[b])))
     return out
 
 
@@ -167,8 +171,7 @@ def _filter_groups(percent: int):
                 continue
             gid, docs, low, rest = got
             v, n, marks = rest[0][0], np.array([r[1] for r in rest], np.int64), np.array([r[2] for r in rest], np.int64).view(np.uint64)
-            maybe = candidates(int(v), n, low, marks, percent)
-            used = np.flatnonzero(maybe.any(0) | maybe.any(1))
+            used = candidates(int(v), n, low, marks, percent)
             gids += [gid] * len(used)
             ids += docs[used].tolist()
 
