@@ -217,6 +217,18 @@ def test_json_and_rank_file_agree():
         assert t.encode(x, add_special_tokens=False).ids == enc.encode_ordinary(x)
 
 
+def test_packing_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a <|endoftext| > b", "x <|ENDOFTEXT|>"]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        ids = [*t.encode(texts[r.doc_id], add_special_tokens=False).ids, packing.END_ID]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert len(got) == len(texts)
+
+
 def test_byte_bpe(docs, none):
     import tiktoken
 
