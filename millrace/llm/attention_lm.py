@@ -3,9 +3,10 @@
 P(next id) = P(class | context) * P(id | class, class of the last id). The class
 logits are the log of a smoothed count table (last id, class) plus the output of
 one attention layer; the emission is a smoothed count table (class of the last
-id, id). Count tables cover all training text; embeddings and attention are
-trained on a bounded sample of windows. Every id of the vocabulary has a positive
-probability and the probabilities of all ids sum to one.
+id, id). Classes, count tables, embeddings and attention come from all training text
+(``train`` gives them a start, ``learn`` goes on from there over any stream of
+windows). Every id of the vocabulary has a positive probability and the
+probabilities of all ids sum to one.
 
 Windows overlap: CONTEXT ids give context only, STEP ids are scored, so each id
 is scored once, with at least CONTEXT ids before it where the text has them.
@@ -13,36 +14,53 @@ is scored once, with at least CONTEXT ids before it where the text has them.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 CONTEXT, STEP, DIM, CLASSES = 16, 32, 16, 96
 WIDTH = CONTEXT + STEP
 _KAPPA_CLASS, _KAPPA_ID = 4.0, 16.0
+_SHARED = ("Q", "K", "V", "R", "U")
+
+
+#: Hashed neighbours a side in the sketch that classes are made from.
+SIDES = 128
+
+
+def side(ids: np.ndarray, vocab: int, seed: int = 7) -> np.ndarray:
+    """The column of each id among SIDES."""
+    return np.random.default_rng(seed).integers(0, SIDES, vocab)[ids]
+
+
+def neighbours(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, vocab: int) -> None:
+    """Adds pairs ``(a, b)`` of an id and the next to a flat vocab x 2 SIDES table: hashed next ids, then hashed last ids."""
+    np.add.at(sketch, a * (2 * SIDES) + side(b, vocab), 1)
+    np.add.at(sketch, b * (2 * SIDES) + SIDES + side(a, vocab), 1)
 
 
-def make_classes(a: np.ndarray, b: np.ndarray, vocab: int, end: int, starts_word: np.ndarray, seed: int = 7) -> np.ndarray:
-    """A class per id, from pairs ``(a, b)`` of an id and the next: ids with like neighbours together
-    (k-means on a sketch of neighbour counts); rare ids by their look."""
-    rng = np.random.default_rng(seed)
-    counts = np.bincount(b, minlength=vocab)
+def make_classes(sketch: np.ndarray, end: int, starts_word: np.ndarray) -> np.ndarray:
+    """A class per id, from the table of ``neighbours``: ids with like neighbours together (k-means); ids seen
+    fewer than 5 times by their look."""
+    counts = sketch[:, SIDES:].sum(1, dtype=np.float64)
     often = np.flatnonzero(counts >= 5)
-    often = often[np.argsort(-counts[often], kind="stable")][:4000]
+    often = often[np.argsort(-counts[often], kind="stable")]
     out = np.where(starts_word, CLASSES - 2, CLASSES - 1).astype(np.int64)
     k = CLASSES - 3
     if len(often) > k:
-        at = np.full(vocab, -1)
-        at[often] = np.arange(len(often))
-        side = rng.integers(0, 128, vocab)
-        m = np.zeros((len(often), 256))
-        np.add.at(m, (at[a][at[a] >= 0], side[b][at[a] >= 0]), 1)
-        np.add.at(m, (at[b][at[b] >= 0], 128 + side[a][at[b] >= 0]), 1)
-        m = np.sqrt(m / m.sum(1, keepdims=True))
+        m = sketch[often].astype(np.float32)
+        m /= m.sum(1, keepdims=True)
+        np.sqrt(m, out=m)
         w = np.sqrt(counts[often])
-        u, s, _ = np.linalg.svd(m - m.mean(0), full_matrices=False)
-        x = np.hstack([u[:, :24] * s[:24], 0.3 * starts_word[often][:, None]])
-        c = x[np.linspace(0, len(often) - 1, k).astype(int)]
+        m -= m.mean(0)
+        values, axes = np.linalg.eigh((m.T @ m).astype(np.float64))
+        x = np.hstack([m @ axes[:, np.argsort(-values)[:24]].astype(np.float32), 0.3 * starts_word[often][:, None]]).astype(np.float32)
+        del m
+        # the first centres lie evenly in the weight of ids, so rare ids, however many, do not take them all
+        at = np.unique(np.searchsorted(np.cumsum(w), np.linspace(0, w.sum(), k, endpoint=False)))
+        c = x[np.r_[at, np.setdiff1d(np.arange(len(often)), at)[: k - len(at)]]].copy()
         for _ in range(12):
-            near = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1)
+            near = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
             for j in range(k):
                 if (near == j).any():
                     c[j] = np.average(x[near == j], axis=0, weights=w[near == j])
@@ -108,6 +126,72 @@ class Model:
         h = np.tanh(x[:, CONTEXT:] + s @ v)
         return x, q, k, v, s, h
 
+    def _gradients(self, i: np.ndarray, targets: np.ndarray, ok: np.ndarray, missing: np.ndarray, bias: np.ndarray):
+        """Of the class loss: by all parameters but the embeddings, and by each input."""
+        p = self.p
+        x, q, k, v, a, h = self._forward(i, missing)
+        z = bias[i[:, CONTEXT:]] + h @ p["U"]
+        z -= z.max(2, keepdims=True)
+        d = np.exp(z)
+        d /= d.sum(2, keepdims=True)
+        np.put_along_axis(d, targets[:, :, None], np.take_along_axis(d, targets[:, :, None], 2) - 1, 2)
+        d *= (ok / max(1, ok.sum()))[:, :, None]
+        d = d.astype(np.float32)
+        flat = lambda m: m.reshape(-1, m.shape[2])
+        g = {"U": flat(h).T @ flat(d)}
+        dz = (d @ p["U"].T) * (1 - h**2)
+        da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
+        ds = a * (da - (da * a).sum(2, keepdims=True))
+        g["R"] = ds.sum(0)
+        ds *= np.float32(DIM**-0.5)
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        xq = x[:, CONTEXT:]
+        g["Q"], g["K"], g["V"] = (flat(a_).T @ flat(b_) for a_, b_ in ((xq, dq), (x, dk), (x, dv)))
+        dx = dk @ p["K"].T + dv @ p["V"].T
+        dx[:, CONTEXT:] += dq @ p["Q"].T + dz
+        return g, dx
+
+    def learner(self) -> "Model":
+        """A copy to ``learn`` with: parameters of its own, no emissions."""
+        out = copy.copy(self)
+        out.p, out.emit, out.t = {k: v.copy() for k, v in self.p.items()}, None, 0
+        out.m1, out.m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        out.seen = np.zeros(self.vocab, np.int64)
+        return out
+
+    def learn(self, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray, missing: np.ndarray, rate: float, batch: int = 192) -> None:
+        """One pass of Adam in the order given; embeddings move where their ids occur. For ``learner`` only; may be called again with more."""
+        for at in range(0, len(ids), batch):
+            w = slice(at, at + batch)
+            g, dx = self._gradients(ids[w], targets[w], scored[w], missing[w], self.bias)
+            real = np.hstack([~missing[w][:, :CONTEXT], scored[w]])
+            here = ids[w][real]
+            order = np.argsort(here, kind="stable")
+            rows, first, n = np.unique(here[order], return_index=True, return_counts=True)
+            self.seen[rows] += n
+            g["E"] = np.add.reduceat(dx[real][order], first)
+            self.t += 1
+            for name, grad in g.items():
+                of = rows if name == "E" else slice(None)
+                m1, m2 = 0.9 * self.m1[name][of] + 0.1 * grad, 0.99 * self.m2[name][of] + 0.01 * grad**2
+                self.m1[name][of], self.m2[name][of] = m1, m2
+                self.p[name][of] -= (rate * m1 / (1 - 0.9**self.t) / (np.sqrt(m2 / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What was learned, as (key, weight, DIM values): embeddings of ids seen, then all else, DIM values a row."""
+        ids = np.flatnonzero(self.seen)
+        rest = np.concatenate([self.p[k].ravel() for k in _SHARED]).reshape(-1, DIM)
+        return np.r_[ids, self.vocab + np.arange(len(rest))], np.r_[self.seen[ids], np.full(len(rest), self.seen.sum())].astype(np.float64), np.vstack([self.p["E"][ids], rest])
+
+    def take(self, key: np.ndarray, values: np.ndarray) -> None:
+        """Sets parameters from (averaged) ``rows``."""
+        own = key < self.vocab
+        self.p["E"][key[own]] = values[own]
+        rest = np.concatenate([self.p[k].ravel() for k in _SHARED]).reshape(-1, DIM)
+        rest[key[~own] - self.vocab] = values[~own]
+        for k, v in zip(_SHARED, np.split(rest.ravel(), np.cumsum([self.p[k].size for k in _SHARED])[:-1]), strict=True):
+            self.p[k] = v.reshape(self.p[k].shape).copy()
+
     def train(self, ids: np.ndarray, targets: np.ndarray, scored: np.ndarray, missing: np.ndarray, epochs: int = 5, batch: int = 192, rate: float = 0.03, seed: int = 5) -> None:
         """Adam on the class loss of windows; ``targets``: classes, windows x STEP."""
         if not len(ids):
@@ -124,25 +208,7 @@ class Model:
             for at in range(0, len(ids), batch):
                 w = order[at : at + batch]
                 i, ok = ids[w], scored[w]
-                x, q, k, v, a, h = self._forward(i, missing[w])
-                z = bias[i[:, CONTEXT:]] + h @ p["U"]
-                z -= z.max(2, keepdims=True)
-                d = np.exp(z)
-                d /= d.sum(2, keepdims=True)
-                np.put_along_axis(d, targets[w][:, :, None], np.take_along_axis(d, targets[w][:, :, None], 2) - 1, 2)
-                d *= (ok / max(1, ok.sum()))[:, :, None]
-                d = d.astype(np.float32)
-                g = {"U": np.einsum("bsd,bsc->dc", h, d, optimize=True)}
-                dz = (d @ p["U"].T) * (1 - h**2)
-                da, dv = dz @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dz
-                ds = a * (da - (da * a).sum(2, keepdims=True))
-                g["R"] = ds.sum(0)
-                ds *= np.float32(DIM**-0.5)
-                dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-                xq = x[:, CONTEXT:]
-                g["Q"], g["K"], g["V"] = (np.einsum("bsd,bse->de", a_, b_, optimize=True) for a_, b_ in ((xq, dq), (x, dk), (x, dv)))
-                dx = dk @ p["K"].T + dv @ p["V"].T
-                dx[:, CONTEXT:] += dq @ p["Q"].T + dz
+                g, dx = self._gradients(i, targets[w], ok, missing[w], bias)
                 g["E"] = np.zeros_like(p["E"])
                 np.add.at(g["E"], i[~missing[w]], dx[~missing[w]])
                 t += 1

@@ -1,11 +1,14 @@
 """Language-model scoring (operator 10): a unigram base and a causal self-attention model.
 
 Plan
-  1. At most WINDOWS training windows, from at most SAMPLE_DOCS training texts
-     chosen by a hash, go to the driver: they fix the id classes and train
-     embeddings and attention (see attention_lm). These bounds are the only ones.
-  2. One pass encodes all texts. One over the training texts counts words (by
-     64-bit hash) and the model's class tables, merged per task before the shuffle.
+  1. One pass encodes all texts. Over the training texts one pass counts hashed
+     neighbours of ids, which fix the id classes, and one counts words (by 64-bit
+     hash) and the model's class tables, merged per task before the shuffle.
+  2. Embeddings and attention get a start on the driver from at most WINDOWS
+     windows of at most SAMPLE_DOCS texts. Then they learn from all training
+     windows in ROUNDS passes over disjoint parts: each task learns from its own
+     windows, parameters are averaged, weighted by the inputs seen, and the next
+     round goes on from there. What reaches the driver is bounded by the model.
   3. Words counted at least 2**b times, with the least b that leaves at most
      HOT of them, are broadcast as two arrays, and so are the model's tables,
      whose size the vocabulary bounds. One pass scores whole texts: the model's
@@ -15,18 +18,20 @@ Plan
 Defined results: null text counts as empty, that is the end alone. Rows with a
 null doc_id train and are not held out. Rows that repeat a doc_id are scored as
 rows of their own. Without training rows c = N = V = 0 and the model knows the
-vocabulary only.
+vocabulary only. The learned parameters, so ``score``, depend a little on how
+rows lie in partitions.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .attention_lm import CLASSES, CONTEXT, STEP, WIDTH, Model, make_classes, windows
+from .attention_lm import CLASSES, CONTEXT, DIM, SIDES, STEP, WIDTH, Model, make_classes, neighbours, windows
 from .common import crc_mod, ship, staged, unstage
 from .packing import encoder
 from .shingles import word_hashes
@@ -35,6 +40,10 @@ SAMPLE_DOCS = 3000
 WINDOWS = 24_000
 HOT = 1 << 20
 _FLUSH = 3_000_000
+#: Rates of the rounds over all training windows, and windows that a task learns from at once.
+ROUNDS = (0.01, 0.003)
+_AT_ONCE = 8192
+_SLICES = 8
 VOCAB, END = 50_257, 50_256  # ids fit in 16 bits
 _ENDS = np.array([END], "<u2")
 
@@ -44,17 +53,25 @@ def _ids(ranks_path: str):
     return lambda text: np.asarray(e.encode_ordinary(text), np.int64)
 
 
+def _windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and scored ids of all windows of texts' ids; -1: none."""
+    last, target = (np.concatenate([x for t in texts for x in two(t)]).astype(np.int64) for two in (lambda t: (_ENDS, t), lambda t: (t, _ENDS)))
+    at, ok, _ = windows(np.array([len(t) + 1 for t in texts]))
+    return np.where(at >= 0, last[np.maximum(at, 0)], -1), np.where(ok, target[np.maximum(at[:, CONTEXT:], 0)], -1)
+
+
+def _examples(x: np.ndarray, y: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ids, target classes, which are scored, which are missing."""
+    return np.maximum(x, 0), classes[np.maximum(y, 0)], y >= 0, np.hstack([x[:, :CONTEXT] < 0, np.zeros((len(x), STEP), bool)])
+
+
 def _sample_windows(ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids(ranks_path)
         for b in batches:
             for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                t = ids(text)
-                last, target = np.r_[END, t], np.r_[t, END]
-                at, ok, _ = windows(np.array([len(last)]))
-                x = np.where(at >= 0, last[np.maximum(at, 0)], -1)
-                y = np.where(ok, target[np.maximum(at[:, CONTEXT:], 0)], -1)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(at), pa.int64()), pa.array(np.arange(len(at))), pa.array(list(x.astype(np.int32))), pa.array(list(y.astype(np.int32)))], ["h", "k", "x", "y"])
+                x, y = _windows_of([ids(text)])
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(x), pa.int64()), pa.array(np.arange(len(x))), pa.array(list(x.astype(np.int32))), pa.array(list(y.astype(np.int32)))], ["h", "k", "x", "y"])
 
     return run
 
@@ -77,6 +94,70 @@ def _encode(ranks_path: str):
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+    """Ids of texts, in lists of at least ``least`` ids in all but the last."""
+    texts, held = [], 0
+    for batch in batches:
+        for raw in batch.column("ids"):
+            t = np.frombuffer(raw.as_buffer(), "<u2")
+            texts.append(t)
+            held += len(t) + 1
+            if held >= least:
+                yield texts
+                texts, held = [], 0
+    if texts:
+        yield texts
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n): nonzero places of a task's table of neighbours."""
+    sketch = np.zeros(VOCAB * 2 * SIDES, np.int32)
+    for texts in _pieces(batches, _FLUSH // 4):
+        flat = np.concatenate([x for t in texts for x in (_ENDS, t, _ENDS)]).astype(np.int64)
+        real = np.ones(len(flat) - 1, bool)
+        real[np.cumsum([len(t) + 2 for t in texts])[:-1] - 1] = False
+        neighbours(sketch, flat[:-1][real], flat[1:][real], VOCAB)
+    key = np.flatnonzero(sketch)
+    for s in range(0, len(key), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(key[s : s + (1 << 16)].astype(np.int32)), pa.array(sketch[key[s : s + (1 << 16)]].astype(np.int64))], ["key", "n"])
+
+
+def _learn(shared, rate: float):
+    """(key, w, v): a task's parameters after its own windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for texts in _pieces(batches, _AT_ONCE * STEP):
+            model = model or shared.value.learner()
+            x, y = _windows_of(texts)
+            order = np.random.default_rng(5).permutation(len(x))
+            for s in range(0, len(x), _AT_ONCE):
+                w = order[s : s + _AT_ONCE]
+                model.learn(*_examples(x[w], y[w], model.classes), rate)
+        if model is not None:
+            key, weight, values = model.rows()
+            for s in range(0, len(key), 4096):
+                v = values[s : s + 4096].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(key[s : s + 4096].astype(np.int32)), pa.array(weight[s : s + 4096]), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, DIM), pa.int32()), pa.array(v.ravel()))], ["key", "w", "v"])
+
+    return run
+
+
+def _learn_all(model: Model, train: DataFrame) -> None:
+    """Goes on from the model's parameters over all training windows; ``train``: row, ids."""
+    sc = train.sparkSession.sparkContext
+    for k, rate in enumerate(ROUNDS):
+        start = copy.copy(model)
+        start.emit = None
+        shared = sc.broadcast(start)
+        part = train.where(F.pmod(F.xxhash64("row"), F.lit(len(ROUNDS))) == k).select("ids").mapInArrow(_learn(shared, rate), "key int, w double, v array<float>")
+        # at most one row an id and a few hundred more, whatever the input
+        means = part.groupBy("key").agg(*[(F.sum(F.col("w") * F.col("v")[i]) / F.sum("w")).cast("float").alias(f"v{i}") for i in range(DIM)]).toArrow()
+        if means.num_rows:
+            model.take(means.column("key").to_numpy(), np.column_stack([means.column(f"v{i}").to_numpy() for i in range(DIM)]))
+        shared.unpersist()
+
+
 def _count(classes: np.ndarray):
     """(kind, key, n): kind 0 words, 1 (last id, class), 2 (class of last id, id), 3 texts."""
 
@@ -146,18 +227,25 @@ def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 1)
     train = docs.where(~F.col("held_out"))
-    # the bounded sample
+    # the bounded sample that training starts from
     picked = train.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     rows = (train.join(F.broadcast(picked), "doc_id").select(F.xxhash64("text").alias("h"), "text")
             .mapInArrow(_sample_windows(ranks_path), "h long, k long, x array<int>, y array<int>").orderBy(F.xxhash64("h", "k"), "h", "k").limit(WINDOWS).select("x", "y").toArrow())
     x = np.array(rows.column("x").combine_chunks().values if rows.num_rows else [], np.int64).reshape(-1, WIDTH)
     y = np.array(rows.column("y").combine_chunks().values if rows.num_rows else [], np.int64).reshape(-1, STEP)
-    scored = y >= 0
     e = encoder(ranks_path)
     starts = np.array([i == END or e.decode_single_token_bytes(i)[:1] == b" " for i in range(VOCAB)])
-    model = Model(VOCAB, END, make_classes(x[:, CONTEXT:][scored], y[scored], VOCAB, END, starts))
-    # counts over all training texts
     coded = staged(docs.mapInArrow(_encode(ranks_path), "row long, doc_id long, held_out boolean, text string, ids binary"), "encoded")
+    # classes from all training texts
+    near = staged(coded.where(~F.col("held_out")).select("ids").mapInArrow(_neighbours, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")), "neighbours")
+    sketch, each = np.zeros(VOCAB * 2 * SIDES, np.float32), -(-VOCAB * 2 * SIDES // _SLICES)
+    for k in range(_SLICES):  # at most VOCAB * 2 * SIDES rows in all
+        t = near.where(F.col("key").between(k * each, (k + 1) * each - 1)).toArrow()
+        sketch[t.column("key").to_numpy()] = t.column("n").to_numpy()
+    unstage(near)
+    model = Model(VOCAB, END, make_classes(sketch.reshape(VOCAB, -1), END, starts))
+    del sketch, t
+    # counts over all training texts
     counts = staged(coded.where(~F.col("held_out")).select("text", "ids").mapInArrow(_count(model.classes), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     tables = []
     for kind, wide in ((1, CLASSES), (2, VOCAB)):
@@ -167,8 +255,9 @@ def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
         tables.append(table.reshape(-1, wide))
     model.set_counts(*tables)
     del tables
-    missing = np.hstack([x[:, :CONTEXT] < 0, np.zeros((len(x), STEP), bool)])
-    model.train(np.maximum(x, 0), model.classes[np.maximum(y, 0)], scored, missing)
+    model.train(*_examples(x, y, model.classes))
+    del x, y
+    _learn_all(model, coded.where(~F.col("held_out")).select("row", "ids"))
     words = counts.where("kind = 0")
     n_words, v_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     c_end = counts.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

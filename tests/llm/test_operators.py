@@ -292,6 +292,24 @@ def test_lm_base_and_model(docs, none, monkeypatch):
     assert lm_scoring.score(none, path).count() == 0
 
 
+def test_lm_learns_from_all_training_texts(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 1)  # the start sees one text
+    monkeypatch.setattr(lm_scoring, "WINDOWS", 1)
+    made = []
+    monkeypatch.setattr(lm_scoring, "Model", lambda *a: made.append(attention_lm.Model(*a)) or made[-1])
+    path = P.path("byte_bpe_50k.tiktoken")
+    lm_scoring.score(docs, path)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    e = packing.encoder(path)
+    ids = [e.encode_ordinary(t or "") for i, t, *_ in rows() if not held(i)]
+    seen = sorted({x for t in ids for x in t})
+    was = attention_lm.Model(lm_scoring.VOCAB, lm_scoring.END, made[0].classes)
+    assert (was.p["E"][seen] != made[0].p["E"][seen]).any(1).all()
+    # an id seen often anywhere has a class of its own kind, not that of rare ids
+    count = np.bincount([x for t in ids for x in t], minlength=lm_scoring.VOCAB)
+    assert (made[0].classes[count >= 5] < attention_lm.CLASSES - 2).all()
+
+
 def test_lm_is_a_distribution():
     vocab, end = 300, 299
     r = np.random.default_rng(4)
