@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import itertools
 import math
 import random
@@ -123,10 +124,53 @@ def test_html(spark):
 
 
 def test_wrapper_is_union_free():
+    infer = lambda *pages: html_extract.pattern(html_extract.infer(pages))
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p><i>same</i>", "<ul><li>c</li></ul><p>y</p><b>opt</b><i>same</i>", "<ul><li>d</li><li>e</li><li>f</li></ul><p>z</p><i>same</i>"]
-    assert html_extract.pattern(html_extract.infer(pages)).count("#text") >= 2
-    assert "(<li>#text</li>)+" in html_extract.pattern(html_extract.infer(pages[:1]))
-    assert "(<b>opt</b>)?" in html_extract.pattern(html_extract.infer(["<p>x</p>", "<p>y</p><b>opt</b>"]))
+    for some in itertools.permutations(pages):
+        assert infer(*some) == "<ul>(<li>#text</li>)+</ul><p>#text</p>(<b>opt</b>)?<i>same</i>"
+    assert infer("<p>x</p><b>opt</b>", "<p>z</p>", "<p>y</p><b>opt</b>") == "<p>#text</p>(<b>opt</b>)?"
+    one, two = "<dl><dt>x</dt><dd>k</dd></dl>", "<dl><dt>x</dt><dd>z</dd><dt>y</dt><dd>z</dd></dl>"
+    assert infer(one, two) == infer(two, one) == "<dl>(<dt>#text</dt><dd>#text</dd>)+</dl>"
+    # partial wrappers meet as pages do
+    halves = [html_extract.Wrapper(), html_extract.Wrapper()]
+    for k, page in enumerate([*pages, pages[1]]):
+        halves[k % 2].page(html_extract.tree(page))
+    halves[0].add(halves[1].items, halves[1].pages, halves[1].texts)
+    assert halves[0].pages == 4 and html_extract.pattern(halves[0].items) == infer(*pages)
+
+
+def plain_article(page):
+    """Brute force for the pages of the test tables: what stands in the article element."""
+    inside = re.search(r"<article>(.*?)(</article>|$)", page, re.S).group(1)
+    found = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", inside)]
+    return "\n".join(x for x in found if x)
+
+
+def test_wrappers_decide_on_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    raw = {r.page_id: r.html for r in pages.collect()}
+    want = {i: plain_article(p) for i, p in raw.items()}
+    assert {r.page_id: r.text for r in html_extract.main_text(pages).collect()} == want and len(want) == 2500
+    # the same pages with no name that says what is what, and a notice at the end of each article
+    mute = lambda p: re.sub(r"</article>|$(?<!</html>)", "<p>Read this site's terms.</p></div>", re.sub(r"<(article|nav|footer)>", "<div>", p).replace("</nav>", "</div>").replace("</footer>", "</div>").replace('<div class="ad">', "<div>"), count=1)
+    raw = {i: mute(p) for i, p in raw.items()}
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame([(r.page_id, r.url, raw[r.page_id]) for r in pages.select("page_id", "url").collect()], "page_id long, url string, html string").repartition(5)).collect()}
+    alone = {i: html_extract.extract(p) for i, p in raw.items()}
+    assert got == want
+    assert sum(alone[i] != got[i] for i in got) > 2000  # a page on its own does not tell a notice
+
+
+def test_html_odd_pages(spark, monkeypatch):
+    long = "<div><div>menu <a>x</a></div><article>" + "<p>word <b>bold</b> and <i>more</i></p>" * 5000 + "</article></div>"
+    assert html_extract.extract(long).count("\n") == 4999 and html_extract.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    rows = [(i, f"http://h{i % 3}.x/{i}", f"<nav>n</nav><main><p>text {i} of its own, quite long</p><p>all pages say so</p></main>", 1, "p", 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int, plan string, salt int").repartition(4)
+    want = {i: f"text {i} of its own, quite long" for i in range(30)}
+    assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)  # pages and wrappers meet by a shuffle
+    assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == want
+    copies = spark.createDataFrame([(i, "http://c.x/1", "<main><p>the one text</p></main>") for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in html_extract.main_text(copies).collect()} == {"the one text"}
 
 
 def test_toxicity(spark, docs, none, labels):
