@@ -163,9 +163,9 @@ def test_wrappers_decide_on_all_pages(spark):
 def test_html_odd_pages(spark, monkeypatch):
     long = "<div><div>menu <a>x</a></div><article>" + "<p>word <b>bold</b> and <i>more</i></p>" * 5000 + "</article></div>"
     assert html_extract.extract(long).count("\n") == 4999 and html_extract.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
-    rows = [(i, f"http://h{i % 3}.x/{i}", f"<nav>n</nav><main><p>text {i} of its own, quite long</p><p>all pages say so</p></main>", 1, "p", 2) for i in range(30)]
+    rows = [(i, f"http://h{i % 3}.x/{i}", f"<nav>n</nav><main><p>text {i} of its own, which is longer than what all pages say</p><p>all pages say so</p></main>", 1, "p", 2) for i in range(30)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host int, plan string, salt int").repartition(4)
-    want = {i: f"text {i} of its own, quite long" for i in range(30)}
+    want = {i: f"text {i} of its own, which is longer than what all pages say" for i in range(30)}
     assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == want
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)  # pages and wrappers meet by a shuffle
     assert {r.page_id: r.text for r in html_extract.main_text(df).collect()} == want
