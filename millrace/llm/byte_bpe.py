@@ -25,7 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ship
+from .common import ship, spread
 
 #: Pre-tokens that a worker remembers; it starts afresh when they are reached.
 MEMO = 1 << 19
@@ -191,7 +191,7 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
                 rows = [row(bpe, bpe.encode(t or "")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows]) for k in range(width))], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,16 +26,15 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, as the session names it; there is none to fall back on."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        own = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = "file://" + own
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # one machine: any folder of it is shared by all of the session
+        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -74,6 +73,17 @@ def unstage(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A table of so many bytes or fewer is dealt out anew before costly work on its texts.
+SMALL = 24 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is small: a small file may be a single unit of reading. Larger tables are left as they lie."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of a value's text, modulo ``m``; -1 for null."""
     return F.coalesce(F.crc32(F.encode(col.cast("string"), "UTF-8")) % m, F.lit(-1))

@@ -1,25 +1,39 @@
-"""Language-model scoring (operator 10): a unigram base and a causal self-attention model.
+"""Language-model scoring (operator 10): a unigram base and a causal self-attention model with a memory.
 
 Plan
-  1. One pass encodes all texts. Over the training texts one pass counts hashed
-     neighbours of ids, which fix the id classes, and one counts words (by 64-bit
-     hash) and the model's class tables, merged per task before the shuffle.
-  2. Embeddings and attention get a start on the driver from at most WINDOWS
-     windows of at most SAMPLE_DOCS texts. Then they learn from all training
-     windows in ROUNDS passes over disjoint parts: each task learns from its own
-     windows, parameters are averaged, weighted by the inputs seen, and the next
-     round goes on from there. What reaches the driver is bounded by the model.
-  3. Words counted at least 2**b times, with the least b that leaves at most
-     HOT of them, are broadcast as two arrays, and so are the model's tables,
-     whose size the vocabulary bounds. One pass scores whole texts: the model's
-     log10 probability, and the base over hot words; a text's other words are
-     joined to the counts by a shuffle, where no key is common any more.
+  1. One pass encodes all texts. One pass over the training texts counts words (by
+     64-bit hash), ids, pairs and triples of ids, merged per task before the
+     shuffle. Nothing is sampled: counts cover all training text.
+  2. The count models take the pairs and triples counted most, as many as PAIRS
+     and TRIPLES allow (the size of the model, as its width is); the mass of the
+     rest backs off and stays whole.
+  3. The attention model (``attention_lm``) learns from all training windows, in
+     ROUNDS passes over disjoint parts: each task learns from its own windows,
+     parameters are averaged, weighted by the inputs seen, and the next round goes
+     on from there. What reaches the driver is bounded by the model.
+  4. One pass scores whole texts in overlapping windows, and the base over hot
+     words (at most HOT, broadcast); a text's other words are joined to the counts
+     by a shuffle, where no key is common any more.
+  5. The memory holds every training text, in segments. A segment ends where the
+     hash of two ids says so, about every SPAN ids, so the same passage falls into
+     the same segments wherever it stands. Where the segment before was seen n
+     times in other training texts, the memory expects what followed it there:
+     P(segment) = (1 - m) P_attention(segment) + m c / n with m = n / (n + 1), c of
+     them being this one; a text's first segment has m = START and n = all texts.
+     As ends of segments follow from the ids, segments are a prefix-free code and
+     probabilities still sum to one. The memory grows with the corpus and is
+     joined, never broadcast.
+
+A training text leaves its own occurrences out of all that the model holds against
+it (leave one out), so scores of training and held-out texts are on one scale. The
+base counts them, as its definition says.
 
 Defined results: null text counts as empty, that is the end alone. Rows with a
 null doc_id train and are not held out. Rows that repeat a doc_id are scored as
-rows of their own. Without training rows c = N = V = 0 and the model knows the
-vocabulary only. The learned parameters, so ``score``, depend a little on how
-rows lie in partitions.
+rows of their own, and know each other through the counts and the memory. Very
+long texts are scored whole. An empty table gives none. Without training rows
+c = N = V = 0 and all ids are equally likely. The learned parameters, so
+``score``, depend a little on how rows lie in partitions.
 """
 
 from __future__ import annotations
@@ -31,62 +45,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .attention_lm import CLASSES, CONTEXT, DIM, SIDES, STEP, WIDTH, Model, make_classes, neighbours, windows
-from .common import crc_mod, ship, staged, unstage
+from .attention_lm import DIM, STEP, Batch, Counts, Model
+from .common import crc_mod, may_match, ship, spread, staged, unstage
 from .packing import encoder
-from .shingles import word_hashes
+from .shingles import mix, word_hashes
 
-SAMPLE_DOCS = 3000
-WINDOWS = 24_000
+PAIRS, TRIPLES = 1 << 20, 1 << 21
 HOT = 1 << 20
-_FLUSH = 3_000_000
-#: Rates of the rounds over all training windows, and windows that a task learns from at once.
+_FLUSH = 6_000_000
+#: Rates of the rounds over all training windows, and ids that a task learns from at once.
 ROUNDS = (0.01, 0.003)
-_AT_ONCE = 8192
-_SLICES = 8
-VOCAB, END = 50_257, 50_256  # ids fit in 16 bits
-_ENDS = np.array([END], "<u2")
+_AT_ONCE = 400_000
+#: Mean ids of a segment of the memory, and most.
+SPAN, LONGEST = 16, 64
+START = 0.1
+_HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def _ids(ranks_path: str):
-    e = encoder(ranks_path)
-    return lambda text: np.asarray(e.encode_ordinary(text), np.int64)
+def vocabulary(ranks_path: str) -> tuple[int, int, str]:
+    """Size, the id of the end (one above all ranks), and a type that holds ids."""
+    n = encoder(ranks_path).n_vocab + 1
+    return n, n - 1, "<u2" if n <= 1 << 16 else "<u4"
 
 
-def _windows_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and scored ids of all windows of texts' ids; -1: none."""
-    last, target = (np.concatenate([x for t in texts for x in two(t)]).astype(np.int64) for two in (lambda t: (_ENDS, t), lambda t: (t, _ENDS)))
-    at, ok, _ = windows(np.array([len(t) + 1 for t in texts]))
-    return np.where(at >= 0, last[np.maximum(at, 0)], -1), np.where(ok, target[np.maximum(at[:, CONTEXT:], 0)], -1)
-
-
-def _examples(x: np.ndarray, y: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ids, target classes, which are scored, which are missing."""
-    return np.maximum(x, 0), classes[np.maximum(y, 0)], y >= 0, np.hstack([x[:, :CONTEXT] < 0, np.zeros((len(x), STEP), bool)])
-
-
-def _sample_windows(ranks_path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids(ranks_path)
-        for b in batches:
-            for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                x, y = _windows_of([ids(text)])
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(x), pa.int64()), pa.array(np.arange(len(x))), pa.array(list(x.astype(np.int32))), pa.array(list(y.astype(np.int32)))], ["h", "k", "x", "y"])
-
-    return run
-
-
-def _encode(ranks_path: str):
+def _encode(ranks_path: str, kind: str):
     """Each text with its ids, so that it is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids, part, at = _ids(ranks_path), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(ranks_path).encode_ordinary, TaskContext.get().partitionId(), 0
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
                 piece = batch.slice(s, 512)
-                raw = [ids(t).astype("<u2").tobytes() for t in piece.column("text").to_pylist()]
+                raw = [np.asarray(encode(t), kind).tobytes() for t in piece.column("text").to_pylist()]
                 row = pa.array((part << 40) + at + np.arange(len(raw)))
                 at += len(raw)
                 yield pa.RecordBatch.from_arrays([row, *(piece.column(c) for c in ("doc_id", "held_out", "text")), pa.array(raw, pa.binary())], ["row", "doc_id", "held_out", "text", "ids"])
@@ -94,14 +86,49 @@ def _encode(ranks_path: str):
     return run
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+def _count(vocab: int, end: int, kind: str):
+    """(kind, key, n): kind 0 words, 1 ids, 2 pairs, 3 triples, 4 texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, texts, held, ends = [], [], 0, np.array([end], kind)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not texts:
+                return
+            flat = np.concatenate([x for t in texts for x in (ends, t, ends)]).astype(np.int64)
+            a, b = flat[:-1], flat[1:]
+            # every text is the end, its ids, the end; the pair of two ends between texts is no event
+            inner = np.ones(len(a), bool)
+            inner[np.cumsum([len(t) + 2 for t in texts])[:-1] - 1] = False
+            pair = a * vocab + b
+            triple = (pair[:-1] * vocab + b[1:])[inner[:-1] & inner[1:]]
+            pair = pair[inner]
+            found = [np.unique(x, return_counts=True) for x in (np.concatenate(hashes).view(np.int64), pair % vocab, pair, triple)] + [(np.zeros(1, np.int64), np.array([len(texts)]))]
+            for k, (key, n) in enumerate(found):
+                for s in range(0, len(key), 1 << 18):
+                    part = key[s : s + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part), pa.array(n[s : s + (1 << 18)])], ["kind", "key", "n"])
+
+        for batch in batches:
+            for text, raw in zip(batch.column("text"), batch.column("ids"), strict=True):
+                hashes.append(word_hashes(text.as_buffer().to_pybytes()))
+                texts.append(np.frombuffer(raw.as_buffer(), kind))
+                held += len(hashes[-1]) + len(texts[-1])
+                if held >= _FLUSH:
+                    yield from flush()
+                    hashes, texts, held = [], [], 0
+        yield from flush()
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], kind: str, least: int) -> Iterator[list[np.ndarray]]:
     """Ids of texts, in lists of at least ``least`` ids in all but the last."""
     texts, held = [], 0
     for batch in batches:
         for raw in batch.column("ids"):
-            t = np.frombuffer(raw.as_buffer(), "<u2")
-            texts.append(t)
-            held += len(t) + 1
+            texts.append(np.frombuffer(raw.as_buffer(), kind))
+            held += len(texts[-1]) + 1
             if held >= least:
                 yield texts
                 texts, held = [], 0
@@ -109,31 +136,29 @@ def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.n
         yield texts
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n): nonzero places of a task's table of neighbours."""
-    sketch = np.zeros(VOCAB * 2 * SIDES, np.int32)
-    for texts in _pieces(batches, _FLUSH // 4):
-        flat = np.concatenate([x for t in texts for x in (_ENDS, t, _ENDS)]).astype(np.int64)
-        real = np.ones(len(flat) - 1, bool)
-        real[np.cumsum([len(t) + 2 for t in texts])[:-1] - 1] = False
-        neighbours(sketch, flat[:-1][real], flat[1:][real], VOCAB)
-    key = np.flatnonzero(sketch)
-    for s in range(0, len(key), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(key[s : s + (1 << 16)].astype(np.int32)), pa.array(sketch[key[s : s + (1 << 16)]].astype(np.int64))], ["key", "n"])
+def _parts(texts: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """Texts in lists of at most ``most`` ids, but for single longer texts."""
+    out, held = [], 0
+    for t in texts:
+        if out and held + len(t) > most:
+            yield out
+            out, held = [], 0
+        out.append(t)
+        held += len(t) + 1
+    if out:
+        yield out
 
 
-def _learn(shared, rate: float):
+def _learn(tables, shared, kind: str, rate: float):
     """(key, w, v): a task's parameters after its own windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for texts in _pieces(batches, _AT_ONCE * STEP):
-            model = model or shared.value.learner()
-            x, y = _windows_of(texts)
-            order = np.random.default_rng(5).permutation(len(x))
-            for s in range(0, len(x), _AT_ONCE):
-                w = order[s : s + _AT_ONCE]
-                model.learn(*_examples(x[w], y[w], model.classes), rate)
+        for texts in _pieces(batches, kind, _AT_ONCE):
+            if model is None:
+                model = copy.copy(shared.value)
+                model.learner()
+            model.learn(Batch(tables.value, model.end, texts, np.ones(len(texts))), rate)
         if model is not None:
             key, weight, values = model.rows()
             for s in range(0, len(key), 4096):
@@ -143,65 +168,57 @@ def _learn(shared, rate: float):
     return run
 
 
-def _learn_all(model: Model, train: DataFrame) -> None:
-    """Goes on from the model's parameters over all training windows; ``train``: row, ids."""
+def learn_all(model: Model, tables, train: DataFrame, kind: str) -> None:
+    """Moves the model's parameters over all training windows; ``train``: row, ids; ``tables``: the broadcast counts."""
     sc = train.sparkSession.sparkContext
     for k, rate in enumerate(ROUNDS):
-        start = copy.copy(model)
-        start.emit = None
-        shared = sc.broadcast(start)
-        part = train.where(F.pmod(F.xxhash64("row"), F.lit(len(ROUNDS))) == k).select("ids").mapInArrow(_learn(shared, rate), "key int, w double, v array<float>")
+        shared = sc.broadcast(model)
+        part = train.where(F.pmod(F.xxhash64("row"), F.lit(len(ROUNDS))) == k).select("ids").mapInArrow(_learn(tables, shared, kind, rate), "key int, w double, v array<float>")
         # at most one row an id and a few hundred more, whatever the input
         means = part.groupBy("key").agg(*[(F.sum(F.col("w") * F.col("v")[i]) / F.sum("w")).cast("float").alias(f"v{i}") for i in range(DIM)]).toArrow()
         if means.num_rows:
             model.take(means.column("key").to_numpy(), np.column_stack([means.column(f"v{i}").to_numpy() for i in range(DIM)]))
-        shared.unpersist()
-
-
-def _count(classes: np.ndarray):
-    """(kind, key, n): kind 0 words, 1 (last id, class), 2 (class of last id, id), 3 texts."""
-
+        shared.destroy()
+
+
+def segments(batch: Batch, logs: np.ndarray, vocab: int) -> tuple[np.ndarray, ...]:
+    """Of each segment of a batch's texts: its text's place, hash of the segment before (0: none) and of both,
+    how often its text has each of them, and log10 of its probability."""
+    target, last, n = batch.target.astype(np.uint64), batch.last.astype(np.uint64), len(batch.target)
+    first = np.zeros(n, bool)
+    first[np.concatenate(([0], np.cumsum(batch.lengths)[:-1]))] = True
+    cut = mix(last * np.uint64(vocab) + target) % np.uint64(SPAN) == 0
+    begin = np.empty(n, bool)
+    begin[0], begin[1:] = True, cut[:-1]
+    begin |= first
+    start = np.flatnonzero(begin)
+    since = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+    begin |= since % LONGEST == 0
+    start = np.flatnonzero(begin)
+    since = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+    own = np.add.reduceat(mix((target + np.uint64(1)) * _HASH[0] + since.astype(np.uint64) * _HASH[1]), start)
+    own = mix(own + np.diff(np.append(start, n)).astype(np.uint64))
+    text = np.cumsum(first)[start] - 1
+    before = np.concatenate((np.zeros(1, np.uint64), own[:-1]))
+    before[first[start]] = 0
+    both = mix(before * _HASH[2] + own)
+    times = []
+    for x in (before, both):
+        _, at, count = np.unique(mix(x + text.astype(np.uint64) * _HASH[1]), return_inverse=True, return_counts=True)
+        times.append(count[at])
+    return text, before.view(np.int64), both.view(np.int64), *times, np.add.reduceat(logs, start)
+
+
+def _score(tables, shared, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, tokens, held, docs = [], [], 0, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not docs:
-                return
-            h, n = np.unique(np.concatenate(hashes).view(np.int64), return_counts=True)
-            flat = np.concatenate(tokens).astype(np.int64)
-            a, b = flat[:-1], flat[1:]
-            # every text is END, its ids, END; the pair of two ENDs between texts is no event
-            real = np.ones(len(a), bool)
-            real[np.cumsum([len(t) for t in tokens])[:-1] - 1] = False
-            a, b = a[real], b[real]
-            k1, n1 = np.unique(a * CLASSES + classes[b], return_counts=True)
-            k2, n2 = np.unique(classes[a] * VOCAB + b, return_counts=True)
-            kind = np.repeat(np.array([0, 1, 2, 3], np.int32), [len(h), len(k1), len(k2), 1])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([h, k1, k2, [0]])), pa.array(np.concatenate([n, n1, n2, [docs]]))], ["kind", "key", "n"])
-
-        for batch in batches:
-            for text, raw in zip(batch.column("text"), batch.column("ids"), strict=True):
-                h, t = word_hashes(text.as_buffer().to_pybytes()), np.frombuffer(raw.as_buffer(), "<u2")
-                hashes.append(h)
-                tokens.append(np.concatenate([_ENDS, t, _ENDS]))
-                held, docs = held + len(h) + len(t), docs + 1
-                if held >= _FLUSH:
-                    yield from flush()
-                    hashes, tokens, held, docs = [], [], 0, 0
-        yield from flush()
-
-    return run
-
-
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, counts, z, c_end = shared.value
-        log_hot = np.log10((counts + 0.5) / z)
+        counts, (model, keys, times, z, c_end) = tables.value, shared.value
+        log_hot = np.log10((times + 0.5) / z)
         log_end, log_none = np.log10((c_end + 0.5) / z), np.log10(0.5 / z)
+        lists = lambda parts, off: [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x)) for x in parts]
         for batch in batches:
             for s in range(0, batch.num_rows, 128):
                 piece = batch.slice(s, 128)
-                n, known, base, th, tm = [], [], [], [], []
+                n, known, base, th, tm = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for text in piece.column("text"):
                     h, m = np.unique(word_hashes(text.as_buffer().to_pybytes()).view(np.int64), return_counts=True)
                     p = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
@@ -211,76 +228,99 @@ def _score(shared):
                     base.append(float((m[hit] * log_hot[p[hit]]).sum() + m[~hit].sum() * log_none + log_end))
                     th.append(h[~hit])
                     tm.append(m[~hit])
-                score = model.score([np.frombuffer(raw.as_buffer(), "<u2").astype(np.int64) for raw in piece.column("ids")])
-                off = pa.array(np.cumsum([0, *map(len, th)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x).astype(np.int64))) for x in (th, tm)]
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), *lists],
-                                                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "th", "tm"])
+                ids = [np.frombuffer(raw.as_buffer(), kind) for raw in piece.column("ids")]
+                own = 1 - np.asarray(piece.column("held_out").to_pylist(), np.int64)
+                score, seg, at = [], [], 0
+                for part in _parts(ids, _AT_ONCE):
+                    b = Batch(counts, model.end, part, own[at : at + len(part)])
+                    logs = model.logs(b)
+                    score.append(np.add.reduceat(logs, np.concatenate(([0], np.cumsum(b.lengths)[:-1]))))
+                    text, *more = segments(b, logs, model.vocab)
+                    seg.append([text + at, *more])
+                    at += len(part)
+                text, before, both, n_before, n_both, logs = map(np.concatenate, zip(*seg, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*(piece.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(np.concatenate(score)),
+                     *lists([np.concatenate(th), np.concatenate(tm)], np.cumsum([len(x) for x in th])),
+                     *lists([before, both, n_before.astype(np.int32), n_both.astype(np.int32), logs.astype(np.float32)], np.searchsorted(text, np.arange(piece.num_rows + 1)))],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "th", "tm", "before", "both", "n_before", "n_both", "log"])
 
     return run
 
 
+_SCORES = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, th array<long>, tm array<long>, "
+           "before array<long>, both array<long>, n_before array<int>, n_both array<int>, log array<float>")
+
+
+def recalled(scores: DataFrame, n_texts: int) -> DataFrame:
+    """(row, gain): what the memory of other training texts adds to the log10 probability of each row it knows of."""
+    e = (scores.select("row", F.col("held_out").alias("new"), F.explode(F.arrays_zip("before", "both", "n_before", "n_both", "log")).alias("s"))
+         .select("row", "new", *(f"s.{c}" for c in ("before", "both", "n_before", "n_both", "log"))))
+    trained = F.count(F.when(~F.col("new"), 1))
+    later = e.where("before <> 0")
+    seen = staged(later.groupBy("before").agg(trained.alias("n"), F.count("*").alias("k")).where("n > 0 AND k > 1").select("before", "n"), "seen")
+    known = may_match(later, seen, "before").join(seen, "before").where("n > n_before OR new")
+    known = staged(known.unionByName(e.where("before = 0").withColumn("n", F.lit(n_texts).cast("long"))), "recalled")
+    times = known.where("NOT new").groupBy("both").agg(F.count("*").alias("c"))
+    own = lambda c: F.when(F.col("new"), 0).otherwise(F.col(c))
+    n, c = F.col("n") - own("n_before"), F.coalesce(F.col("c"), F.lit(0)) - own("n_both")
+    trust = F.when(F.col("before") == 0, F.lit(START)).otherwise(n / (n + 1))
+    gain = F.when(n > 0, F.log10(1 - trust + trust * c / n * F.pow(F.lit(10.0), F.least(-F.col("log").cast("double"), F.lit(300.0))))).otherwise(0.0)
+    return known.join(times, "both", "left").groupBy("row").agg(F.sum(gain).alias("gain"))
+
+
+def most_counted(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts of all that is counted at least so often that no more than ``limit`` are."""
+    steps = counts.groupBy(F.least(F.col("n"), F.lit(4096)).alias("b")).agg(F.count("*").alias("c")).orderBy(F.desc("b")).collect()  # at most 4096 rows
+    least, kept = 1 << 62, 0
+    for r in steps:
+        if kept + r["c"] > limit:
+            break
+        least, kept = r["b"], kept + r["c"]
+    t = counts.where(F.col("n") >= least).select("key", "n").toArrow()  # at most ``limit`` rows
+    key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
 def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
+    sc = spark.sparkContext
     ship(spark)
+    vocab, end, kind = vocabulary(ranks_path)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 1)
-    train = docs.where(~F.col("held_out"))
-    # the bounded sample that training starts from
-    picked = train.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    rows = (train.join(F.broadcast(picked), "doc_id").select(F.xxhash64("text").alias("h"), "text")
-            .mapInArrow(_sample_windows(ranks_path), "h long, k long, x array<int>, y array<int>").orderBy(F.xxhash64("h", "k"), "h", "k").limit(WINDOWS).select("x", "y").toArrow())
-    x = np.array(rows.column("x").combine_chunks().values if rows.num_rows else [], np.int64).reshape(-1, WIDTH)
-    y = np.array(rows.column("y").combine_chunks().values if rows.num_rows else [], np.int64).reshape(-1, STEP)
-    e = encoder(ranks_path)
-    starts = np.array([i == END or e.decode_single_token_bytes(i)[:1] == b" " for i in range(VOCAB)])
-    coded = staged(docs.mapInArrow(_encode(ranks_path), "row long, doc_id long, held_out boolean, text string, ids binary"), "encoded")
-    # classes from all training texts
-    near = staged(coded.where(~F.col("held_out")).select("ids").mapInArrow(_neighbours, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")), "neighbours")
-    sketch, each = np.zeros(VOCAB * 2 * SIDES, np.float32), -(-VOCAB * 2 * SIDES // _SLICES)
-    for k in range(_SLICES):  # at most VOCAB * 2 * SIDES rows in all
-        t = near.where(F.col("key").between(k * each, (k + 1) * each - 1)).toArrow()
-        sketch[t.column("key").to_numpy()] = t.column("n").to_numpy()
-    unstage(near)
-    model = Model(VOCAB, END, make_classes(sketch.reshape(VOCAB, -1), END, starts))
-    del sketch, t
-    # counts over all training texts
-    counts = staged(coded.where(~F.col("held_out")).select("text", "ids").mapInArrow(_count(model.classes), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    tables = []
-    for kind, wide in ((1, CLASSES), (2, VOCAB)):
-        t = counts.where(F.col("kind") == kind).select("key", "n").toArrow()  # at most VOCAB * CLASSES rows
-        table = np.zeros(VOCAB * CLASSES, np.float32)
-        table[t.column("key").to_numpy()] = t.column("n").to_numpy()
-        tables.append(table.reshape(-1, wide))
-    model.set_counts(*tables)
-    del tables
-    model.train(*_examples(x, y, model.classes))
-    del x, y
-    _learn_all(model, coded.where(~F.col("held_out")).select("row", "ids"))
-    words = counts.where("kind = 0")
+    coded = staged(spread(docs).mapInArrow(_encode(ranks_path, kind), "row long, doc_id long, held_out boolean, text string, ids binary"), "encoded")
+    train = coded.where(~F.col("held_out"))
+    counts = staged(train.select("text", "ids").mapInArrow(_count(vocab, end, kind), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    of = lambda k: counts.where(F.col("kind") == k).select("key", "n")
+    ones = np.zeros(vocab, np.int64)
+    t = of(1).toArrow()  # at most a row an id
+    ones[t.column("key").to_numpy()] = t.column("n").to_numpy()
+    tables = sc.broadcast(Counts(vocab, ones, most_counted(of(2), PAIRS), most_counted(of(3), TRIPLES)))
+    model = Model(vocab, end)
+    learn_all(model, tables, train.select("row", "ids"), kind)
+    words = of(0)
     n_words, v_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    c_end = counts.where("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    c_end = of(4).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     total, z = n_words + c_end, n_words + c_end + 0.5 * (v_words + (c_end > 0) + 1)
-    by_size = words.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("b")).agg(F.count("*").alias("c")).orderBy(F.desc("b")).collect()  # at most 64 rows
-    least, kept = 62, 0
-    for r in by_size:
-        if kept + r["c"] > HOT:
-            break
-        least, kept = r["b"], kept + r["c"]
-    hot = words.where(F.col("n") >= 2**least).select("key", "n").toArrow()  # at most HOT rows
-    key, n = hot.column("key").to_numpy(), hot.column("n").to_numpy().astype(np.float64)
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((model, key[order], n[order], z, c_end))
-    out = staged(coded.mapInArrow(_score(shared), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, th array<long>, tm array<long>"), "scores")
+    key, n = most_counted(words, HOT)
+    least = int(n.min()) if len(n) else 1 << 62
+    shared = sc.broadcast((model, key, n.astype(np.float64), z, c_end))
+    out = staged(coded.mapInArrow(_score(tables, shared, kind), _SCORES), "scores")
     unstage(coded)
+    tables.destroy()
+    shared.destroy()
     log_none = F.lit(float(np.log10(0.5 / z)))
-    rest = words.where(F.col("n") < 2**least).select("key", "n")
+    rest = words.where(F.col("n") < least)
     more = (out.select("row", F.explode(F.arrays_zip("th", "tm")).alias("t")).select("row", F.col("t.th").alias("key"), F.col("t.tm").alias("m")).join(rest, "key")
-            .groupBy("row").agg(F.sum("m").alias("known"), F.sum(F.col("m") * (F.log10((F.col("n") + 0.5) / F.lit(float(z))) - log_none)).alias("more")))
-    return (out.drop("th", "tm").join(more, "row", "left")
+            .select("row", F.col("m").alias("known"), (F.col("m") * (F.log10((F.col("n") + 0.5) / F.lit(float(z))) - log_none)).alias("more"), F.lit(0.0).alias("gain")))
+    added = (more.unionByName(recalled(out, c_end).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("more"), "gain"))
+             .groupBy("row").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("gain").alias("gain")))
+    return (out.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(added, "row", "left")
             .select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-                    (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"))
+                    (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score")))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

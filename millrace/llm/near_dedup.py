@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import components, may_match, ship, staged, unstage
+from .common import components, may_match, ship, spread, staged, unstage
 from .shingles import shingle_set
 
 K = 64
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = staged(docs.mapInArrow(sketch_batches, "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>"), "sketches")
+    base = staged(spread(docs).mapInArrow(sketch_batches, "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>"), "sketches")
     one = base.where("doc_id is not null and n_shingles > 0")
     reps = staged(one.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "sketch")).alias("r"))
                   .select("r.doc_id", "n_shingles", "f1", "f2", "r.sketch"), "classes")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import ship, staged
+from .common import ship, spread, staged
 
 SIZE = 1024
 END_ID = 0
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, json_path: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = staged(docs.mapInArrow(_cut(json_path, size), "doc_id long, part int, at long, doc_tokens long, full array<long>, full_before long, tail int, tail_crc long"), "pieces")
+    cut = staged(spread(docs).mapInArrow(_cut(json_path, size), "doc_id long, part int, at long, doc_tokens long, full array<long>, full_before long, tail int, tail_crc long"), "pieces")
     # full pieces are sequences of their own, numbered through the partitions
     parts = cut.groupBy("part").agg(F.sum(F.size("full")).alias("n"))
     base = parts.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))

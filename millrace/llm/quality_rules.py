@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import staged
+from .common import spread, staged
 
 WS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -43,7 +43,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     bare = F.translate(text, WS, "")
     chars = F.char_length(bare)
     words = F.filter(F.split(F.translate(text, WS, " " * len(WS)), " "), lambda w: w != "")
-    df = docs.select(*extra, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("stratum"), chars.alias("word_chars"),
+    df = spread(docs).select(*extra, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("stratum"), chars.alias("word_chars"),
                      (chars - F.char_length(F.translate(bare, SYMBOLS, ""))).alias("n_symbols"),
                      (chars - F.char_length(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("n_capitals"),
                      F.filter(F.split(text, "\n"), lambda x: F.translate(x, WS, "") != "").alias("lines"), words.alias("w"))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir, ship, staged
+from .common import shared_dir, ship, spread, staged
 from .packing import encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -105,7 +105,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text"))]
-    return docs.select(*cols).mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    return spread(docs.select(*cols)).mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, ship, spread
 
 SAMPLE = 20_000
 MINED = 200
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: tuple[list[str], list[float], float], keep: li
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(p)], [*keep, out])
 
     texts = F.col("text").cast("string").alias(_TEXT)
-    return docs.select(*keep, texts).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` double")
+    return spread(docs.select(*keep, texts)).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out}` double")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
