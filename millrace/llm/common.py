@@ -56,11 +56,14 @@ def ship(spark: SparkSession) -> None:
     sc._millrace_shipped = True
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+    ``by``: a column of few values that later plans filter on. The table goes when the session's JVM ends, if not before (``unstage``)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +73,8 @@ def unstage(*frames: DataFrame) -> None:
         for f in df.inputFiles()[:1]:
             spark = df.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            while "=" in path.getName():
+                path = path.getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -2,26 +2,35 @@
 
 Plan
   1. One Arrow pass turns each text into its set of 5-word shingle hashes and
-     keeps the set's size, a 128-bit fingerprint and the ``K`` smallest hashes
-     (one hash function): the bottom-k sketch.
-  2. Rows with the same set collapse into a class, whose representative is the
-     smallest doc_id. Exact copies never meet again.
-  3. Retained values of the representatives form inverted lists. A linked pair
-     shares at least ``overlap(n)`` retained values (for sets larger than K but
-     for a chance below 1e-9, see ``LEAST``), so in any common order of the
-     values the first ``size - overlap + 1`` of both meet. Ordered rarest
-     first, common passages make no lists.
-  4. Lists become groups of at most about ``2 * BLOCK`` documents: equal lists
-     once, long lists cut in blocks by hash that meet pairwise. A pair belongs
-     to the list of its smallest common listed value alone. In a group the
-     sketches' overlaps estimate Jaccard by the union sketch; only documents of
-     pairs that stay get their full sets, which confirm. A group emits a
-     spanning forest of its links, so output is linear in its documents.
+     keeps the set's size n, a 128-bit fingerprint and its k smallest hashes (one
+     hash function): the bottom-k sketch, with k = n - need + SHARED, where need is
+     the least overlap a set of n can have with one it is linked to. Among the
+     smallest hashes, a linked pair then shares SHARED retained values for certain
+     (or need, if that is less): no link rests on chance.
+  2. Rows with the same set collapse into a class. Links join classes, so it does
+     not matter which doc_ids its rows have. Exact copies never meet again.
+  3. Retained values of the classes form inverted lists. Because a linked pair
+     shares so many, each class may leave out all but one of them: values are
+     listed rarest first, common passages make no lists, and the rarest shared
+     value is listed by both.
+  4. Lists become groups of at most about ``2 * BLOCK`` classes: equal lists once,
+     long lists cut in blocks by hash that meet pairwise, and only there: pairs
+     within a block are its own group's. A pair belongs to the list of its
+     smallest common listed value alone. In a group the union of two sketches,
+     up to the smaller of their ends, shows how many elements each set has that
+     the other lacks; a pair that shows too many is out. Only classes of pairs
+     that stay get their full sets, which confirm. A group emits a spanning forest
+     of its links, so output is linear in its classes.
   5. Star contraction gives the components.
 
+Values, counts and lists are joined on tables of their own, so that a value that
+very many classes hold is split over tasks.
+
 Defined results: null or wordless texts have an empty set and stay alone; rows
 with a null doc_id get a null component and kept = false; rows that repeat a
-doc_id count as one node; other columns are ignored.
+doc_id with another text are documents of their own, linked by their texts alone;
+rows that repeat both have the same result. Very long texts are read whole. An
+empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,44 +39,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import components, may_match, ship, spread, staged, unstage
 from .shingles import shingle_set
 
-K = 64
-#: P(Binomial(64, 0.85) < 32) is below 1e-9.
-LEAST = 32
+#: Retained values that a linked pair shares for certain, where its sets are as large.
+SHARED = 32
 BLOCK = 1536
+#: Retained values of a class that count as one class of a block.
+_UNIT = 128
 
 
-def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, texts = b.column(0), b.column(1)
-        n, lo, hi, vals, offs = [], [], [], [], [0]
-        for t in texts:
-            s = shingle_set(t.as_buffer().to_pybytes()) if t.is_valid else np.empty(0, np.uint64)
-            n.append(len(s))
-            lo.append(int(s.sum(dtype=np.uint64)))
-            hi.append(int(np.bitwise_xor.reduce(s * (s >> np.uint64(7) | np.uint64(1)))) if len(s) else 0)
-            vals.append(s[:K])
-            offs.append(offs[-1] + min(K, len(s)))
-        flat = np.concatenate(vals) if vals else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(np.array(lo, np.uint64).view(np.int64)), pa.array(np.array(hi, np.uint64).view(np.int64)),
-             pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat.view(np.int64)))],
-            ["doc_id", "n_shingles", "f1", "f2", "sketch"])
+def retained(n: int, percent: int) -> int:
+    """How many of a set's ``n`` values its sketch holds."""
+    need = -(-percent * n // 100)
+    return n - need + min(SHARED, need)
+
+
+def left_out(n: Column, percent: int) -> Column:
+    """How many retained values a class of ``n`` need not list: one less than it shares with any class it is linked to."""
+    need = lambda x: F.ceil(x * percent / F.lit(100))
+    return F.least(F.lit(SHARED).cast("long"), need(need(n))) - 1
+
+
+def _finger(s: np.ndarray) -> tuple[int, int, int]:
+    return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(s * (s >> np.uint64(7) | np.uint64(1))).view(np.int64)) if len(s) else 0
+
+
+def _set_of(text: pa.Scalar) -> np.ndarray:
+    return shingle_set(text.as_buffer().to_pybytes()) if text.is_valid else np.empty(0, np.uint64)
+
+
+def sketch_batches(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId() << 40, 0
+        for b in batches:
+            marks, vals, offs = [], [], [0]
+            for t in b.column("text"):
+                s = _set_of(t)
+                marks.append(_finger(s))
+                vals.append(s[: retained(len(s), percent)])
+                offs.append(offs[-1] + len(vals[-1]))
+            flat = np.concatenate(vals) if vals else np.empty(0, np.uint64)
+            row = part + at + np.arange(b.num_rows)
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row), b.column("doc_id"), b.column("t1"), b.column("t2"), *(pa.array([m[k] for m in marks], pa.int64()) for k in range(3)),
+                 pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat.view(np.int64)))],
+                ["row", "doc_id", "t1", "t2", "n_shingles", "f1", "f2", "sketch"])
+
+    return run
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
-            sets = [shingle_set(t.as_buffer().to_pybytes()) for t in part.column(1)]
-            offs = np.cumsum([0, *map(len, sets)])
+            sets = [_set_of(t) for t in part.column("text")]
+            marks, offs = [_finger(s) for s in sets], np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
-                ["doc_id", "shingles"])
+                [part.column("doc_id"), *(pa.array([m[k] for m in marks], pa.int64()) for k in range(3)), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))],
+                ["doc_id", "n_shingles", "f1", "f2", "shingles"])
 
 
 #: Rows of a strip of a group's overlap matrix; a matrix is never held whole.
@@ -94,41 +129,49 @@ def _strips(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         yield i, out
 
 
-def candidates(v: int, n: np.ndarray, low: list[np.ndarray], marks: np.ndarray, percent: int) -> np.ndarray:
-    """Indices of the documents in any pair that list ``v`` has to verify.
+def candidates(v: int, n: np.ndarray, low: list[np.ndarray], listed: list[np.ndarray], block: np.ndarray, percent: int) -> np.ndarray:
+    """Indices of the classes in any pair that list ``v`` has to verify.
 
-    ``low``: sketches; ``marks``: bit i says that a sketch's value i is listed.
-    A pair belongs to the list of its smallest common listed value alone, and
-    stays if the union sketch does not rule a link out.
+    ``low``: sketches; ``listed``: those of their values that are listed; ``block``: of two
+    blocks that meet, only pairs across count. A pair belongs to the list of its smallest
+    common listed value alone, and stays if the union of the sketches does not rule it out.
     """
     used = np.zeros(len(n), bool)
-    bits = [(m >> np.arange(len(s), dtype=np.uint64) & np.uint64(1)).astype(bool) for m, s in zip(marks, low, strict=True)]
-    smaller = [s[b & (s.view(np.int64) < v)] for s, b in zip(low, bits, strict=True)]
-    size, partial, place = np.minimum(n, K).astype(np.float32), n > K, np.arange(len(n))
-    low_n, high_n = n * (percent / 100 - 1e-9), n * 1.000001  # a filter: a little wide, never narrow
+    smaller = [s[s.view(np.int64) < v] for s in listed]
+    # up to its end a sketch holds all of its set
+    end = np.array([s[-1] if len(s) < k else np.iinfo(np.uint64).max for s, k in zip(low, n, strict=True)], np.uint64)
+    place, across = np.arange(len(n)), block.min() != block.max()
     for (i, both), (_, before) in zip(_strips(low), _strips(smaller), strict=True):
         r = slice(i, i + len(both))
-        union = np.minimum(np.float32(K), size[r, None] + size[None, :] - both)
-        maybe = (both > 0) & (before == 0) & (place[None, :] > place[r, None]) & ((both >= union * np.float32(LEAST / K)) | ~(partial[r, None] | partial[None, :]))
-        maybe &= (high_n[r, None] >= low_n[None, :]) & (high_n[None, :] >= low_n[r, None])
+        maybe = (both > 0) & (before == 0) & (place[None, :] > place[r, None])
+        if across:
+            maybe &= block[r, None] != block[None, :]
+        # the least overlap of a link; what the sketches show of one set beyond it must not exceed what it leaves
+        least = -(-percent * (n[r, None] + n[None, :]) // (100 + percent))
+        maybe &= (n[r, None] >= least) & (n[None, :] >= least)
+        mine = np.array([np.searchsorted(s, end, "right") for s in low[r]])
+        theirs = np.array([np.searchsorted(s, end[r], "right") for s in low]).T
+        maybe &= (mine - both <= n[r, None] - least) & (theirs - both <= n[None, :] - least)
         used[r] |= maybe.any(1)
         used |= maybe.any(0)
     return np.flatnonzero(used)
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose Jaccard similarity is at least ``percent`` / 100, on full sets."""
+def links(ids: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is at least ``percent`` / 100, on full sets; of two blocks, of pairs across."""
     n = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         if 100 * min(n) < percent * max(n):
             return []
         i = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(int(ids[0]), int(ids[1]))] if 100 * i >= percent * (n.sum() - i) else []
-    root = np.arange(len(sets))
+    root, across = np.arange(len(sets)), block.min() != block.max()
     out = []
     for i, strip in _strips(sets):
         inter = np.rint(strip).astype(np.int64)
         ok = 100 * inter >= percent * (n[i : i + len(strip), None] + n[None, :] - inter)
+        if across:
+            ok &= block[i : i + len(strip), None] != block[None, :]
         for a, b in zip(*np.nonzero(ok), strict=True):
             a += i
             ra, rb = root[a], root[b]
@@ -138,42 +181,37 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], lists: str) -> Iterator[tuple | None]:
-    """(gid, ids, arrays, rows) of each group of batches sorted by gid and doc_id; None after each batch."""
-    gid, ids, arrays, rest = None, [], [], []
+def _by_group(batches: Iterator[pa.RecordBatch], *lists: str) -> Iterator[tuple | None]:
+    """(gid, rows of the other columns) of each group of batches sorted by gid and class; None after each batch."""
+    gid, rows = None, []
     for b in batches:
-        g, d = b.column("gid").to_numpy(zero_copy_only=False), b.column("doc_id").to_numpy()
-        s = b.column(lists)
-        off, flat = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
-        more = [b.column(c).to_numpy() for c in b.schema.names if c not in ("gid", "doc_id", lists)]
+        g, d = b.column("gid").to_numpy(zero_copy_only=False), b.column("cls").to_numpy()
+        parts = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy().view(np.uint64)) for c in lists]
+        more = [b.column(c).to_numpy() for c in b.schema.names if c not in ("gid", "cls", *lists)]
         for i in range(b.num_rows):
             if g[i] != gid:
-                if len(ids) > 1:
-                    yield gid, np.array(ids), arrays, rest
-                gid, ids, arrays, rest = g[i], [], [], []
-            if not ids or ids[-1] != d[i]:
-                ids.append(d[i])
-                arrays.append(flat[off[i] : off[i + 1]].copy())
-                rest.append([m[i] for m in more])
+                if len(rows) > 1:
+                    yield gid, list(zip(*rows, strict=True))
+                gid, rows = g[i], []
+            if not rows or rows[-1][0] != d[i]:
+                rows.append((d[i], *(flat[off[i] : off[i + 1]].copy() for off, flat in parts), *(m[i] for m in more)))
         yield None
-    if len(ids) > 1:
-        yield gid, np.array(ids), arrays, rest
+    if len(rows) > 1:
+        yield gid, list(zip(*rows, strict=True))
     yield None
 
 
 def _filter_groups(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gids, ids = [], []
-        for got in _by_group(batches, "sketch"):
+        out: list[tuple] = []
+        for got in _by_group(batches, "sketch", "vs"):
             if got is None:
-                yield pa.RecordBatch.from_arrays([pa.array(gids, pa.string()), pa.array(ids, pa.int64())], ["gid", "doc_id"])
-                gids, ids = [], []
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())], ["gid", "cls", "block"])
+                out = []
                 continue
-            gid, docs, low, rest = got
-            v, n, marks = rest[0][0], np.array([r[1] for r in rest], np.int64), np.array([r[2] for r in rest], np.int64).view(np.uint64)
-            used = candidates(int(v), n, low, marks, percent)
-            gids += [gid] * len(used)
-            ids += docs[used].tolist()
+            gid, (cls, low, listed, v, n, block) = got
+            used = candidates(int(v[0]), np.array(n, np.int64), low, listed, np.array(block), percent)
+            out += [(gid, cls[i], block[i]) for i in used]
 
     return run
 
@@ -186,70 +224,85 @@ def _group_links(percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
                 out = []
                 continue
-            out += links(got[1], got[2], percent)
+            cls, sets, block = got[1]
+            out += links(np.array(cls), sets, np.array(block), percent)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+_CLASS = ("n_shingles", "f1", "f2")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and 128 bits that stand for the text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, class and component_id of every row of ``_texts``."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = staged(spread(docs).mapInArrow(sketch_batches, "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>"), "sketches")
+    base = staged(spread(docs).mapInArrow(sketch_batches(percent), "row long, doc_id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, sketch array<long>"), "sketches")
     one = base.where("doc_id is not null and n_shingles > 0")
-    reps = staged(one.groupBy("n_shingles", "f1", "f2").agg(F.min(F.struct("doc_id", "sketch")).alias("r"))
-                  .select("r.doc_id", "n_shingles", "f1", "f2", "r.sketch"), "classes")
-    entries = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("v"))
-    shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # a class is named by one of its rows, that with the smallest doc_id
+    reps = staged(one.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "sketch")).alias("r")).select(F.col("r.row").alias("cls"), "r.doc_id", *_CLASS, "r.sketch"), "classes")
+    entries = reps.select("cls", "n_shingles", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    shared = staged(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     # rarest first; values that one class alone holds come before all others and need no list
-    s = F.least(F.col("n_shingles"), F.lit(K))
-    overlap = (F.when(F.col("n_shingles") > K, F.lit(LEAST))
-               .otherwise(F.ceil(F.col("n_shingles") * percent / 100.0) - F.greatest(F.lit(0), F.floor(F.col("n_shingles") * 100.0 / percent) - K)))
-    listed = (entries.join(shared, "v").groupBy("doc_id", "n_shingles")
+    listed = (entries.join(shared, "v").groupBy("cls", "n_shingles", "k")
               .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-              .withColumn("left", s - overlap + 1 - (s - F.size("vs")))
+              .withColumn("left", F.size("vs") - left_out(F.col("n_shingles"), percent))
               .where("left > 0")
-              .select("doc_id", "n_shingles", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
+              .select("cls", "n_shingles", "k", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
     listed = staged(listed, "lists")
-    # with each listed class its sketch, and which of the sketch's values are listed
-    mark = F.aggregate(F.sequence(F.lit(0), F.size("sketch") - 1), F.lit(0).cast("long"),
-                       lambda acc, i: F.when(F.array_contains("vs", F.element_at("sketch", i + 1)), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))).otherwise(acc))
-    marked = staged(may_match(reps.select("doc_id", "sketch"), listed, "doc_id").join(listed, "doc_id")
-                    .select("doc_id", "n_shingles", "sketch", mark.alias("marks")), "marked")
-    lists = listed.select("doc_id", F.explode("vs").alias("v"))
-    counts = lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-    short = (lists.join(counts.where(F.col("c") <= BLOCK), "v").groupBy("v")
-             .agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-             .groupBy(F.xxhash64("ids").alias("h"), F.size("ids").alias("l")).agg(F.min(F.struct("v", "ids")).alias("m"))
-             .select(F.concat_ws(":", "h", "l").alias("gid"), "m.v", F.explode("m.ids").alias("doc_id")))
+    marked = staged(may_match(reps.select("cls", "sketch"), listed, "cls").join(listed, "cls").select("cls", "n_shingles", "sketch", "vs"), "marked")
+    lists = listed.select("cls", F.greatest(F.lit(1.0), F.col("k") / _UNIT).alias("w"), F.explode("vs").alias("v"))
+    counts = staged(lists.groupBy("v").agg(F.count("*").alias("c"), F.ceil(F.sum("w") / BLOCK).cast("int").alias("parts")).where("c > 1"), "counts")
+    short = (lists.join(counts.where("parts = 1"), "v").groupBy("v").agg(F.sort_array(F.collect_set("cls")).alias("ids"))
+             .groupBy("ids").agg(F.min("v").alias("v"))
+             .select(F.concat_ws(":", "v", F.lit("a")).alias("gid"), "v", F.explode("ids").alias("cls"), F.lit(0).alias("block")))
     # long lists: blocks by hash, each of which meets each
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    long = (lists.join(counts.where(F.col("c") > BLOCK), "v")
-            .select("v", "doc_id", F.pmod(F.xxhash64("doc_id"), parts.cast("long")).cast("int").alias("h"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
-            .select(F.concat_ws(":", F.lit("b"), "v", F.least("h", "o"), F.greatest("h", "o")).alias("gid"), "v", "doc_id"))
-    groups = (short.unionByName(long).join(marked, "doc_id").select("gid", "doc_id", "v", "n_shingles", "marks", "sketch")
-              .repartition("gid").sortWithinPartitions("gid", "doc_id"))
-    groups = staged(groups.mapInArrow(_filter_groups(percent), "gid string, doc_id long"), "groups")
-    need = groups.select("doc_id").distinct()
-    sets = (may_match(docs.where("doc_id is not null"), need, "doc_id").join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-            .mapInArrow(set_batches, "doc_id long, shingles array<long>"))
-    edges = (groups.join(sets, "doc_id").select("gid", "doc_id", "shingles").repartition("gid")
-             .sortWithinPartitions("gid", "doc_id").mapInArrow(_group_links(percent), "a long, b long"))
-    comp = components(edges)
-    unstage(listed, marked, groups)
-    classes = (reps.select("n_shingles", "f1", "f2", F.col("doc_id").alias("node"))
-               .join(comp, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component_id")))
-    out = base.select("doc_id", "n_shingles", "f1", "f2")
-    alone = out.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return (out.where("doc_id is not null and n_shingles > 0").join(classes, ["n_shingles", "f1", "f2"])
-            .select("doc_id", "n_shingles", "component_id").unionByName(alone)
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one per group of near-duplicates, all columns as they are; rows without a doc_id all stay."""
-    kept = staged(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    long = (lists.join(counts.where("parts > 1"), "v")
+            .select("v", "cls", F.pmod(F.xxhash64("cls"), F.col("parts").cast("long")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+            .select(F.concat_ws(":", "v", F.least("block", "o"), F.greatest("block", "o")).alias("gid"), "v", "cls", "block"))
+    groups = (short.unionByName(long).join(marked, "cls").select("gid", "cls", "v", "n_shingles", "block", "sketch", "vs")
+              .repartition("gid").sortWithinPartitions("gid", "cls"))
+    groups = staged(groups.mapInArrow(_filter_groups(percent), "gid string, cls long, block int"), "groups")
+    need = staged(groups.select("cls").distinct().join(reps.select("cls", "doc_id", *_CLASS), "cls"), "wanted")
+    sets = (may_match(docs.where("doc_id is not null").select("doc_id", "text"), need, "doc_id").join(need.select("doc_id").distinct(), "doc_id", "left_semi")
+            .mapInArrow(set_batches, "doc_id long, n_shingles long, f1 long, f2 long, shingles array<long>").join(need, ["doc_id", *_CLASS]).select("cls", "shingles"))
+    edges = (groups.join(sets, "cls").select("gid", "cls", "block", "shingles").repartition("gid")
+             .sortWithinPartitions("gid", "cls").mapInArrow(_group_links(percent), "a long, b long"))
+    comp = components(edges)  # without the smallest node of each
+    comp = staged(comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()), "components")
+    unstage(shared, listed, marked, counts, groups, need)
+    named = comp.join(reps.select(F.col("cls").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    classes = (reps.select("cls", "doc_id", *_CLASS).join(comp.join(named, "component").select(F.col("node").alias("cls"), "component", "smallest"), "cls", "left")
+               .select(*_CLASS, F.coalesce("component", "cls").alias("component"), F.coalesce("smallest", "doc_id").alias("component_id")))
+    out = base.drop("sketch")
+    alone = out.where("doc_id is null or n_shingles = 0").select("doc_id", "t1", "t2", "n_shingles", F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
+    return (out.where("doc_id is not null and n_shingles > 0").join(classes, list(_CLASS))
+            .select("doc_id", "t1", "t2", "n_shingles", "component", "component_id").unionByName(alone))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    return (_linked(_texts(docs, id_col, text_col), percent)
+            .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are: of each group of near-duplicates one row with its
+    smallest doc_id. Rows without a doc_id all stay; of wordless rows those that repeat doc_id and text stay once."""
+    linked = _linked(_texts(docs, "doc_id", "text"), percent).where("doc_id is not null and doc_id = component_id")
+    stay = staged(linked.groupBy("component").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("s"), F.count("*").alias("k"))
+                  .groupBy("s").agg(F.sum("k").alias("k")).select(*(F.col(f"s.{c}").alias(f"__{c}") for c in ("doc_id", "t1", "t2")), F.col("k").alias("__k")), "kept")
+    keys = ["__doc_id", "__t1", "__t2"]
+    text = F.col("text").cast("string")
+    found = docs.select("*", F.col("doc_id").cast("long").alias("__doc_id"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(1), text).alias("__t2")).join(stay, keys)
+    # only rows that may repeat are dealt out to be compared
+    return (found.where("__k = 1").select(docs.columns).unionByName(found.where("__k > 1").dropDuplicates(keys).select(docs.columns))
+            .unionByName(docs.where("doc_id is null")))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
