@@ -1,20 +1,24 @@
 """Quality rules with risk-controlled cutoffs (operator 5), with DataFrame functions only.
 
-Each rule rejects a text whose feature exceeds a cutoff. Per stratum (language)
-and rule, the strictest cutoff is taken for which the labelled good texts prove
-that it rejects at most a share ``alpha`` of good texts: the exact binomial
-probability of seeing so few rejections, were the true share ``alpha``, must not
-exceed ``delta`` over the number of strata and rules (Bonferroni). Within one
-rule the cutoffs are tested from the mildest on, in a fixed sequence, which needs
-no further correction as the counts are monotone. The rules' shares add up to the
-stratum's guarantee of ``len(RULES) * alpha``. Where labels are too few, no
-cutoff is proven and the rule rejects nothing in that stratum.
-
-The grid is fixed in advance, so all labelled texts serve as holdout.
+Each rule rejects a text whose feature exceeds a cutoff. The cutoffs of all rules
+form one sequence of steps, fixed in advance and mildest first, one rule tighter
+with every step; a text's ``step`` is the first one that rejects it. Per stratum
+(language) the strictest step is taken for which the labelled good texts prove
+that all rules together reject at most a share ``alpha`` of good texts: the exact
+binomial probability of seeing so few rejections, were the true share ``alpha``,
+must not exceed ``delta`` over the number of strata and the pooled one
+(Bonferroni). Steps are tested in their order until one fails, which needs no
+further correction. A stratum with too few labels to prove anything, even without
+a rejection, takes the step that all strata pooled prove: its guarantee holds for
+the pooled texts only. A stratum whose labels speak against a step keeps to them.
+
+Good texts that the base rules reject say nothing of the cutoffs and do not
+count. The sequence is fixed in advance, so all labelled texts serve as holdout.
 
 Defined results: null text: no words, base_failed; null language: a stratum ''.
 Several labels of a doc_id: good only if all say so; null labels do not count.
-Rows that repeat a doc_id are judged as rows of their own.
+Rows that repeat a doc_id are judged as rows of their own. Without labels only
+the base rules act. Very long texts are judged whole; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,8 +36,13 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.45, 0.4, 0.35, 0.3)),
     "capitals": ("n_capitals / greatest(word_chars, 1)", (0.8, 0.6, 0.45, 0.35, 0.25)),
 }
-ALPHA = 0.005
+#: (step, rule, cutoff), mildest first.
+STEPS = [(i + 1, r, c) for i, (r, c) in enumerate((r, cs[k]) for k in range(max(len(cs) for _, cs in RULES.values())) for r, (_, cs) in RULES.items() if k < len(cs))]
+ALPHA = 0.02
 DELTA = 0.05
+BASE = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
+#: The first step that rejects a text, in SQL of Spark and DuckDB alike.
+STEP = f"least({', '.join('CASE ' + ' '.join(f'WHEN {f} > {c} THEN {k}' for k, q, c in STEPS if q == r) + f' ELSE {len(STEPS) + 1} END' for r, (f, _) in RULES.items())})"
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", row: Column | None = None) -> DataFrame:
@@ -64,30 +73,32 @@ def binomial_cdf(n: Column, x: Column, p: float) -> Column:
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per stratum with labels: the proven cutoff of each rule, null where none is."""
+    """One row per stratum of ``feats``, and the pooled one (null): good texts ``n``, and ``chosen``, the last step proven (0: none)."""
     good = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
             .where("quality = 1").select("doc_id"))
-    counts = [F.count(F.when(F.expr(f) > c, 1)).alias(f"x_{r}_{k}") for r, (f, cs) in RULES.items() for k, c in enumerate(cs)]
-    seen = staged(feats.where("doc_id is not null").join(good, "doc_id").groupBy("stratum").agg(F.count("*").alias("n"), *counts), "counts")
-    m = seen.count() * len(RULES)
-    out = []
-    for r, (_, cs) in RULES.items():
-        passed = F.lit(True)
-        chosen = F.lit(None).cast("double")
-        for k, c in enumerate(cs):
-            passed = passed & (binomial_cdf(F.col("n"), F.col(f"x_{r}_{k}"), alpha) <= delta / max(m, 1))
-            chosen = F.when(passed, F.lit(c)).otherwise(chosen)
-        out.append(chosen.alias(f"cut_{r}"))
-    return seen.select("stratum", "n", *out)
+    # rejections of good texts by stratum and step: a small table
+    seen = staged(feats.where(f"doc_id is not null AND NOT {BASE}").select("doc_id", "stratum", F.expr(STEP).alias("step")).join(good, "doc_id")
+                  .groupBy("stratum", "step").agg(F.count("*").alias("c")), "counts")
+    both = seen.unionByName(seen.groupBy("step").agg(F.sum("c").alias("c")).withColumn("stratum", F.lit(None).cast("string")))
+    m = seen.select("stratum").distinct().count() + 1
+    n = F.sum("c").alias("n")
+    x = [F.coalesce(F.sum(F.when(F.col("step") <= k, F.col("c"))), F.lit(0)).alias(f"x{k}") for k, _, _ in STEPS]
+    sums = both.groupBy("stratum").agg(n, *x)
+    proven = [binomial_cdf(F.col("n"), F.col(f"x{k}"), alpha) <= delta / m for k, _, _ in STEPS]
+    chosen, passed = F.lit(0), F.lit(True)
+    for k, ok in enumerate(proven):
+        passed = passed & ok
+        chosen = chosen + passed.cast("int")
+    return sums.select("stratum", "n", chosen.alias("chosen"), (F.pow(F.lit(1 - alpha), F.col("n")) > delta / m).alias("too_few"))
 
 
 def verdict(feats: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``feats`` with base_failed and kept."""
-    bad = F.lit(False)
-    for r, (f, _) in RULES.items():
-        bad = bad | F.coalesce(F.expr(f) > F.col(f"cut_{r}"), F.lit(False))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return feats.join(cuts, "stratum", "left").withColumn("base_failed", base).withColumn("kept", ~base & ~bad)
+    """``feats`` with base_failed and kept. ``cuts``: as of ``cutoffs``."""
+    pooled = cuts.where("stratum is null").select(F.col("chosen").alias("pooled"))
+    pooled = (pooled.first() or [0])[0]
+    step = F.when(F.coalesce("too_few", F.lit(True)), F.lit(pooled)).otherwise(F.col("chosen"))
+    return (feats.join(cuts.where("stratum is not null"), "stratum", "left").withColumn("base_failed", F.expr(BASE))
+            .withColumn("kept", ~F.expr(BASE) & (F.expr(STEP) > step)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, **cols: str) -> DataFrame:
@@ -109,10 +120,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same rule table in DuckDB: list functions for the counts, lgamma for the binomial terms."""
-    cells = " UNION ALL ".join(f"SELECT '{r}' AS rule, {k} AS k, {c} AS cut, stratum, count(*) AS n, count(*) FILTER ({f} > {c}) AS x FROM good GROUP BY stratum"
-                               for r, (f, cs) in RULES.items() for k, c in enumerate(cs))
-    tests = " OR ".join(f"coalesce({f} > (SELECT min(c.cut) FROM chosen c WHERE c.rule = '{r}' AND c.stratum = b.stratum), false)" for r, (f, _) in RULES.items())
+    """The same in DuckDB: list functions for the counts, lgamma for the binomial terms."""
     return f"""
 WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
@@ -123,14 +131,17 @@ v AS (SELECT row, count(DISTINCT i + o) AS n_repeat_words FROM d, (VALUES (0), (
 b AS (SELECT row, doc_id, stratum, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(text) - len(translate(text, '{SYMBOLS}', '')) AS n_symbols,
     len(text) - len(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN v USING (row)),
-good AS (SELECT b.* FROM b JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) l USING (doc_id)),
-cells AS ({cells}),
-risk AS (SELECT *, CASE WHEN x > n * {ALPHA} THEN 1 ELSE list_sum(list_transform(range(0, x + 1),
-    lambda j: exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) END AS p,
-    (SELECT count(DISTINCT stratum) FROM good) * {len(RULES)} AS m FROM cells),
-chosen AS (SELECT * FROM (SELECT *, bool_and(p <= {DELTA} / m) OVER (PARTITION BY rule, stratum ORDER BY k) AS ok FROM risk) WHERE ok)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT ({tests}) AS kept FROM b
+s AS (SELECT *, {BASE} AS base_failed, {STEP} AS step FROM b),
+good AS (SELECT s.* FROM s JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) l USING (doc_id) WHERE NOT base_failed),
+cells AS (SELECT stratum, k, count(*) AS n, count(*) FILTER (step <= k) AS x FROM good, range(1, {len(STEPS) + 1}) AS r(k) GROUP BY stratum, k
+    UNION ALL SELECT NULL, k, count(*), count(*) FILTER (step <= k) FROM good, range(1, {len(STEPS) + 1}) AS r(k) GROUP BY k),
+risk AS (SELECT *, (SELECT count(DISTINCT stratum) FROM good) + 1 AS m, CASE WHEN x > n * {ALPHA} THEN 1 ELSE list_sum(list_transform(range(0, x + 1),
+    lambda j: exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) END AS p FROM cells),
+chosen AS (SELECT stratum, count(*) FILTER (ok) AS step, any_value(pow(1 - {ALPHA}, n) > {DELTA} / m) AS too_few
+    FROM (SELECT *, bool_and(p <= {DELTA} / m) OVER (PARTITION BY stratum ORDER BY k) AS ok FROM risk) GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND s.step > CASE WHEN coalesce(c.too_few, true) THEN coalesce((SELECT step FROM chosen WHERE stratum IS NULL), 0) ELSE c.step END AS kept
+FROM s LEFT JOIN chosen c ON c.stratum = s.stratum
 """
 
 
