@@ -6,13 +6,17 @@ adds the difference. A batch of deltas becomes one small table of additive sums
 by source, language and tokenizer version, partly summed before the shuffle, and
 is committed under its batch id: the table is written under a name of its own
 and renamed, so a batch is there whole or not at all, and a batch id that is
-there already is skipped. Totals are the sum of all committed tables, and of the
-base that ``compact`` folds older ones into.
+there already is skipped. A mark inside the table tells its writer whether the
+table under that name is its own, so of several writers of one batch one wins.
+Totals are the sum of all committed tables, and of the base that ``compact`` folds
+older ones into. A base lists the batches it holds, both from one look at the
+folder; what is committed meanwhile is in neither and keeps its own table.
 
 Defined results: null text counts no token; null source or language is a group
 of its own; a delta without a count changes nothing but the number of documents;
 groups whose documents have all gone show zeros. Rows that repeat a doc_id are
-documents of their own.
+documents of their own. Very long texts are counted whole. A change of a kind that
+is not known is an error. An empty table gives no group.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ KEYS = ("source", "lang", "tokenizer")
 
 def signed(changes: DataFrame) -> DataFrame:
     """Signed deltas of ``changes``: op (insert, delete, revise), KEYS, n_tokens and, for a revision, old_tokens."""
-    n, old = F.coalesce(F.col("n_tokens"), F.lit(0)), F.coalesce(F.col("old_tokens"), F.lit(0))
-    return changes.select(*KEYS, F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0).cast("long").alias("d_docs"),
-                          F.when(F.col("op") == "insert", n).when(F.col("op") == "delete", -n).when(F.col("op") == "revise", n - old).otherwise(0).cast("long").alias("d_tokens"))
+    n, old, op = F.coalesce(F.col("n_tokens"), F.lit(0)), F.coalesce(F.col("old_tokens"), F.lit(0)), F.col("op")
+    wrong = F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce(op, F.lit("null")))).cast("long")
+    by_op = lambda insert, delete, revise: F.when(op == "insert", insert).when(op == "delete", delete).when(op == "revise", revise).otherwise(wrong).cast("long")
+    return changes.select(*KEYS, by_op(F.lit(1), F.lit(-1), F.lit(0)).alias("d_docs"), by_op(n, -n, n - old).alias("d_tokens"))
 
 
 class Rollup:
@@ -45,51 +50,53 @@ class Rollup:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
 
+    def state(self) -> tuple[str | None, list[str], list[str]]:
+        """The folder at one look: the latest base, the ids it holds, and ids of batches beside it."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
+        base = max((n for n in names if n.startswith("base-")), default=None)
+        held = [r[0] for r in self.spark.read.parquet(f"{self.path}/{base}/batches").collect()] if base else []  # a row a batch
+        return base, sorted(held), sorted({n[6:] for n in names if n.startswith("batch=")} - set(held))
+
     def batches(self) -> list[str]:
         """Ids of committed batches, those folded into the base included."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        done = {n[6:] for n in names if n.startswith("batch=")}
-        for n in names:
-            if n.startswith("base-"):
-                done |= {r[0] for r in self.spark.read.parquet(f"{self.path}/{n}/batches").collect()}
-        return sorted(done)
-
-    def _put(self, df: DataFrame, name: str) -> bool:
-        tmp = self._path(f"{self.path}/_tmp-{uuid.uuid4().hex}")
-        df.write.parquet(str(tmp))
-        if self._fs.exists(self._path(f"{self.path}/{name}")) or not self._fs.rename(tmp, self._path(f"{self.path}/{name}")):
-            self._fs.delete(tmp, True)
-            return False
-        return True
+        _, held, beside = self.state()
+        return sorted({*held, *beside})
+
+    def _put(self, tables: dict[str, DataFrame], name: str) -> bool:
+        """Writes tables (by their names within) and gives them a name; False if the name is taken."""
+        mine = uuid.uuid4().hex
+        tmp, to = f"{self.path}/_tmp-{mine}", f"{self.path}/{name}"
+        for part, df in tables.items():
+            df.coalesce(1).write.parquet(f"{tmp}/{part}".rstrip("/"))
+        self._fs.create(self._path(f"{tmp}/_owner-{mine}")).close()
+        if not self._fs.exists(self._path(to)):
+            self._fs.rename(self._path(tmp), self._path(to))
+        won = self._fs.exists(self._path(f"{to}/_owner-{mine}"))
+        if not won:  # the folder may have moved into that of the winner, where no reader looks
+            for left in (tmp, f"{to}/_tmp-{mine}"):
+                self._fs.delete(self._path(left), True)
+        return won
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of changes once; False if its id is committed already."""
         if batch_id in self.batches():
             return False
-        sums = signed(changes).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return self._put(sums.coalesce(1), f"batch={batch_id}")
-
-    def _tables(self) -> list[str]:
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)))
-        bases = [n for n in names if n.startswith("base-")]
-        folded = {r[0] for r in self.spark.read.parquet(f"{self.path}/{bases[-1]}/batches").collect()} if bases else set()
-        return [f"{self.path}/{b}/sums" for b in bases[-1:]] + [f"{self.path}/{n}" for n in names if n.startswith("batch=") and n[6:] not in folded]
-
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens."""
-        tables = self._tables()
+        return self._put({"": signed(changes).groupBy(*KEYS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))}, f"batch={batch_id}")
+
+    def totals(self, state: tuple | None = None) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens, as of ``state``, or now."""
+        base, _, beside = state or self.state()
+        tables = [f"{self.path}/{base}/sums"] * bool(base) + [f"{self.path}/batch={b}" for b in beside]
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
         df = self.spark.read.schema(schema).parquet(*tables) if tables else self.spark.createDataFrame([], schema)
-        return df.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-
-    def compact(self) -> None:
-        """Fold all committed batches into a new base; readers see the old tables or the new base."""
-        done, sums = self.batches(), self.totals()
-        tmp = self._path(f"{self.path}/_tmp-{uuid.uuid4().hex}")
-        sums.coalesce(1).write.parquet(f"{tmp}/sums")
-        self.spark.createDataFrame([(b,) for b in done], "batch string").coalesce(1).write.parquet(f"{tmp}/batches")
-        n = sum(s.getPath().getName().startswith("base-") for s in self._fs.listStatus(self._path(self.path)))
-        self._fs.rename(tmp, self._path(f"{self.path}/base-{n:09d}"))
+        return df.select(*KEYS, "n_docs", "n_tokens").groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def compact(self, state: tuple | None = None) -> bool:
+        """Fold the batches of ``state`` (or of now) into a new base; readers see the old tables or the new base."""
+        state = state or self.state()
+        base, held, beside = state
+        done = self.spark.createDataFrame([(b,) for b in [*held, *beside]], "batch string")
+        return self._put({"sums": self.totals(state), "batches": done}, f"base-{int(base[5:]) + 1 if base else 0:09d}")
 
 
 def count_tokens(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
