@@ -234,10 +234,12 @@ class Model:
             g, dx, loss = self._gradients(ids, *rest)
             lost += loss * len(rows)
             real = ids >= 0
-            here = ids[real]
+            here = ids[real].astype(np.uint16 if self.vocab <= 1 << 16 else np.int64)
             by = np.argsort(here, kind="stable")
-            ids_, first, n = np.unique(here[by], return_index=True, return_counts=True)
-            self.seen[ids_] += n
+            here = here[by]
+            first = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+            ids_ = here[first].astype(np.int64)
+            self.seen[ids_] += np.diff(np.append(first, len(here)))
             g["E"] = np.add.reduceat(dx[real][by], first)
             self.t += 1
             for name, grad in g.items():

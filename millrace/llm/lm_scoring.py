@@ -214,7 +214,7 @@ def _score(tables, shared, kind: str):
         counts, (model, keys, times, z, c_end) = tables.value, shared.value
         log_hot = np.log10((times + 0.5) / z)
         log_end, log_none = np.log10((c_end + 0.5) / z), np.log10(0.5 / z)
-        lists = lambda parts, off: [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x)) for x in parts]
+        lists = lambda off, **cols: pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in cols.values()], list(cols)))
         for batch in batches:
             for s in range(0, batch.num_rows, 128):
                 piece = batch.slice(s, 128)
@@ -241,25 +241,25 @@ def _score(tables, shared, kind: str):
                 text, before, both, n_before, n_both, logs = map(np.concatenate, zip(*seg, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [*(piece.column(c) for c in ("row", "doc_id", "held_out")), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(np.concatenate(score)),
-                     *lists([np.concatenate(th), np.concatenate(tm)], np.cumsum([len(x) for x in th])),
-                     *lists([before, both, n_before.astype(np.int32), n_both.astype(np.int32), logs.astype(np.float32)], np.searchsorted(text, np.arange(piece.num_rows + 1)))],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "th", "tm", "before", "both", "n_before", "n_both", "log"])
+                     lists(np.cumsum([len(x) for x in th]), key=np.concatenate(th), m=np.concatenate(tm)),
+                     lists(np.searchsorted(text, np.arange(piece.num_rows + 1)), before=before, both=both, n_before=n_before.astype(np.int32), n_both=n_both.astype(np.int32), log=logs.astype(np.float32))],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "parts"])
 
     return run
 
 
-_SCORES = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, th array<long>, tm array<long>, "
-           "before array<long>, both array<long>, n_before array<int>, n_both array<int>, log array<float>")
+_SCORES = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key: long, m: long>>, "
+           "parts array<struct<before: long, both: long, n_before: int, n_both: int, log: float>>")
 
 
 def recalled(scores: DataFrame, n_texts: int) -> DataFrame:
     """(row, gain): what the memory of other training texts adds to the log10 probability of each row it knows of."""
-    e = (scores.select("row", F.col("held_out").alias("new"), F.explode(F.arrays_zip("before", "both", "n_before", "n_both", "log")).alias("s"))
-         .select("row", "new", *(f"s.{c}" for c in ("before", "both", "n_before", "n_both", "log"))))
-    trained = F.count(F.when(~F.col("new"), 1))
-    later = e.where("before <> 0")
-    seen = staged(later.groupBy("before").agg(trained.alias("n"), F.count("*").alias("k")).where("n > 0 AND k > 1").select("before", "n"), "seen")
-    known = may_match(later, seen, "before").join(seen, "before").where("n > n_before OR new")
+    e = scores.select("row", F.col("held_out").alias("new"), F.inline("parts"))
+    # of the memory's segments this reads the hashes alone
+    seen = (scores.select(F.col("held_out").alias("new"), F.explode("parts.before").alias("before")).where("before <> 0")
+            .groupBy("before").agg(F.count(F.when(~F.col("new"), 1)).alias("n"), F.count("*").alias("k")).where("n > 0 AND k > 1").select("before", "n"))
+    seen = staged(seen, "seen")
+    known = may_match(e.where("before <> 0"), seen, "before").join(seen, "before").where("n > n_before OR new")
     known = staged(known.unionByName(e.where("before = 0").withColumn("n", F.lit(n_texts).cast("long"))), "recalled")
     times = known.where("NOT new").groupBy("both").agg(F.count("*").alias("c"))
     own = lambda c: F.when(F.col("new"), 0).otherwise(F.col(c))
@@ -293,7 +293,7 @@ def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     docs = docs.withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 1)
     coded = staged(spread(docs).mapInArrow(_encode(ranks_path, kind), "row long, doc_id long, held_out boolean, text string, ids binary"), "encoded")
     train = coded.where(~F.col("held_out"))
-    counts = staged(train.select("text", "ids").mapInArrow(_count(vocab, end, kind), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = staged(train.select("text", "ids").mapInArrow(_count(vocab, end, kind), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts", by="kind")
     of = lambda k: counts.where(F.col("kind") == k).select("key", "n")
     ones = np.zeros(vocab, np.int64)
     t = of(1).toArrow()  # at most a row an id
@@ -314,7 +314,7 @@ def score(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: st
     shared.destroy()
     log_none = F.lit(float(np.log10(0.5 / z)))
     rest = words.where(F.col("n") < least)
-    more = (out.select("row", F.explode(F.arrays_zip("th", "tm")).alias("t")).select("row", F.col("t.th").alias("key"), F.col("t.tm").alias("m")).join(rest, "key")
+    more = (out.select("row", F.inline("rare")).join(rest, "key")
             .select("row", F.col("m").alias("known"), (F.col("m") * (F.log10((F.col("n") + 0.5) / F.lit(float(z))) - log_none)).alias("more"), F.lit(0.0).alias("gain")))
     added = (more.unionByName(recalled(out, c_end).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("more"), "gain"))
              .groupBy("row").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("gain").alias("gain")))
