@@ -84,14 +84,67 @@ def test_near_dedup_is_brute_force(docs, monkeypatch):
                 assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
 
 
+def linked_rows(texts, percent):
+    """Brute force over (doc_id, text): the smallest doc_id that each row's text reaches; None without words."""
+    sets = [shingles(t) for _, t in texts]
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        i = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * i >= percent * (len(sets[a]) + len(sets[b]) - i):
+            root[find(b)] = find(a)
+    return [min(texts[j][0] for j in range(len(texts)) if find(j) == find(k)) for k in range(len(texts))]
+
+
+def test_near_dedup_by_text_not_by_id(spark):
+    a, z = text(90, 70), text(90, 71)
+    data = [(5, a), (5, z), (7, z + " more"), (8, a + " more"), (5, a), (9, None), (9, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == sorted([(5, 5, True)] * 3 + [(7, 5, False), (8, 5, False)] + [(9, 9, True)] * 2)
+    kept = [tuple(r) for r in near_dedup.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (5, z), (9, None)], key=str)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_loses_no_link_at_the_threshold(spark, monkeypatch, percent):
+    """Sets of all sizes with overlaps right at, above and below the threshold, copies of shared passages between them."""
+    r = random.Random(percent)
+    data, at = [], 0
+    passage = " ".join(f"p{k}" for k in range(60))
+    for n in [*range(5, 60, 3), 64, 65, 66, 90, 128, 200, 400, 900]:
+        words = [f"n{n}w{k}" for k in range(n)]
+        for _ in range(3):
+            other, k = list(words), r.randrange(0, max(1, n // 30) + 2)
+            for _ in range(k):
+                other[r.randrange(n)] = f"e{r.randrange(10**9)}"
+            data += [(at, " ".join(other)), (at + 1, " ".join(words[: n - n * (100 - percent) // 100 + r.randrange(-1, 2)]) + (" " + passage if n > 500 else ""))]
+            at += 2
+    data += [(at + k, " ".join(f"q{r.randrange(10**6)}" for _ in range(20)) + " " + passage) for k in range(30)]
+    for block in (near_dedup.BLOCK, 6):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), percent=percent).collect()}
+        assert [got[i] for i, _ in data] == linked_rows(data, percent)
+
+
 def test_near_dedup_empty_and_keep_one(docs, none):
-    assert near_dedup.near_duplicates(none).count() == 0
+    assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.keep_one(none).count() == 0
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and None in ids and 7 not in ids and 6 in ids
 
 
+def test_near_dedup_of_all_documents(spark):
+    """The query over its whole table."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in near_dedup.op1_minhash_near_dedup(spark, "/root/testdata/sf0.001").collect()}
+    want = linked_rows(docs, 85)
+    for (i, t), c in zip(docs, want, strict=True):
+        n = len(shingles(t))
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, c if n else i, (c if n else i) == i)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 99), (99, 100), (7, 7), (200, 1)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}
@@ -114,6 +167,25 @@ def test_knn_join(spark):
     assert knn_join.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def test_knn_join_prunes_clusters(spark):
+    """On clustered vectors most groups are ruled out, and the results are still those of brute force."""
+    r = np.random.default_rng(2)
+    centres = r.normal(0, 3, (20, 16))
+    x = np.floor(1024 * (np.repeat(centres, 150, 0) + r.normal(0, 0.05, (3000, 16)))) / 1024
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[7].tolist())], "vec_id long, embedding array<double>").repartition(4)
+    ints = np.floor(1024 * np.vstack([x, x[7]])).astype(np.int64)
+    ids = np.r_[np.arange(3000), 100]
+    want = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        s = sorted((-int(ints[q] @ ints[j]), int(ids[j])) for j in range(3001) if ids[j] != ids[q])[:10]
+        want += [(int(ids[q]), k + 1, i, -sc) for k, (sc, i) in enumerate(s)]
+    assert sorted(map(tuple, knn_join.top_k(df, df.where("vec_id % 100 = 0")).collect())) == sorted(want)
+    rows = df.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: F.floor(v * 1024).cast("double")).alias("v"))
+    _, asked, groups = knn_join.asked(rows, rows.where("id % 100 = 0"), 16, 10, 27, "int")
+    sent = asked.select(F.sum(F.size("grps"))).first()[0]
+    assert sent < 0.35 * asked.count() * len(groups)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li>menu</li></ul></nav><div class=\"ad\">buy</div><article><h1>Head &amp; more</h1><p><b>One\n two<br><p>Three<div class=comments>no</div></article><footer>f</footer>"
     df = spark.createDataFrame([(1, "http://a.b/x", page, "h"), (1, "http://a.b/x", page, "h"), (2, None, None, "h"), (3, "", "", "h"), (None, "x", "<article>cut <p", "h"), (5, "http://c/d", "<div><p>plain</p> tail</div>", "h")], "page_id long, url string, html string, host string")
@@ -192,6 +264,42 @@ def test_toxicity_learns_from_noisy_labels(spark):
     assert len(held) > 300 and sum(got[i].predicted == (i % 10 == 0) for i in held) / len(held) > 0.98
 
 
+def test_label_model_counts_repeated_voters_once():
+    """Two voters that say the same and one that differs: as one voter each, the copies do not outvote it."""
+    r = np.random.default_rng(1)
+    y = r.random(4000) < 0.3
+    good, other = np.where(r.random(4000) < 0.8, y, ~y), np.where(r.random(4000) < 0.85, y, ~y)
+    v = np.stack([good, good, good, good, other], 1).astype(float)
+    label = np.where(r.random(4000) < 0.1, y, -1).astype(int)
+    post = toxicity.label_model(v, label, toxic=np.arange(5))
+    apart = toxicity.label_model(np.stack([good, other], 1).astype(float), label, toxic=np.arange(2))
+    assert np.abs(post - apart).mean() < 0.05
+    parent = toxicity._forest(v, np.where(y, 0.99, 0.01))
+    assert (parent[:4] >= 0).sum() == 3 and parent[4] == -1
+
+
+def test_toxicity_finds_held_out_toxic_texts(spark):
+    """Held-out labels of the whole query at sf0.1. Labels are noisy: some toxic ones stand by texts of repeated plain words."""
+    got = toxicity.op4_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    both = got.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p"), F.count("*").alias("n"))
+    share = {r.toxic: (r.p, r.n) for r in both.collect()}
+    assert share[1][0] >= 0.87 and share[0][0] <= 0.01 and share[1][1] > 100
+
+
+def test_toxicity_learns_more_than_its_voters(spark):
+    """Texts that no voter speaks of are told apart by their words."""
+    r = random.Random(4)
+    bad, fine = [f"b{k:02}" for k in range(100)], [f"f{k:02}" for k in range(100)]  # too short to be mined
+    data = [(i, " ".join(r.choice(VOCAB) for _ in range(20)) + " " + " ".join(r.choice(bad if i % 2 else fine) for _ in range(8)), i % 2) for i in range(1200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df)
+    voters = toxicity.Voters(model[0], model[1])
+    mute = [i for i, t, _ in data if not [x for x in voters.votes(t.encode()) if x < voters.toxic]]
+    got = {x.doc_id: x for x in toxicity.judge(df.drop("toxic"), df.select("doc_id", "toxic")).collect()}
+    held = [i for i in mute if got[i].held_out]
+    assert len(held) > 250 and sum((got[i].score > np.median([got[j].score for j in held])) == (i % 2 == 1) for i in held) > 0.8 * len(held)
+
+
 def test_quality(docs, none, labels):
     got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
     for i, t in enumerate(TEXTS):
@@ -206,6 +314,60 @@ def test_quality(docs, none, labels):
     assert quality_rules.screen(docs, labels).columns == docs.columns
 
 
+def test_quality_cutoffs_are_brute_force(spark):
+    """Strata with enough labels, with too few, with labels against the rules, and without any."""
+    r = random.Random(9)
+    data, marks = [], []
+    for lang, n, shout in (("aa", 400, 0.0), ("bb", 40, 0.0), ("cc", 500, 0.3), (None, 30, 0.0), ("dd", 260, 0.004)):
+        for k in range(n + 40):
+            i = len(data)
+            words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+            if r.random() < shout or k >= n:  # what is no labelled good text is often shouted
+                words = [w.upper() + "XYZ" * 3 for w in words]
+            data.append((i, " ".join(words) + (" <#$" * r.randrange(0, 12) if k % 7 == 0 else ""), lang))
+            if k < n and lang != "bb" or k < 20:
+                marks.append((i, int(k < n)))
+    data += [(len(data) + k, " ".join(["ABCDEFG"] * 10 + [f"x{j}" for j in range(45)]), "ee") for k in range(3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    good = {i for i, q in marks if q} - {i for i, q in marks if not q}
+    got = {x.doc_id: x for x in quality_rules.judge(docs, spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+
+    def step(i, t):
+        x, chars = got[i], max(1, got[i].word_chars)
+        value = {"symbols": x.n_symbols / chars, "dup_lines": x.n_dup_lines / 1, "repeats": x.n_repeat_words / max(1, x.n_words), "capitals": sum("A" <= c <= "Z" for c in t) / chars}
+        return min((k for k, rule, c in quality_rules.STEPS if value[rule] > c), default=len(quality_rules.STEPS) + 1)
+
+    steps = {i: step(i, t) for i, t, _ in data}
+    strata = {}
+    for i, _, lang in data:
+        if i in good and not got[i].base_failed:
+            strata.setdefault(lang or "", []).append(steps[i])
+    level = quality_rules.DELTA / (len(strata) + 1)
+
+    def last(found):
+        n, proven = len(found), 0
+        for k, _, _ in quality_rules.STEPS:
+            x = sum(f <= k for f in found)
+            if x > n * quality_rules.ALPHA or sum(math.comb(n, j) * quality_rules.ALPHA**j * (1 - quality_rules.ALPHA) ** (n - j) for j in range(x + 1)) > level:
+                break
+            proven = k
+        return proven
+
+    pooled = last([x for f in strata.values() for x in f])
+    chosen = {s: last(f) if (1 - quality_rules.ALPHA) ** len(f) <= level else pooled for s, f in strata.items()}
+    assert chosen["aa"] > 10 and 0 <= chosen["cc"] < len(quality_rules.STEPS)
+    for i, _, lang in data:
+        assert got[i].kept == (not got[i].base_failed and steps[i] > chosen.get(lang or "", pooled)), i
+    assert sum(not x.kept and not x.base_failed for x in got.values()) >= 40  # cutoffs decide
+
+
+def test_quality_cutoffs_decide_in_every_language(spark):
+    """At sf0.1 every language has proven cutoffs that reject texts."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_rules.judge(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").where("NOT kept AND NOT base_failed").groupBy("lang").count().collect()
+    assert {r.lang for r in got} == {"de", "en", "es", "fr"} and min(r["count"] for r in got) > 20
+
+
 def test_quality_repeats_and_lines(spark):
     t = "a b c a b c a b c\nx|y\nx|y\n \n\n"
     r = quality_rules.judge(spark.createDataFrame([(1, t, "en")], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int")).first()
@@ -308,6 +470,54 @@ def test_token_rollup(spark, docs, tmp_path):
     assert token_rollup.count_tokens(docs, {"x@1": P.path("byte_bpe_50k.tiktoken")}).where("doc_id = 0").first().n_tokens == 0
 
 
+def test_token_counts_query_is_direct_counts(spark):
+    import collections
+    import tiktoken
+
+    want = collections.Counter()
+    sizes = collections.Counter()
+    rows_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "lang", "text").collect()
+    for name in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(f"{name}.tiktoken"), "rb"))}
+        enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for r in rows_:
+            want[r.source, r.lang, f"{name}@1"] += len(enc.encode_ordinary(r.text or ""))
+            sizes[r.source, r.lang, f"{name}@1"] += 1
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_rollup.op8_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: (sizes[k], want[k]) for k in want}
+
+
+def test_token_counts_odd_rows(spark, docs, none, tmp_path):
+    counts = {r.doc_id: r.n_tokens for r in token_rollup.count_tokens(docs, {"x@1": P.path("byte_bpe_50k.tiktoken")}).collect()}
+    assert counts[0] == counts[1] == 0 and counts[10] > 30_000
+    assert token_rollup.count_tokens(none, {"x@1": P.path("byte_bpe_50k.tiktoken")}).count() == 0
+    none.select("doc_id", "text", "lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    assert token_rollup.op8_token_counts(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_rollup_batches_between_and_at_once(spark, tmp_path):
+    """A batch committed while the rest is folded counts once; of two writers of one batch one wins; unknown changes are an error."""
+    rows_ = lambda *x: spark.createDataFrame(list(x), "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    one = lambda n: rows_(("insert", "s", "en", "t@1", n, None))
+    roll = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
+    roll.commit("a", one(5))
+    state = roll.state()
+    roll.commit("b", one(7))  # between the listing and the folding of ``compact``
+    roll.compact(state)
+    assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(2, 12)]
+    roll.compact()
+    roll.compact()
+    assert [(r.n_docs, r.n_tokens) for r in roll.totals().collect()] == [(2, 12)] and roll.batches() == ["a", "b"]
+    other = token_rollup.Rollup(spark, f"file://{tmp_path}/roll")
+    import concurrent.futures as cf
+
+    with cf.ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda r: r.commit("c", one(1)), [roll, other, roll, other]))
+    assert sum(done) == 1 and roll.totals().first().n_tokens == 13
+    with pytest.raises(Exception, match="unknown change"):
+        roll.commit("d", rows_(("replace", "s", "en", "t@1", 1, None)))
+
+
 def test_url_filter(spark):
     rules = spark.createDataFrame([*url_filter.RULES, ("com", "/en/", "allow"), (None, "/x", "block")], "host string, path string, verdict string")
     urls = ["http://A.Example.COM/en/7?x", "https://com/en/", "https://xcom/en/", "http://example.net/de/81#a", "http://b.net/de/", None, "no scheme", "a://b.org/es/?q://x", "://org/es/", "http://x.org", "http://a.com/EN/"]
