@@ -16,10 +16,10 @@ Plan
   4. Lists become groups of at most about ``2 * BLOCK`` classes: equal lists once,
      long lists cut in blocks by hash that meet pairwise, and only there: pairs
      within a block are its own group's. A pair belongs to the list of its
-     smallest common listed value alone. In a group the union of two sketches,
-     up to the smaller of their ends, shows how many elements each set has that
-     the other lacks; a pair that shows too many is out. Only classes of pairs
-     that stay get their full sets, which confirm. A group emits a spanning forest
+     smallest common listed value alone. In a group the union of the beginnings of
+     two sketches, up to the smaller of their ends, shows how many elements each
+     set has that the other lacks; a pair that shows too many is out. Only classes
+     of pairs that stay get their full sets, which confirm. A group emits a spanning forest
      of its links, so output is linear in its classes.
   5. Star contraction gives the components.
 
@@ -47,8 +47,9 @@ from .shingles import shingle_set
 #: Retained values that a linked pair shares for certain, where its sets are as large.
 SHARED = 32
 BLOCK = 1536
-#: Retained values of a class that count as one class of a block.
-_UNIT = 128
+#: Of a class's retained and listed values, so many of the smallest go with it into its groups. With fewer a pair is ruled out
+#: less often there, or found in more than one list; none is lost.
+SHOWN, TOLD = 64, 32
 
 
 def retained(n: int, percent: int) -> int:
@@ -132,18 +133,27 @@ def _strips(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
 def candidates(v: int, n: np.ndarray, low: list[np.ndarray], listed: list[np.ndarray], block: np.ndarray, percent: int) -> np.ndarray:
     """Indices of the classes in any pair that list ``v`` has to verify.
 
-    ``low``: sketches; ``listed``: those of their values that are listed; ``block``: of two
+    ``low``: beginnings of sketches; ``listed``: values that are listed; ``block``: of two
     blocks that meet, only pairs across count. A pair belongs to the list of its smallest
     common listed value alone, and stays if the union of the sketches does not rule it out.
     """
     used = np.zeros(len(n), bool)
+    if len(n) == 2:
+        least = -(-percent * int(n.sum()) // (100 + percent))
+        if n.min() < least or (len(np.intersect1d(*listed, assume_unique=True)) > 1 and np.intersect1d(*listed, assume_unique=True).view(np.int64).min() < v):
+            return np.empty(0, np.int64)
+        a, b = low
+        end = min(s[-1] if len(s) < k else np.uint64(np.iinfo(np.uint64).max) for s, k in zip(low, n, strict=True))
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        seen = [int(np.searchsorted(s, end, "right")) for s in low]
+        return np.arange(2) if all(x - both <= k - least for x, k in zip(seen, n, strict=True)) else np.empty(0, np.int64)
     smaller = [s[s.view(np.int64) < v] for s in listed]
     # up to its end a sketch holds all of its set
     end = np.array([s[-1] if len(s) < k else np.iinfo(np.uint64).max for s, k in zip(low, n, strict=True)], np.uint64)
     place, across = np.arange(len(n)), block.min() != block.max()
     for (i, both), (_, before) in zip(_strips(low), _strips(smaller), strict=True):
         r = slice(i, i + len(both))
-        maybe = (both > 0) & (before == 0) & (place[None, :] > place[r, None])
+        maybe = (before == 0) & (place[None, :] > place[r, None])
         if across:
             maybe &= block[r, None] != block[None, :]
         # the least overlap of a link; what the sketches show of one set beyond it must not exceed what it leaves
@@ -246,18 +256,18 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     one = base.where("doc_id is not null and n_shingles > 0")
     # a class is named by one of its rows, that with the smallest doc_id
     reps = staged(one.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "sketch")).alias("r")).select(F.col("r.row").alias("cls"), "r.doc_id", *_CLASS, "r.sketch"), "classes")
-    entries = reps.select("cls", "n_shingles", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    entries = reps.select("cls", "n_shingles", F.explode("sketch").alias("v"))
     shared = staged(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     # rarest first; values that one class alone holds come before all others and need no list
-    listed = (entries.join(shared, "v").groupBy("cls", "n_shingles", "k")
+    listed = (entries.join(shared, "v").groupBy("cls", "n_shingles")
               .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
               .withColumn("left", F.size("vs") - left_out(F.col("n_shingles"), percent))
               .where("left > 0")
-              .select("cls", "n_shingles", "k", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
+              .select("cls", "n_shingles", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
     listed = staged(listed, "lists")
-    marked = staged(may_match(reps.select("cls", "sketch"), listed, "cls").join(listed, "cls").select("cls", "n_shingles", "sketch", "vs"), "marked")
-    lists = listed.select("cls", F.greatest(F.lit(1.0), F.col("k") / _UNIT).alias("w"), F.explode("vs").alias("v"))
-    counts = staged(lists.groupBy("v").agg(F.count("*").alias("c"), F.ceil(F.sum("w") / BLOCK).cast("int").alias("parts")).where("c > 1"), "counts")
+    marked = staged(may_match(reps.select("cls", "sketch"), listed, "cls").join(listed, "cls").select("cls", "n_shingles", F.slice("sketch", 1, SHOWN).alias("sketch"), F.slice(F.array_sort("vs"), 1, TOLD).alias("vs")), "marked")
+    lists = listed.select("cls", F.explode("vs").alias("v"))
+    counts = staged(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int")), "counts")
     short = (lists.join(counts.where("parts = 1"), "v").groupBy("v").agg(F.sort_array(F.collect_set("cls")).alias("ids"))
              .groupBy("ids").agg(F.min("v").alias("v"))
              .select(F.concat_ws(":", "v", F.lit("a")).alias("gid"), "v", F.explode("ids").alias("cls"), F.lit(0).alias("block")))
