@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -28,9 +29,16 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/millrace-{name}-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    """A folder that driver and executors share; it goes when the session's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()  # one machine: any folder of it is shared
+    path = f"{base.rstrip('/')}/millrace-{name}-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 h42 = lambda c: f"md5(concat('42:', CAST({c} AS VARCHAR)))"
@@ -155,22 +163,69 @@ query("j3_dimension_joins", "SELECT c_custkey, n_name, coalesce(r_name, 'object'
 query("j4_repair_labels", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'updated' ELSE 'same' END AS status, CASE WHEN doc_id % 10 <> 0 AND doc_id % 7 = 0 THEN 99 ELSE 1 END AS fixed FROM documents")(
     lambda spark, d: C.repair(docs(spark, d).select("doc_id", F.format_string("counting_%s_%05d.png", F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train"), F.col("doc_id")).alias("path"), F.lit(1).alias("value")),
                               docs(spark, d).select(F.lit("train").alias("split"), F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 7 == 0, 99).otherwise(1).alias("value")), "path", "value", F.lit("train")).select("doc_id", "status", "fixed"))
-_SIG = "SELECT doc_id, CAST(('0x' || substr(md5(substr(text, 1, 3)), 1, 15)) AS BIGINT) AS sig FROM documents"
 
+# Images for the dedup tests: a vector of 64 components is a thumbnail of 8 x 8 pixels, its signs are the signature. Held-out
+# images are those of every fifth row with some pixels turned, so pairs lie on both sides of each threshold.
+_IMAGES = """
+WITH i AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+h AS (SELECT vec_id, list_transform(v, lambda x, k: CASE WHEN ((k - 1) * 7 + vec_id) % 23 = 0 THEN -x * (vec_id % 3) / 2 ELSE x END) AS v FROM i WHERE vec_id % 5 = 0),
+both_ AS (SELECT 0 AS held, * FROM i UNION ALL SELECT 1, * FROM h),
+parts AS (SELECT held, vec_id, v, false AS blurred, v AS u FROM both_ UNION ALL SELECT held, vec_id, v, true, list_transform(range(1, 65), lambda k: (v[greatest(k - 1, 1)] + v[k] + v[least(k + 1, 64)]) / 3) FROM both_),
+img AS (SELECT *, CAST(list_sum(list_transform(range(1, 61), lambda k: CASE WHEN u[k] > 0 THEN CAST(1 AS BIGINT) << CAST(k - 1 AS BIGINT) ELSE 0 END)) AS BIGINT) AS sig FROM parts),
+near AS (SELECT a.blurred, a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.sig, b.sig)) AS distance, a.u AS x, b.u AS y, a.v AS xv, b.v AS yv
+  FROM img a JOIN img b ON a.held = 0 AND b.held = 1 AND a.blurred = b.blurred AND bit_count(xor(a.sig, b.sig)) < 8),
+cells AS (SELECT blurred, a, b, w, x[(w // 2 + k // 7) * 8 + w % 2 + k % 7 + 1] * 400 + 128 AS p, y[(w // 2 + k // 7) * 8 + w % 2 + k % 7 + 1] * 400 + 128 AS q FROM near, range(4) AS ws(w), range(49) AS ks(k)),
+wins AS (SELECT blurred, a, b, avg(p) AS m, avg(q) AS n, var_samp(p) + var_samp(q) AS v, covar_samp(p, q) AS c FROM cells GROUP BY blurred, a, b, w),
+ssim AS (SELECT blurred, a, b, avg((2 * m * n + 6.5025) * (2 * c + 58.5225) / ((m * m + n * n + 6.5025) * (v + 58.5225))) AS s FROM wins GROUP BY blurred, a, b),
+alike AS (SELECT blurred, a, b FROM ssim WHERE s > 0.95),
+cos AS (SELECT i.vec_id, max(list_cosine_similarity(i.v, h.v)) AS c FROM i, h GROUP BY 1)
+"""
+
+
+def images(spark, d):
+    """(candidates, held-out): vec_id, v, sig, thumb, blur_sig, blur_thumb."""
+    def looks(df):
+        blur = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.get("v", F.greatest(k - 1, F.lit(0))) + F.get("v", k) + F.get("v", F.least(k + 1, F.lit(63)))) / 3)
+        sig = lambda c: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(c)[k] > 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(60)])
+        thumb = lambda c: F.transform(c, lambda x: x * 400 + 128)
+        return df.withColumn("blur", blur).select("vec_id", "v", sig("v").alias("sig"), thumb("v").alias("thumb"), sig("blur").alias("blur_sig"), thumb("blur").alias("blur_thumb"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    turned = F.transform("v", lambda x, k: F.when((k * 7 + F.col("vec_id")) % 23 == 0, -x * (F.col("vec_id") % 3) / 2).otherwise(x))
+    return looks(e), looks(e.where("vec_id % 5 = 0").select("vec_id", turned.alias("v")))
+
+
+@query("j5_perceptual_dedup", _IMAGES + "SELECT i.vec_id, count(n.b) AS links, coalesce(CAST(min(n.distance) AS INTEGER), -1) AS nearest, count(l.b) = 0 AS kept FROM i LEFT JOIN near n ON n.a = i.vec_id AND NOT n.blurred LEFT JOIN alike l ON l.a = n.a AND l.b = n.b AND NOT l.blurred GROUP BY 1")
+def _j5(spark, d):
+    c, h = images(spark, d)
+    return X.signature_links(c, h, "vec_id", "sig").na.fill({"nearest": -1}).join(X.perceptual_keep(c, h, "vec_id", "sig", "thumb"), "vec_id")
+
+
+_VOTES = ", ".join(f"sum(((h >> {b}) & 1) * 2 - 1) AS v{b}" for b in range(60))
+_BITS = " + ".join(f"CASE WHEN v{b} > 0 THEN CAST({1 << b} AS BIGINT) ELSE 0 END" for b in range(60))
+
+
+@query("j5_near_signatures", f"WITH w AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 15)) AS BIGINT) AS h FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents)), v AS (SELECT doc_id, {_VOTES} FROM w GROUP BY 1), s AS (SELECT doc_id, {_BITS} AS sig FROM v) "
+       "SELECT a.doc_id, count(b.doc_id) AS links, coalesce(CAST(min(bit_count(xor(a.sig, b.sig))) AS INTEGER), -1) AS nearest FROM s a LEFT JOIN s b ON b.doc_id % 5 = 0 AND bit_count(xor(a.sig, b.sig)) < 8 WHERE a.doc_id % 5 <> 0 GROUP BY 1")
+def _j5s(spark, d):
+    s = X.signature(docs(spark, d), "doc_id", "text")
+    return X.signature_links(s.where("doc_id % 5 <> 0"), s.where("doc_id % 5 = 0"), "doc_id", "sig").na.fill({"nearest": -1})
 
-def sigs(spark, d):
-    return docs(spark, d).select("doc_id", F.conv(F.substring(F.md5(F.substring("text", 1, 3).cast("binary")), 1, 15), 16, 10).cast("long").alias("sig"))
 
-
-query("j5_near_signatures", f"WITH s AS ({_SIG}) SELECT a.doc_id, b.doc_id AS held, CAST(bit_count(xor(a.sig, b.sig)) AS INTEGER) AS distance FROM s a JOIN s b ON b.doc_id % 5 = 0 AND a.doc_id % 5 <> 0 AND bit_count(xor(a.sig, b.sig)) < 8")(
-    lambda spark, d: (lambda s: X.near_signatures(s.where("doc_id % 5 <> 0"), s.where("doc_id % 5 = 0").select(F.col("doc_id").alias("held"), F.col("sig").alias("held_sig")), "doc_id", "sig", "held", "held_sig"))(sigs(spark, d)))
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 query("j6_max_cosine", f"SELECT a.vec_id, round(max({_COS}), 5) AS max_sim, max({_COS}) < 0.4 AS kept FROM embeddings a, embeddings b WHERE b.vec_id % 5 = 0 GROUP BY 1")(
     lambda spark, d: (lambda e: X.cosine_keep(e, e.where("vec_id % 5 = 0"), "vec_id", "embedding", 0.4).select("vec_id", F.round("max_sim", 5).alias("max_sim"), "kept"))(table(spark, d, "embeddings")))
-query("j7_swapped_pairs", "WITH n AS (SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem) SELECT DISTINCT a.l_orderkey AS pid FROM n a JOIN n b ON a.l_orderkey % 2 = 0 AND b.l_orderkey % 2 = 1 AND ((a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey) OR (a.l_partkey = b.l_suppkey AND a.l_suppkey = b.l_partkey))")(
-    lambda spark, d: (lambda li, m: X.swapped_pairs(li.where("pid % 2 = 0"), li.where("pid % 2 = 1").withColumnRenamed("pid", "hid"), m))(
-        table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pid"), F.col("l_partkey").alias("s"), F.col("l_suppkey").alias("t")),
-        table(spark, d, "lineitem").select(F.explode(F.array("l_partkey", "l_suppkey")).alias("a")).distinct().select("a", F.col("a").alias("b"))))
+
+
+@query("j7_swapped_pairs", _IMAGES + """, n AS (SELECT l.a, l.b FROM alike l JOIN near n ON NOT l.blurred AND NOT n.blurred AND l.a = n.a AND l.b = n.b AND list_cosine_similarity(n.xv, n.yv) >= 0.95),
+hp AS (SELECT vec_id AS hid, CASE WHEN vec_id % 2 = 0 THEN vec_id ELSE vec_id + 5 END AS s, CASE WHEN vec_id % 2 = 0 THEN vec_id + 5 ELSE vec_id END AS t FROM i WHERE vec_id % 5 = 0)
+SELECT DISTINCT c.vec_id AS pid FROM i c JOIN n p ON p.a = c.vec_id JOIN n q ON q.a = c.vec_id + 5 JOIN hp ON (hp.s = p.b AND hp.t = q.b) OR (hp.s = q.b AND hp.t = p.b)""")
+def _j7(spark, d):
+    c, h = images(spark, d)
+    odd = F.col("vec_id") % 2 == 1
+    held = h.select(F.col("vec_id").alias("hid"), F.when(odd, F.col("vec_id") + 5).otherwise(F.col("vec_id")).alias("s"), F.when(odd, F.col("vec_id")).otherwise(F.col("vec_id") + 5).alias("t"))
+    return X.swapped_pairs(c.select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("s"), (F.col("vec_id") + 5).alias("t")), held, X.alike_members(c, h, "vec_id", "v", "sig", "thumb"))
+
+
 query("j8_all_members", "SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 3 <> 0 AND l_suppkey % 3 <> 0")(
     lambda spark, d: (lambda p: C.all_members_kept(p.withColumn("k", F.struct("l_orderkey", "l_partkey", "l_suppkey")), "k", ["l_partkey", "l_suppkey"], p.select(F.explode(F.array("l_partkey", "l_suppkey")).alias("m")).where("m % 3 <> 0"), "m").drop("k"))(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()))
 query("j9_adjacent_pairs", f"WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY {h42('doc_id')}, doc_id) - 1 AS r FROM documents) SELECT a.lang, a.r // 2 AS pair, a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.lang = b.lang AND a.r % 2 = 0 AND b.r = a.r + 1 AND a.source <> b.source")(
@@ -179,14 +234,22 @@ query("j11_index_pairs", "SELECT i, j FROM range(1, 7) a(i), range(1, 7) b(j) WH
 query("u1_merge_corpora", f"SELECT doc_id, split, CAST(row_number() OVER (PARTITION BY split ORDER BY {h42('doc_id')}, doc_id) AS INTEGER) AS pos FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM documents)")(
     lambda spark, d: (lambda x: x.where("doc_id % 2 = 0").withColumn("split", F.lit("train")).unionByName(x.where("doc_id % 2 = 1").withColumn("split", F.lit("val")), allowMissingColumns=True))(docs(spark, d).select("doc_id"))
     .withColumn("pos", F.row_number().over(Window.partitionBy("split").orderBy(N.seeded(F.col("doc_id")), "doc_id"))))
-query("u2_composite_dedup", "SELECT doc_id, NOT ((doc_id % 2 = 0 AND doc_id % 3 = 0) OR (doc_id % 5 = 0 AND doc_id % 2 = 0)) AS kept FROM documents")(
-    lambda spark, d: X.rejected(docs(spark, d).select("doc_id", (F.col("doc_id") % 2 != 0).alias("c"), (F.col("doc_id") % 3 != 0).alias("h"), (F.col("doc_id") % 5 != 0).alias("b")), "c", "h", "b").select("doc_id", "kept"))
+
+
+@query("u2_composite_dedup", _IMAGES + "SELECT i.vec_id, NOT (cos.c >= 0.95 AND count(l.b) > 0) AS kept FROM i JOIN cos USING (vec_id) LEFT JOIN alike l ON l.a = i.vec_id GROUP BY i.vec_id, cos.c")
+def _u2(spark, d):
+    c, h = images(spark, d)
+    return X.composite_keep(c, h, "vec_id", "v", "sig", "thumb", ("blur_sig", "blur_thumb"))
+
+
 query("u3_entity_split", f"WITH e AS (SELECT l_suppkey, row_number() OVER (ORDER BY {h42('l_suppkey')}, l_suppkey) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT l_suppkey FROM lineitem)) SELECT CASE WHEN r <= floor(n * 0.8) THEN 'train' WHEN r <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT lineitem.l_suppkey) AS e FROM lineitem JOIN e USING (l_suppkey) GROUP BY 1")(
     lambda spark, d: C.entity_split(table(spark, d, "lineitem"), "l_suppkey").groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("e")))
 query("u4_bag_union", "SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 10 = 0")(lambda spark, d: (lambda e: e.unionAll(e.where("event_id % 10 = 0")))(table(spark, d, "events").select("event_id")))
 query("u5_token_sets", r"WITH t AS (SELECT sample_index, traj, list_distinct(string_split(a1, ' ')) AS p, list_distinct(string_split(a2, ' ')) AS g FROM sr) SELECT sample_index, traj, len(list_filter(p, lambda x: list_contains(g, x))) AS both_, len(list_filter(p, lambda x: NOT list_contains(g, x))) AS only_ FROM t".replace("WITH t", D.SR.strip() + ", t", 1))(
     lambda spark, d: (lambda p, g: rollouts(spark, d).select("sample_index", "traj", F.size(F.array_intersect(p, g)).cast("long").alias("both_"), F.size(F.array_except(p, g)).cast("long").alias("only_")))(F.split("a1", " "), F.split("a2", " ")))
 query("x_contaminated", "SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(documents.text, b.text))")(lambda spark, d: X.contaminated(docs(spark, d), table(spark, d, "benchmark"), "doc_id", "text", "text"))
+query("x_contaminated_short", "WITH s AS (SELECT DISTINCT array_to_string(list_slice(string_split(text, ' '), 1, 1 + item_id % 4), ' ') AS t FROM benchmark) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM s WHERE contains(documents.text, s.t))")(
+    lambda spark, d: X.contaminated(docs(spark, d), table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), F.lit(1), (1 + F.col("item_id") % 4).cast("int")), " ").alias("t")), "doc_id", "text", "t"))
 
 # ---- aggregates -----------------------------------------------------------------------
 query("a3_shares", "SELECT lang, round(100.0 * count(*) / (SELECT count(*) FROM documents), 1) AS share FROM documents GROUP BY 1")(
@@ -204,13 +267,15 @@ query("t3_max_lines", "SELECT count(*) AS n FROM (SELECT * FROM documents LIMIT
 query("t4_holdout_tail", "SELECT event_id, event_id >= (SELECT count(*) FROM events) - greatest(1, CAST(floor(0.03 * (SELECT count(*) FROM events)) AS BIGINT)) AS is_val FROM events")(lambda spark, d: C.holdout_tail(table(spark, d, "events").select("event_id"), "event_id", 0.03))
 query("t5_shards", "SELECT CAST(event_id // ((SELECT count(*) FROM events) // 7) AS INTEGER) AS shard, count(*) AS n FROM events WHERE event_id // ((SELECT count(*) FROM events) // 7) < 7 GROUP BY 1")(
     lambda spark, d: (lambda e: C.shard(e, "event_id", e.count(), 7).groupBy("shard").agg(F.count("*").alias("n")))(table(spark, d, "events")))
-query("t6_resume_offset", "SELECT event_id FROM events WHERE event_id >= 16 * 8")(lambda spark, d: table(spark, d, "events").where(F.col("event_id") >= 16 * 8).select("event_id"))
+query("t6_resume_offset", "SELECT event_id FROM events WHERE event_id >= 16 * 8")(lambda spark, d: G.resume_offset(table(spark, d, "events").select("event_id"), "event_id", 16, 8))
 query("t7_sorted_lists", "SELECT DISTINCT lang FROM documents ORDER BY 1")(lambda spark, d: docs(spark, d).select("lang").distinct().orderBy("lang"))
 query("t8_first_match", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0.2)) > 0 AS hit FROM embeddings")(lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.exists("embedding", lambda x: x > 0.2).alias("hit")))
 query("w6_ema", """WITH RECURSIVE s AS (SELECT event_id % 16 AS k, event_id // 16 AS i, value FROM events), r AS (SELECT k, i, value AS ema FROM s WHERE i = 0
 UNION ALL SELECT s.k, s.i, 0.95 * r.ema + 0.05 * s.value FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1) SELECT k, i, round(ema + 1e-9, 5) AS ema FROM r""")(
     lambda spark, d: G.smoothed(table(spark, d, "events").select((F.col("event_id") % 16).alias("k"), F.floor(F.col("event_id") / 16).alias("i"), "value"), ["k"], "i", "value").select("k", "i", F.round(F.col("ema") + 1e-9, 5).alias("ema")))
-query("w7_priority_sample")(lambda spark, d: G.priority_draws(table(spark, d, "customer").orderBy("c_custkey").limit(256), 1000, "c_custkey", "c_acctbal").groupBy("c_custkey").agg(F.count("*").alias("n")))
+query("w7_priority_sample", """WITH e AS (SELECT c_custkey, pow(abs(c_acctbal), 1.0) + 1e-6 AS w FROM customer ORDER BY c_custkey LIMIT 256), r AS (SELECT c_custkey, sum(w) OVER (ORDER BY c_custkey) AS hi, sum(w) OVER (ORDER BY c_custkey) - w AS lo, sum(w) OVER () AS t FROM e),
+u AS (SELECT CAST(('0x' || substr(md5('42:' || draw), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM range(1000) AS d(draw)) SELECT c_custkey, count(*) AS n FROM u JOIN r ON u * t >= lo AND u * t < hi GROUP BY 1""")(
+    lambda spark, d: G.priority_draws(table(spark, d, "customer").orderBy("c_custkey").limit(256), 1000, "c_custkey", "c_acctbal").groupBy("c_custkey").agg(F.count("*").alias("n")))
 query("w8_fifo", "SELECT event_id FROM events ORDER BY event_id DESC LIMIT 256")(lambda spark, d: G.last_rows(table(spark, d, "events").select("event_id"), "event_id", 256))
 query("w9_stratified", f"WITH r AS (SELECT doc_id, lang, {h42('doc_id')} AS h, row_number() OVER (PARTITION BY lang ORDER BY {h42('doc_id')}, doc_id) AS r FROM documents) SELECT doc_id, lang FROM r ORDER BY r > 20, h, doc_id LIMIT 90")(
     lambda spark, d: C.stratified(docs(spark, d), "lang", "doc_id", 20, 90).select("doc_id", "lang"))
@@ -218,10 +283,10 @@ query("w10_early_stop", """WITH RECURSIVE s AS (SELECT event_id AS i, value AS x
 UNION ALL SELECT s.i, s.x, CASE WHEN s.x < r.best - 0.01 THEN s.x ELSE r.best END, CASE WHEN s.x < r.best - 0.01 THEN 0 ELSE r.since_best + 1 END FROM r JOIN s ON s.i = r.i + 1) SELECT i AS event_id, x AS value, best, since_best, since_best >= 5 AS stop FROM r""")(
     lambda spark, d: G.early_stop(table(spark, d, "events").where("event_id < 60"), "event_id", "value"))
 query("w11_warmup", "SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0 ELSE 1 END * 0.001, 9) AS lr FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.round(N.warmup(F.col("event_id"), 100, 0.001), 9).alias("lr")))
-query("w12_trend", "SELECT w, round(avg(value), 6) AS mean FROM (SELECT value, CAST(event_id * 10 // (SELECT count(*) FROM events) AS INTEGER) AS w FROM events) GROUP BY 1")(
-    lambda spark, d: (lambda e: e.select("value", F.floor(F.col("event_id") * 10 / e.count()).cast("int").alias("w")).groupBy("w").agg(F.round(F.avg("value"), 6).alias("mean")))(table(spark, d, "events")))
-query("w13_early_late", "WITH n AS (SELECT count(*) AS n FROM events) SELECT round(avg(value) FILTER (event_id * 10 < n) - avg(value) FILTER (event_id * 10 >= 9 * n), 6) AS delta FROM events, n")(
-    lambda spark, d: (lambda e, n: e.agg(F.round(F.avg(F.when(F.col("event_id") * 10 < n, F.col("value"))) - F.avg(F.when(F.col("event_id") * 10 >= 9 * n, F.col("value"))), 6).alias("delta")))(table(spark, d, "events"), table(spark, d, "events").count()))
+query("w12_trend", "SELECT w, round(avg(value), 6) AS mean FROM (SELECT value, CAST((row_number() OVER (ORDER BY event_id) - 1) * 10 // (SELECT count(*) FROM events) AS INTEGER) AS w FROM events) GROUP BY 1")(
+    lambda spark, d: G.windowed_trend(table(spark, d, "events"), "event_id", "value").select("w", F.round("mean", 6).alias("mean")))
+query("w13_early_late", "WITH n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS p, count(*) OVER () AS n FROM events) SELECT round(avg(value) FILTER (p < greatest(1, n // 10)) - avg(value) FILTER (p >= n - greatest(1, n // 10)), 6) AS delta FROM n")(
+    lambda spark, d: G.early_late(table(spark, d, "events"), "event_id", "value").select(F.round("delta", 6).alias("delta")))
 
 # ---- arithmetic -----------------------------------------------------------------------------
 emb = lambda spark, d: table(spark, d, "embeddings")
@@ -243,7 +308,8 @@ def _p34(spark, d):
 
 query("p35_luminance", "SELECT vec_id, round(0.2126 * f(vec_id % 256) + 0.7152 * f(vec_id % 100) + 0.0722 * f(7), 6) AS l FROM embeddings".replace("f(vec_id % 256)", "pow((vec_id % 256 / 255.0 + 0.055) / 1.055, 2.4)").replace("f(vec_id % 100)", "CASE WHEN vec_id % 100 / 255.0 <= 0.04045 THEN vec_id % 100 / 255.0 / 12.92 ELSE pow((vec_id % 100 / 255.0 + 0.055) / 1.055, 2.4) END").replace("f(7)", "(7 / 255.0 / 12.92)").replace("pow((vec_id % 256", "CASE WHEN vec_id % 256 / 255.0 <= 0.04045 THEN vec_id % 256 / 255.0 / 12.92 ELSE pow((vec_id % 256", 1).replace("2.4) + 0.7152", "2.4) END + 0.7152", 1))(
     lambda spark, d: emb(spark, d).select("vec_id", F.round(N.luminance(F.col("vec_id") % 256, F.col("vec_id") % 100, F.lit(7)), 6).alias("l")))
-query("p36_shuffled_choices")(lambda spark, d: (lambda o: emb(spark, d).select("vec_id", o[0].alias("order"), o[1].alias("pos")))(N.shuffled_choices(F.col("vec_id"), 4, F.col("vec_id") % 4)))
+query("p36_shuffled_choices", "WITH o AS (SELECT vec_id, list_transform(list_sort(list_transform(range(0, 4), lambda i: md5(concat(vec_id, ':', i)) || i)), lambda x: CAST(x[33:33] AS INTEGER)) AS \"order\" FROM embeddings) SELECT vec_id, \"order\", CAST(list_position(\"order\", CAST(vec_id % 4 AS INTEGER)) AS INTEGER) - 1 AS pos FROM o")(
+    lambda spark, d: (lambda o: emb(spark, d).select("vec_id", o[0].alias("order"), o[1].alias("pos")))(N.shuffled_choices(F.col("vec_id"), 4, F.col("vec_id") % 4)))
 _LP = "list_transform(range(1, 33), lambda i: CAST(embedding[i] AS DOUBLE))", "list_transform(range(33, 65), lambda i: CAST(embedding[i] AS DOUBLE))"
 query("p37_kl", f"SELECT vec_id, round(list_sum(list_transform(list_zip({_LP[0]}, {_LP[1]}), lambda p: exp(p[1] - p[2]) - (p[1] - p[2]) - 1)) / 32, 6) AS kl FROM embeddings")(
     lambda spark, d: emb(spark, d).select("vec_id", F.round(N.kl_term(F.slice("embedding", 1, 32).cast("array<double>"), F.slice("embedding", 33, 32).cast("array<double>"), 32.0), 6).alias("kl")))
@@ -276,6 +342,38 @@ def _sx(spark, d):
     return spark.read.parquet(out).select("sample_index", "traj")
 
 
+@query("st_keys_once_over_batches", D.SR + "SELECT sample_index, traj FROM sr")
+def _sk(spark, d):
+    path, out, ck = scratch(spark, "sk"), scratch(spark, "sk-out"), scratch(spark, "sk-ck")
+    r = rollouts(spark, d).select("sample_index", "traj")
+    for part in (r.where("traj < 5"), r.where("traj > 2"), r):  # three files, so three micro-batches, that repeat keys
+        part.coalesce(1).write.mode("append").json(path)
+    ST.append_batches(ST.read_log(spark, path, "sample_index long, traj long"), out, ck, ["sample_index", "traj"]).awaitTermination()
+    return spark.read.parquet(out).select("sample_index", "traj")
+
+
+@query("st_running_average", """WITH RECURSIVE s AS (SELECT event_id % 16 AS k, event_id // 16 AS i, value FROM events), r AS (SELECT k, i, value AS ema FROM s WHERE i = 0
+UNION ALL SELECT s.k, s.i, 0.95 * r.ema + 0.05 * s.value FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1) SELECT k, max(i) + 1 AS n, round(arg_max(ema, i) + 1e-9, 5) AS ema FROM r GROUP BY 1""")
+def _sr(spark, d):
+    path, out = scratch(spark, "sa"), scratch(spark, "sa-out")
+    e = table(spark, d, "events").select((F.col("event_id") % 16).alias("k"), F.floor(F.col("event_id") / 16).alias("i"), "value")
+    half = e.agg(F.max("i")).first()[0] // 2
+    for part in (e.where(F.col("i") <= half), e.where(F.col("i") > half)):  # files arrive in order
+        part.coalesce(1).write.mode("append").json(path)
+    ST.running_average(ST.read_log(spark, path, "k long, i long, value double"), "k", "i", "value").writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option("checkpointLocation", scratch(spark, "sa-ck")).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("k").agg(F.max("n").alias("n"), F.round(F.max_by("ema", "n") + 1e-9, 5).alias("ema"))
+
+
+@query("st_windowed_counts", "SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def _sw(spark, d):
+    path, out = scratch(spark, "sw"), scratch(spark, "sw-out")
+    table(spark, d, "events").select("event_type", "ts").repartition(3).write.json(path)
+    log = ST.read_log(spark, path, "event_type string, ts timestamp", 3)
+    name = "millrace_windows"
+    ST.windowed_counts(log, "ts", "1 hour", "10 minutes", "event_type").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", out).start().awaitTermination()
+    return spark.table(name).select("event_type", F.floor(F.unix_timestamp(F.from_utc_timestamp("window.start", F.current_timezone())) / 3600).alias("hour"), "n")
+
+
 # ---- the rest of the inventory: resume scans, split loads, folders, configurations, nested and long forms ----
 @query("s4_resume_scan", "SELECT DISTINCT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 50 <> 7")
 def _s4(spark, d):
@@ -334,9 +432,9 @@ query("t1_seeded_order", f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY s
     lambda spark, d: docs(spark, d).select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(N.seeded(F.col("doc_id")), "doc_id")).alias("pos")))
 query("t9_natural_order", "SELECT * FROM (VALUES (0, 'image'), (1, 'image_2'), (2, 'image_10')) AS t(pos, name)")(
     lambda spark, d: S.image_cells(spark.range(1).select("id", *[F.lit(c.encode()).alias(c) for c in ("image_10", "image", "image_2")]), "id").select("pos", F.col("bytes").cast("string").alias("name")))
-query("u6_merged_folders", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr')")(lambda spark, d: (lambda x: x.where("lang = 'en'").union(x.where("lang = 'fr'")))(docs(spark, d).select("doc_id", "lang")))
+query("u6_merged_folders", "SELECT doc_id, lang FROM documents")(lambda spark, d: (lambda x: x.where("lang = 'en'").union(x.where("lang <> 'en'")))(docs(spark, d).select("doc_id", "lang")))
 query("v9_short_pairs", D.SR + f", t AS (SELECT sample_index, traj, len(list_filter(string_split({D.norm('a1')}, ' '), lambda w: w <> '')) AS p, len(list_filter(string_split({D.norm('a2')}, ' '), lambda w: w <> '')) AS g FROM sr) SELECT sample_index, traj, p BETWEEN 1 AND 3 AND g BETWEEN 1 AND 3 AS short FROM t")(
     lambda spark, d: rollouts(spark, d).select("sample_index", "traj", (F.size(T.words(F.col("a1"))).between(1, 3) & F.size(T.words(F.col("a2"))).between(1, 3)).alias("short")))
-query("d1_line_drift", "SELECT doc_id FROM documents WHERE doc_id % 50 <> 7 AND doc_id < 20")(
-    lambda spark, d: (lambda p: (docs(spark, d).where("doc_id < 20").coalesce(1).sortWithinPartitions("doc_id").select(F.when(F.col("doc_id") % 50 == 7, F.lit("")).otherwise(F.to_json(F.struct("doc_id", "lang", "text"))).alias("value")).write.text(p),
+query("d1_line_drift", "SELECT doc_id FROM documents WHERE doc_id % 50 <> 7")(
+    lambda spark, d: (lambda p: (docs(spark, d).coalesce(1).sortWithinPartitions("doc_id").select(F.when(F.col("doc_id") % 50 == 7, F.lit("")).otherwise(F.to_json(F.struct("doc_id", "lang", "text"))).alias("value")).write.text(p),
                                  S.read_jsonl_tolerant(spark, p, SMALL).where("line = doc_id").select("doc_id"))[1])(scratch(spark, "d1")))
