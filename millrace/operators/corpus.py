@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions.numbers import BUCKETS, bucket, seeded
 
+from .groups import positions
+
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of ``todo`` that are not done yet."""
@@ -87,11 +89,9 @@ def entity_split(df: DataFrame, entity: str, seed: int = 42, shares: tuple[float
 
 
 def holdout_tail(df: DataFrame, order: str, share: float) -> DataFrame:
-    """Adds is_val: the last max(1, int(n * share)) rows by ``order``, found by a threshold, not by a global sort."""
+    """Adds is_val: the last max(1, int(n * share)) rows by ``order``."""
     n = df.count()
-    m = max(1, int(n * share)) if n else 0
-    edge = df.select(order).orderBy(F.desc(order)).limit(m).agg(F.min(order)).first()[0] if m else None
-    return df.withColumn("is_val", F.col(order) >= edge if edge is not None else F.lit(False))
+    return positions(df, order, "_at").withColumn("is_val", F.col("_at") >= n - max(1, int(n * share))).drop("_at")
 
 
 def shard(df: DataFrame, pos: str, n_rows: int, processes: int) -> DataFrame:

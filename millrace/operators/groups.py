@@ -15,8 +15,9 @@ def advantage(reward: Column, *group: str, plain: bool = False) -> Column:
     centred = reward - F.avg(reward).over(w)
     if plain:
         return centred
-    std = F.coalesce(F.stddev_samp(reward).over(w), F.lit(0.0))
-    return F.when(std > 0, centred / (std + 1e-8)).otherwise(0.0)
+    # equal rewards have a standard deviation of rounding noise, but no range
+    varies = F.max(reward).over(w) - F.min(reward).over(w) > 1e-9
+    return F.when(varies, centred / (F.stddev_samp(reward).over(w) + 1e-8)).otherwise(0.0)
 
 
 def block_of(position: Column, k: int) -> Column:
@@ -82,6 +83,104 @@ def transition_metrics(df: DataFrame, *by: str, extra: dict[str, Column] | None
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
+def violations(component: str) -> Column:
+    """Share of rows whose format component is 0, that is whose tags are missing."""
+    return F.avg(F.when(F.col(component) == 0.0, 1.0).otherwise(0.0))
+
+
+def reflection_metrics(df: DataFrame, *by: str, response: str = "total", feedback: str = "fb_total", a2_format: str = "a2_format", fb_format: str = "fb_format") -> DataFrame:
+    """Transition metrics with reward means and format-violation rates."""
+    return transition_metrics(df, *by, extra={"response_reward_mean": F.avg(response), "feedback_reward_mean": F.avg(feedback),
+                                              "a2_format_violation_rate": violations(a2_format), "fb_format_violation_rate": violations(fb_format)})
+
+
+def baseline_metrics(df: DataFrame, *by: str, reward: str = "total", a1_format: str = "a1_format") -> DataFrame:
+    """The same keys for answers of one turn; NaN where a second turn would be needed."""
+    nan = F.lit(float("nan"))
+    undefined = ("a2_accuracy", "rr_rate", "rw_rate", "wr_rate", "ww_rate", "a2_format_violation_rate", "fb_format_violation_rate")
+    aggs = [F.count("*").alias("total_trajectories"), rate(F.col("a1_correct")).alias("a1_accuracy"), F.avg(reward).alias("response_reward_mean"), violations(a1_format).alias("a1_format_violation_rate")]
+    out = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs).where("total_trajectories > 0")
+    return out.select("*", F.lit(0.0).alias("feedback_reward_mean"), *[nan.alias(c) for c in undefined])
+
+
+def critic_metrics(df: DataFrame, *by: str, reward: str = "total", feedback: str = "f1") -> DataFrame:
+    """Metrics of a critic's pairs: a second answer that can't be told (null) counts in no transition, but in the total."""
+    a1, a2 = F.col("a1_correct"), F.col("a2_correct")
+    both = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    aggs = [F.count("*").alias("total_pairs"), F.avg(reward).alias("reward_mean"), both(a1 & a2).alias("rr_rate"), both(a1 & ~a2).alias("rw_rate"), both(~a1 & a2).alias("wr_rate"), both(~a1 & ~a2).alias("ww_rate"),
+            F.avg(F.size(F.filter(F.split(F.coalesce(F.col(feedback), F.lit("")), r"\s+"), lambda w: w != ""))).alias("feedback_length_mean")]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs).where("total_pairs > 0")
+
+
+def keyed(wide: DataFrame, prefix: str, *by: str) -> DataFrame:
+    """Long form: by, metric (prefix/name), value."""
+    names = [c for c in wide.columns if c not in by]
+    doubles = wide.select(*by, *[F.col(c).cast("double").alias(f"{prefix}/{c}") for c in names])
+    return doubles.unpivot(list(by), [f"{prefix}/{c}" for c in names], "metric", "value")
+
+
+def rekeyed(long: DataFrame, prefix: str) -> DataFrame:
+    """Metrics under another prefix: sr/x becomes prefix/x."""
+    return long.withColumn("metric", F.concat(F.lit(prefix + "/"), F.substring_index("metric", "/", -1)))
+
+
+def batch_diagnostics(df: DataFrame, *by: str, reward: str, advantages: dict[str, str]) -> DataFrame:
+    """Per batch: standard deviation of the reward, and of each advantage (name: column) the mean size and how many vanish."""
+    aggs = [F.stddev_samp(reward).alias("reward_std")]
+    for name, c in advantages.items():
+        aggs += [F.avg(F.abs(c)).alias(f"{name}_abs_mean"), F.count_if(F.col(c) == 0).alias(f"{name}_zeros")]
+    return df.groupBy(*by).agg(*aggs)
+
+
+def token_diagnostics(df: DataFrame, *by: str, new: str, old: str, entropy: str, clip: float = 0.2) -> DataFrame:
+    """Clip fraction and entropy over all tokens (ratios of sums). ``new``, ``old``: log-probabilities of each token, ``entropy``: its entropy."""
+    ratio = F.zip_with(new, old, lambda a, b: F.exp(a - b))
+    clipped = F.size(F.filter(ratio, lambda r: (r < 1 - clip) | (r > 1 + clip)))
+    total = lambda x: F.aggregate(F.col(x), F.lit(0.0), lambda s, e: s + F.coalesce(e, F.lit(0.0)))
+    tokens = F.sum(F.size(new))
+    aggs = [(F.sum(clipped) / F.greatest(tokens, F.lit(1))).alias("clip_fraction"), F.coalesce(F.sum(total(entropy)) / F.nullif(F.sum(F.size(entropy)), F.lit(0)), F.lit(0.0)).alias("entropy")]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def completion_length(ids: Column | None = None, whole: Column | None = None, prompt: Column | None = None) -> Column:
+    """Tokens of a completion: of its ids where they are kept (none: 0), else of the whole without the prompt."""
+    if ids is None:
+        return whole - prompt
+    return F.coalesce(F.when(ids.isNotNull(), F.size(ids)), F.lit(0)) if whole is None else F.coalesce(F.when(ids.isNotNull(), F.size(ids)), whole - prompt)
+
+
+def positions(df: DataFrame, order: str, out: str = "position", *ties: str) -> DataFrame:
+    """The place from 0 of each row by a numeric column, without a global sort: rows are ranked within 65,536 equal ranges of
+    its values, and the ranges' counts, a table of that many rows, are summed up."""
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    if lo is None:
+        return df.withColumn(out, F.lit(None).cast("long"))
+    part = F.floor((F.col(order) - lo) / F.lit(max(float(hi) - float(lo), 1e-300)) * 65535)
+    d = df.withColumn("_p", part)
+    counts = d.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(before), "_p").withColumn(out, F.row_number().over(Window.partitionBy("_p").orderBy(order, *ties)) - 1 + F.col("_before")).drop("_p", "_before")
+
+
+def windowed_trend(df: DataFrame, order: str, value: str, windows: int = 10) -> DataFrame:
+    """w, mean: the mean in each of ``windows`` equal stretches of the order."""
+    n = df.count()
+    return positions(df, order).select(F.floor(F.col("position") * windows / max(n, 1)).cast("int").alias("w"), value).groupBy("w").agg(F.avg(value).alias("mean"))
+
+
+def early_late(df: DataFrame, order: str, value: str, share: float = 0.1) -> DataFrame:
+    """delta: the mean of the first share of rows less that of the last."""
+    n = df.count()
+    m = max(1, int(n * share + 1e-9))
+    p = positions(df, order)
+    return p.agg((F.avg(F.when(F.col("position") < m, F.col(value))) - F.avg(F.when(F.col("position") >= n - m, F.col(value)))).alias("delta"))
+
+
+def resume_offset(df: DataFrame, position: str, step: int, batch: int) -> DataFrame:
+    """Rows that a run stopped after ``step`` batches has not seen."""
+    return df.where(F.col(position) >= step * batch)
+
+
 def component_means(df: DataFrame, components: list[str]) -> DataFrame:
     """Long form: component, mean."""
     return df.agg(*[F.avg(c).alias(c) for c in components]).unpivot([], components, "component", "mean")

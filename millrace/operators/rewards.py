@@ -115,18 +115,24 @@ def answer_tag_format(text: Column, kind: Column) -> Column:
     return F.when(text.rlike("(?i)<answer>") & (inner != "") & T.clean_atomic(inner, kind), 1.0).otherwise(0.0)
 
 
-def bare_format(text: Column, kind: Column) -> Column:
-    """0 for a clean answer, else -1; without a judge, a lengthy choice or verdict counts as unclean."""
+def bare_format(text: Column, kind: Column, judge=None, truth: Column | None = None, least: float = 0.7) -> Column:
+    """0 for a clean answer, else -1. ``judge`` (text, truth -> score) may clear a lengthy choice or verdict; without one, or
+    without a truth, it counts as unclean."""
     n = T.normalize_answer(text)
     plain = F.regexp_replace(n, ",", "")
     parts = F.split(plain, "/")
     number = F.when(F.instr(plain, "/") > 0, (F.size(parts) == 2) & T.to_float(parts[0]).isNotNull() & T.to_float(F.get(parts, F.lit(1))).isNotNull()).otherwise(T.to_float(F.rtrim(plain, F.lit("%"))).isNotNull())
     ok = (F.when(n == "", False).when(kind == "mcq", n.rlike("^[a-f]$")).when(kind == "yesno", n.isin("yes", "no")).when(kind == "counting", n.rlike(r"(?U)^[+-]?\d+$")).when(kind == "numeric", number).otherwise(True))
+    if judge is not None and truth is not None:
+        ok = ok | (kind.isin("mcq", "yesno") & (n != "") & (F.coalesce(truth, F.lit("")) != "") & F.coalesce(judge(T.strip(text), truth) >= least, F.lit(False)))
     return F.when(ok, 0.0).otherwise(-1.0)
 
 
-def answer_format(text: Column, kind: Column, mode: str = "think") -> Column:
-    return {"think": tag_format, "tag": answer_tag_format, "bare": bare_format}[mode](text, kind)
+def answer_format(text: Column, kind: Column, mode: str = "think", judge=None, truth: Column | None = None) -> Column:
+    """The format reward of a mode: think, tag or bare; only bare ones may ask a judge."""
+    if mode == "bare":
+        return bare_format(text, kind, judge, truth)
+    return {"think": tag_format, "tag": answer_tag_format}[mode](text, kind)
 
 
 def format_unit(raw: Column) -> Column:

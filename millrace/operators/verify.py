@@ -18,8 +18,14 @@ DETERMINISTIC = ("mcq", "yesno", "numeric", "counting")
 F1_LEAST, ANLS_LEAST, COUNT_LEAST = 0.85, 0.7, 0.75
 # Fixed values.
 COLORS = "black blue brown gray green grey orange pink purple red white yellow".split()
-ANTONYMS = [p.split("/") for p in ("left/right up/down above/below top/bottom front/back inside/outside before/after yes/no true/false positive/negative higher/lower more/less "
-            "larger/smaller bigger/smaller increase/decrease north/south east/west horizontal/vertical clockwise/counterclockwise ascending/descending").split()]
+ANTONYMS = [
+    ("left", "right"), ("up", "down"), ("above", "below"), ("top", "bottom"), ("front", "back"), ("inside", "outside"), ("before", "after"), ("yes", "no"), ("true", "false"),
+    ("positive", "negative"), ("higher", "lower"), ("more", "less"), ("larger", "smaller"), ("bigger", "smaller"), ("increase", "decrease"), ("north", "south"), ("east", "west"),
+    ("horizontal", "vertical"), ("clockwise", "counterclockwise"), ("ascending", "descending"),
+]
+#: A model's score from which two answers count as the same.
+JUDGE_LEAST = 0.7
+Judge = Callable[[Column, Column], Column]
 
 
 def result(ok: Column | bool, verdict: Column | str, extracted: Column | str, score: Column | None = None) -> Column:
@@ -52,8 +58,20 @@ def contained(p: Column, g: Column) -> Column:
     return (p != "") & (g != "") & (F.contains(p, g) | F.contains(g, p))
 
 
-def open_stages(df: DataFrame, pred: str, truth: str, out: str) -> DataFrame:
-    """Adds ``out``: the verdict of the open-ended cascade; its last stage, a model's, is left to a scorer."""
+def word_overlap(p: Column, g: Column) -> Column:
+    """A judge that needs no model: shared words over all words of both."""
+    a, b = F.array_distinct(T.words(p)), F.array_distinct(T.words(g))
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
+
+
+def judged_by(judge: Judge, pred: Column, truth: Column, extracted: Column, least: float = JUDGE_LEAST) -> Column:
+    score = F.coalesce(judge(pred, truth).cast("double"), F.lit(0.0))
+    return result(True, F.when(score >= least, CORRECT).otherwise(WRONG), extracted, score)
+
+
+def open_stages(df: DataFrame, pred: str, truth: str, out: str, judge: Judge | None = None, least: float = JUDGE_LEAST) -> DataFrame:
+    """Adds ``out``: the verdict of the open-ended cascade. ``judge`` scores, from answer and truth, what no earlier stage
+    tells; without one the last stage is WRONG. A model's judge is an Arrow UDF behind the same two columns."""
     p, g = F.col(pred), F.col(truth)
     df = df.withColumns({"_pl": F.lower(T.strip(p)), "_gl": F.lower(T.strip(g)), "_pn": T.normalize_text(p), "_gn": T.normalize_text(g), "_pw": T.words(p), "_gw": T.words(g)})
     df = df.withColumns({"_pt": F.array_distinct("_pw"), "_gt": F.array_distinct("_gw")})
@@ -63,7 +81,8 @@ def open_stages(df: DataFrame, pred: str, truth: str, out: str) -> DataFrame:
                          "_bad": antonym_conflict(pt, gt) | color_conflict(pt, gt)})
     cascade = (F.when(F.col("_bad"), result(True, WRONG, p)).when(F.col("_pl") == F.col("_gl"), result(True, CORRECT, p, F.lit(1.0)))
                .when(contained(F.col("_pn"), F.col("_gn")), result(True, CORRECT, p, F.lit(0.95))).when(F.col("_f1") >= F1_LEAST, result(True, CORRECT, p, F.col("_f1")))
-               .when(F.col("_anls") >= ANLS_LEAST, result(True, CORRECT, p, F.col("_anls"))).otherwise(result(True, WRONG, p, F.col("_anls"))))
+               .when(F.col("_anls") >= ANLS_LEAST, result(True, CORRECT, p, F.col("_anls")))
+               .otherwise(result(True, WRONG, p, F.col("_anls")) if judge is None else judged_by(judge, p, g, p, least)))
     return df.withColumn(out, F.when(p == "", result(False, WRONG, "")).otherwise(cascade)).drop("_pl", "_gl", "_pn", "_gn", "_pw", "_gw", "_pt", "_gt", "_f1", "_anls", "_bad")
 
 
@@ -82,8 +101,9 @@ def _number_text(x: Column) -> Column:
     return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
 
 
-def verify(df: DataFrame, text: str, truth: str, kind: str, out: str, strict: bool = False, tolerance: float = 0.01) -> DataFrame:
-    """Adds ``out``, a struct (parse_ok, verdict, extracted, score)."""
+def verify(df: DataFrame, text: str, truth: str, kind: str, out: str, strict: bool = False, tolerance: float = 0.01, judge: Judge | None = None) -> DataFrame:
+    """Adds ``out``, a struct (parse_ok, verdict, extracted, score). ``judge``: scores free answers that the rules leave open,
+    and whole yes/no answers that agree in their first word."""
     k = F.col(kind)
     raw = F.col(text) if strict else T.answer_portion(F.col(text))
     df = df.withColumns({"_raw": F.coalesce(raw, F.lit("")), "_truth": F.coalesce(T.answer_portion(F.col(truth)), F.lit(""))})
@@ -99,7 +119,7 @@ def verify(df: DataFrame, text: str, truth: str, kind: str, out: str, strict: bo
         "_hedge": F.when(k == "yesno", T.hedging(r)), "_ps": F.lower(F.regexp_extract(r, T.YESNO_START, 1)), "_gs": F.lower(F.regexp_extract(g, T.YESNO_START, 1)),
         "_pa": F.lower(F.regexp_extract(r, T.YESNO, 1)), "_ga": F.lower(F.regexp_extract(g, T.YESNO, 1)),
         "_gnum": F.when(k == "counting", T.sentence_number(g)), "_pnum": F.when(k == "counting", number)})
-    df = open_stages(df, "_x", "_truth", "_open")
+    df = open_stages(df, "_x", "_truth", "_open", judge)
     p, x, o = F.col("_p"), F.col("_x"), F.col("_open")
     none = result(False, WRONG, "")
     sided = lambda a, b: F.when(a == b, CORRECT).otherwise(WRONG)
@@ -111,8 +131,9 @@ def verify(df: DataFrame, text: str, truth: str, kind: str, out: str, strict: bo
     if strict:
         yn = F.when(p == "", none).when(first == "", result(True, WRONG, p)).otherwise(result(True, sided(F.lower(p), first), p))
     else:
-        yn = (F.when(F.col("_hedge"), none).when((ps != "") & (gs != ""), F.when(ps == gs, o).otherwise(result(True, WRONG, F.initcap(ps)))).when(ga == "", o)
-              .when(pa != "", F.when(pa == ga, o).otherwise(result(True, WRONG, F.initcap(pa)))).otherwise(none))
+        agreed = lambda said: o if judge is None else judged_by(judge, x, g, F.initcap(said))
+        yn = (F.when(F.col("_hedge"), none).when((ps != "") & (gs != ""), F.when(ps == gs, agreed(ps)).otherwise(result(True, WRONG, F.initcap(ps)))).when(ga == "", o)
+              .when(pa != "", F.when(pa == ga, agreed(pa)).otherwise(result(True, WRONG, F.initcap(pa)))).otherwise(none))
     pn, gn = F.col("_pnum"), F.col("_gnum")
     share = F.greatest(F.lit(0.0), 1 - F.abs(pn - gn) / F.greatest(F.abs(gn), F.lit(3.0)))
     counted = result(True, F.when(share >= COUNT_LEAST, CORRECT).otherwise(WRONG), _number_text(pn), share)

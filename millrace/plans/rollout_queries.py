@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import numbers as N, text as T
 from millrace.operators import corpus as C, groups as G, rewards as R
-from millrace.operators.verify import CORRECT, match_answer, verify, verify_distinct
+from millrace.operators.verify import CORRECT, match_answer, verify, verify_distinct, word_overlap
 from millrace.sources.views import rollouts
 
 from . import duck as D
@@ -84,8 +84,10 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     keys = df.select("answer_type", "ground_truth", F.explode(F.array("a1", "a2")).alias("_t")).distinct()
     found = verify(verify(keys, "_t", "ground_truth", "answer_type", "m"), "_t", "ground_truth", "answer_type", "n", strict=True)
     for k in "12":
-        side = found.select("answer_type", "ground_truth", F.col("_t").alias(f"a{k}"), F.col("m").alias(f"m{k}"), F.col("n").alias(f"n{k}"))
-        df = df.join(side, ["answer_type", "ground_truth", f"a{k}"])
+        # null answers are answers, too; the side is as small as the different answers are, so Spark sends it round where it fits
+        side = found.select(F.col("answer_type").alias("_k"), F.col("ground_truth").alias("_g"), "_t", F.col("m").alias(f"m{k}"), F.col("n").alias(f"n{k}"))
+        same = F.col("answer_type").eqNullSafe(F.col("_k")) & F.col("ground_truth").eqNullSafe(F.col("_g")) & F.col(f"a{k}").eqNullSafe(F.col("_t"))
+        df = df.join(side, same, "left").drop("_k", "_g", "_t")
     return df
 
 
@@ -97,6 +99,12 @@ for _id, _kind in (("v2_verify_mcq", "mcq"), ("v3_verify_yesno", "yesno"), ("v4_
     query(_id, J + f"SELECT sample_index, traj, m1_v, round(m1_s, 6) AS m1_s, n2_v FROM j WHERE answer_type = '{_kind}'")(
         lambda spark, d, _kind=_kind: verify(verify(rollouts(spark, d).where(c.kind == _kind), "a1", "ground_truth", "answer_type", "m1"), "a2", "ground_truth", "answer_type", "n2", strict=True)
         .select(*KEY, ok("m1").alias("m1_v"), F.round("m1.score", 6).alias("m1_s"), ok("n2").alias("n2_v")))
+# a judge that SQL can say, too: words in common, over all words
+_WS = lambda x: f"list_distinct(list_filter(string_split({D.norm(x)}, ' '), lambda w: w <> ''))"
+_OVER = lambda x, y: f"coalesce(len(list_filter({_WS(x)}, lambda w: list_contains({_WS(y)}, w))) / CAST(nullif(len(list_distinct(list_concat({_WS(x)}, {_WS(y)}))), 0) AS DOUBLE), 0)"
+some_words = lambda p, g: F.when(word_overlap(p, g) >= 0.3, 1.0).otherwise(0.0)
+query("v6_judged_open", J + f"SELECT sample_index, traj, m1_v OR (m1_s IS NOT NULL AND {_OVER('a1', 'ground_truth')} >= 0.3) AS judged FROM j WHERE answer_type = 'open' AND NOT contains(a1, '<')")(
+    lambda spark, d: verify_distinct(rollouts(spark, d).where((c.kind == "open") & ~F.contains("a1", F.lit("<"))), "a1", "ground_truth", "answer_type", "m", judge=some_words).select(*KEY, ok("m").alias("judged")))
 _PG = f"SELECT sample_index, traj, answer_type, lower({D.extract('a1', 'answer_type')}) AS p, lower({D.extract('ground_truth', 'answer_type')}) AS g FROM sr"
 query("v5b_match_answer", D.SR + f", t AS ({_PG}), u AS (SELECT *, {D.parse_number('p')} AS np, {D.parse_number('g')} AS ng FROM t) SELECT sample_index, traj, CASE WHEN p = '' THEN NULL WHEN answer_type IN ('mcq', 'yesno') THEN p = g "
       "WHEN answer_type = 'numeric' THEN coalesce(abs(np - ng) / abs(ng) <= 0.01, false) WHEN answer_type = 'counting' THEN coalesce(np = ng, false) WHEN p = g THEN true END AS x FROM u")(
@@ -159,6 +167,8 @@ reward("r7_feedback_format", lambda: {"x": R.feedback_format(c.f1)}, {"x": FBF})
 reward("r8_formats", lambda: {"think": R.tag_format(c.a2, c.kind), "tag": R.answer_tag_format(c.a2, c.kind), "bare": R.bare_format(c.a2, c.kind)}, {
     "think": D.tag_format("a2", "answer_type"), "tag": f"CASE WHEN regexp_matches(a2, '(?i)<answer>') AND ({D.tag('a2')}) <> '' AND {D.clean_atomic(f"({D.tag('a2')})", 'answer_type')} THEN 1.0 ELSE 0.0 END",
     "bare": rf"CASE WHEN a2 = '' THEN -1.0 WHEN answer_type = 'open' THEN 0.0 WHEN regexp_matches(lower(a2), CASE answer_type WHEN 'mcq' THEN '^\(?[a-f]\)?$' WHEN 'yesno' THEN '^(yes|no)$' ELSE '^\d+$' END) THEN 0.0 ELSE -1.0 END"})
+_BARE = ORACLES["r8_formats"].split("round(CAST(")[3].rsplit(" AS DOUBLE)", 1)[0]
+reward("r8_judged_format", lambda: {"bare": R.answer_format(c.a2, c.kind, "bare", some_words, c.truth)}, {"bare": f"CASE WHEN answer_type IN ('mcq', 'yesno') AND {D.strip('a2')} <> '' AND {_OVER('a2', 'ground_truth')} >= 0.3 THEN 0.0 ELSE {_BARE} END"})
 reward("r9_critic", lambda: {"total": R.critic(c.f1, c.kind, c.m1, c.m2)["total"]}, {"total": f"2.0 * CASE WHEN {EMPTY} THEN 0.0 ELSE {case('downstream_alone', 'm1_v', 'm2_v')} END"})
 reward("r10_refiner", lambda: {"total": R.refiner(c.kind, c.m1, c.m2, F.col("m2.score"), R.tag_format(c.a2, c.kind))["total"]}, {"total": f"{corr('m2_v', 'm2_s')} + 2.0 * {case('no_regression_alone', 'm1_v', 'm2_v')} + 0.15 * {D.tag_format('a2', 'answer_type')}"})
 _resp = lambda: R.response(c.kind, c.n1, c.n2, F.col("n2.score"), R.tag_format(c.a1, c.kind), R.tag_format(c.a2, c.kind))
@@ -199,22 +209,33 @@ def flags(spark, d):
 
 RATES = ", ".join(f"round(avg(CASE WHEN {c} THEN 1 ELSE 0 END), 6) AS {n}" for n, c in {"a1_accuracy": "m1_v", "a2_accuracy": "m2_v", "rr_rate": "m1_v AND m2_v", "rw_rate": "m1_v AND NOT m2_v", "wr_rate": "NOT m1_v AND m2_v", "ww_rate": "NOT m1_v AND NOT m2_v"}.items())
 rounded = lambda df, *keep: df.select(*keep, *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in keep])
-query("a10_transition_metrics", J + f"SELECT dataset_name, count(*) AS total_trajectories, {RATES} FROM j GROUP BY 1")(lambda spark, d: rounded(G.transition_metrics(flags(spark, d), "dataset_name"), "dataset_name"))
-query("a10b_baseline_metrics", J + f"SELECT answer_type, count(*) AS n, round(avg(CASE WHEN m1_v THEN 1 ELSE 0 END), 6) AS acc, round(avg(CASE WHEN {D.tag_format('a1', 'answer_type')} = 0.0 THEN 1 ELSE 0 END), 6) AS violations FROM j GROUP BY 1")(
-    lambda spark, d: flags(spark, d).groupBy("answer_type").agg(F.count("*").alias("n"), F.round(G.rate(F.col("a1_correct")), 6).alias("acc"), F.round(G.rate(R.tag_format(c.a1, c.kind) == 0.0), 6).alias("violations")))
-query("a10c_feedback_words", D.SR + r"SELECT dataset_name, round(avg(len(list_filter(regexp_split_to_array(f1, '\s+'), lambda w: w <> ''))), 6) AS words FROM sr GROUP BY 1")(
-    lambda spark, d: rollouts(spark, d).groupBy("dataset_name").agg(F.round(F.avg(F.size(F.filter(F.split("f1", r"\s+"), lambda w: w != ""))), 6).alias("words")))
-
-
 def rewarded(spark, d):
     j = judged(spark, d)
     return j.select(*KEY, "dataset_name", *[c.alias(k) for k, c in _resp().items() if k in (*RESP, "total")], *[_feed()[k].alias(f"fb_{k}") for k in (*FEED, "total")])
 
 
 RW = J + ", rw AS (SELECT sample_index, traj, dataset_name, " + ", ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in RESP.items()) + f", CAST({TOTAL(RESP, R.ResponseWeights())} AS DOUBLE) AS total, " + ", ".join(f"CAST({e} AS DOUBLE) AS fb_{k}" for k, e in FEED.items()) + f", CAST({TOTAL(FEED, R.FeedbackWeights())} AS DOUBLE) AS fb_total FROM j)\n"
-ADV = lambda c, g: f"CASE WHEN coalesce(stddev_samp({c}) OVER (PARTITION BY {g}), 0) > 1e-12 THEN ({c} - avg({c}) OVER (PARTITION BY {g})) / (stddev_samp({c}) OVER (PARTITION BY {g}) + 1e-8) ELSE 0.0 END"
+ADV = lambda c, g: f"CASE WHEN max({c}) OVER (PARTITION BY {g}) - min({c}) OVER (PARTITION BY {g}) > 1e-9 THEN ({c} - avg({c}) OVER (PARTITION BY {g})) / (stddev_samp({c}) OVER (PARTITION BY {g}) + 1e-8) ELSE 0.0 END"
+# the same with the flags and texts that metrics need
+RWM = RW.replace("rw AS (SELECT sample_index, traj, dataset_name, ", "rw AS (SELECT sample_index, traj, dataset_name, answer_type, m1_v, m2_v, n1_v, f1, a2, ", 1)
+
+
+def measured(spark, d):
+    return judged(spark, d).select(*KEY, "dataset_name", "answer_type", "f1", "a2", c.m1.alias("a1_correct"), c.m2.alias("a2_correct"), *[x.alias(k) for k, x in _resp().items() if k in (*RESP, "total")],
+                                   *[_feed()[k].alias(f"fb_{k}") for k in (*FEED, "total")], R.baseline(c.m1, R.tag_format(c.a1, c.kind))["total"].alias("base_total"), R.critic(c.f1, c.kind, c.m1, c.m2)["total"].alias("critic_total"))
+
+
+zero = lambda e: f"round(avg(CASE WHEN {e} = 0.0 THEN 1 ELSE 0 END), 6)"
+MEANS = f"round(avg(total), 6) AS response_reward_mean, round(avg(fb_total), 6) AS feedback_reward_mean, {zero('a2_format')} AS a2_format_violation_rate, {zero('fb_format')} AS fb_format_violation_rate"
+query("a10_transition_metrics", RWM + f"SELECT dataset_name, count(*) AS total_trajectories, {RATES}, {MEANS} FROM rw GROUP BY 1")(lambda spark, d: rounded(G.reflection_metrics(measured(spark, d), "dataset_name"), "dataset_name"))
+_NAN = ", ".join(f"CAST('NaN' AS DOUBLE) AS {k}" for k in ("a2_accuracy", "rr_rate", "rw_rate", "wr_rate", "ww_rate", "a2_format_violation_rate", "fb_format_violation_rate"))
+query("a10b_baseline_metrics", RWM + f"SELECT answer_type, count(*) AS total_trajectories, round(avg(CASE WHEN m1_v THEN 1 ELSE 0 END), 6) AS a1_accuracy, round(avg(0.9 * CASE WHEN m1_v THEN 1 ELSE 0 END + 0.1 * a1_format), 6) AS response_reward_mean, {zero('a1_format')} AS a1_format_violation_rate, CAST(0.0 AS DOUBLE) AS feedback_reward_mean, {_NAN} FROM rw GROUP BY 1")(
+    lambda spark, d: rounded(G.baseline_metrics(measured(spark, d), "answer_type", reward="base_total"), "answer_type"))
+_PAIR = ", ".join(f"round(avg(CASE WHEN {x} THEN 1 ELSE 0 END), 6) AS {n}" for n, x in {"rr_rate": "m1_v AND v2", "rw_rate": "m1_v AND NOT v2", "wr_rate": "NOT m1_v AND v2", "ww_rate": "NOT m1_v AND NOT v2"}.items())
+query("a10c_critic_metrics", RWM + f", p AS (SELECT *, CASE WHEN a2 <> '' THEN m2_v END AS v2 FROM rw) SELECT dataset_name, count(*) AS total_pairs, round(avg(2.0 * CASE WHEN {EMPTY} THEN 0.0 ELSE {case('downstream_alone', 'm1_v', 'm2_v')} END), 6) AS reward_mean, {_PAIR}, " + r"round(avg(len(list_filter(regexp_split_to_array(f1, '\s+'), lambda w: w <> ''))), 6) AS feedback_length_mean FROM p GROUP BY 1")(
+    lambda spark, d: rounded(G.critic_metrics(measured(spark, d).withColumn("a2_correct", F.when(F.col("a2") != "", F.col("a2_correct"))), "dataset_name", reward="critic_total"), "dataset_name"))
 query("w1_grpo_advantage", RW + f"SELECT sample_index, traj, round({ADV('total', 'sample_index')}, 5) + 0.0 AS adv, round({ADV('fb_total', 'sample_index')}, 5) + 0.0 AS fb FROM rw")(
-    lambda spark, d: rewarded(spark, d).select(*KEY, (F.round(G.advantage(F.round("total", 9), "sample_index"), 5) + 0.0).alias("adv"), (F.round(G.advantage(F.round("fb_total", 9), "sample_index"), 5) + 0.0).alias("fb")))
+    lambda spark, d: rewarded(spark, d).select(*KEY, (F.round(G.advantage(F.col("total"), "sample_index"), 5) + 0.0).alias("adv"), (F.round(G.advantage(F.col("fb_total"), "sample_index"), 5) + 0.0).alias("fb")))
 query("w2_drgrpo_advantage", RW + "SELECT sample_index, traj, round(total - avg(total) OVER (PARTITION BY sample_index), 10) + 0.0 AS adv FROM rw")(
     lambda spark, d: rewarded(spark, d).select(*KEY, (F.round(G.advantage(F.col("total"), "sample_index", plain=True), 10) + 0.0).alias("adv")))
 query("w3_ragged_advantage", f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round({ADV('l_extendedprice', 'l_orderkey')}, 5) + 0.0 AS adv FROM lineitem")(
@@ -225,7 +246,7 @@ query("w4_gdpo_advantage", RW + f", z AS (SELECT sample_index, traj, dataset_nam
     lambda spark, d: G.component_advantage(rewarded(spark, d), {k: getattr(_W, k) for k in RESP}, ["sample_index"], ["dataset_name"]).select(*KEY, (F.round("advantage", 4) + 0.0).alias("adv")))
 _A1, _A2 = f"({_W.a1_correctness} * a1_correctness + {_W.a1_format} * a1_format)", f"({_W.a2_correctness} * a2_correctness + {_W.a2_format} * a2_format + {_W.no_regression} * no_regression)"
 query("w5_turn_advantages", RW + f"SELECT sample_index, traj, round({ADV(_A1, 'sample_index')}, 4) + 0.0 AS a1_adv, round({ADV(_A2, 'sample_index')}, 4) + 0.0 AS a2_adv FROM rw")(
-    lambda spark, d: G.turn_advantages(rewarded(spark, d), ["sample_index"]).select(*KEY, (F.round(F.when(F.abs("a1_advantage") > 1e3, 0.0).otherwise(F.col("a1_advantage")), 4) + 0.0).alias("a1_adv"), (F.round("a2_advantage", 4) + 0.0).alias("a2_adv")))
+    lambda spark, d: G.turn_advantages(rewarded(spark, d), ["sample_index"]).select(*KEY, (F.round("a1_advantage", 4) + 0.0).alias("a1_adv"), (F.round("a2_advantage", 4) + 0.0).alias("a2_adv")))
 _SPREAD = lambda c: f"avg(CASE WHEN s_{c} < 1e-6 THEN 0 ELSE abs(({c} - m_{c}) / (s_{c} + 1e-6)) END)"
 _GS = RW + ", gs AS (SELECT *, stddev_samp(total) OVER g AS s_total, avg(total) OVER g AS m_total, stddev_samp(fb_total) OVER g AS s_fb_total, avg(fb_total) OVER g AS m_fb_total FROM rw WINDOW g AS (PARTITION BY sample_index)), "
 _GS += f"gg AS (SELECT sample_index, count(*) AS n, {_SPREAD('total')} AS a, {_SPREAD('fb_total')} AS b, max(s_total) AS st FROM gs GROUP BY 1)\n"
@@ -239,16 +260,20 @@ query("a12_zero_std_share", _GS + "SELECT round(avg(CASE WHEN coalesce(st, 0) <
     lambda spark, d: rounded(G.zero_std_share(rewarded(spark, d), ["sample_index"], "total")))
 query("a13_component_means", RW + "SELECT component, round(mean, 6) AS mean FROM (UNPIVOT (SELECT " + ", ".join(f"avg({k}) AS {k}" for k in RESP) + " FROM rw) ON COLUMNS(*) INTO NAME component VALUE mean)")(
     lambda spark, d: rounded(G.component_means(rewarded(spark, d), list(RESP))))
-query("a14_batch_diagnostics", RW + "SELECT dataset_name, round(stddev_samp(total), 6) AS std, round(avg(abs(total)), 6) AS mean_abs, count(*) FILTER (total = 0) AS zeros FROM rw GROUP BY 1")(
-    lambda spark, d: rewarded(spark, d).groupBy("dataset_name").agg(F.round(F.stddev_samp("total"), 6).alias("std"), F.round(F.avg(F.abs("total")), 6).alias("mean_abs"), F.count_if(F.col("total") == 0).alias("zeros")))
+query("a14_batch_diagnostics", RW + f", av AS (SELECT *, {ADV('total', 'sample_index')} AS a, {ADV('fb_total', 'sample_index')} AS b FROM rw) SELECT dataset_name, round(stddev_samp(total), 6) AS reward_std, round(avg(abs(a)), 5) AS response_abs_mean, count(*) FILTER (a = 0) AS response_zeros, round(avg(abs(b)), 5) AS feedback_abs_mean, count(*) FILTER (b = 0) AS feedback_zeros FROM av GROUP BY 1")(
+    lambda spark, d: G.batch_diagnostics(rewarded(spark, d).withColumns({"a": G.advantage(F.col("total"), "sample_index"), "b": G.advantage(F.col("fb_total"), "sample_index")}), "dataset_name", reward="total", advantages={"response": "a", "feedback": "b"})
+    .select("dataset_name", F.round("reward_std", 6).alias("reward_std"), F.round("response_abs_mean", 5).alias("response_abs_mean"), "response_zeros", F.round("feedback_abs_mean", 5).alias("feedback_abs_mean"), "feedback_zeros"))
 query("a15_across_ranks", RW + "SELECT CAST(sum(n) AS BIGINT) AS n, round(avg(t), 6) AS total, round(avg(f), 6) AS fb_total FROM (SELECT sample_index % 4 AS r, count(*) AS n, avg(total) AS t, avg(fb_total) AS f FROM rw GROUP BY 1)")(
     lambda spark, d: rounded(G.across_ranks(rewarded(spark, d).withColumn("r", F.col("sample_index") % 4).withColumn("n", F.lit(1)), "r", ["total", "fb_total"], "n")))
-query("a18_clip_and_entropy", "SELECT event_type, round(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS clip_fraction, round(sum(value * (event_id % 7)) / nullif(sum(event_id % 7), 0), 6) AS entropy FROM events GROUP BY 1")(
-    lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.round(F.count_if(F.col("value") > 50) / F.count("*"), 6).alias("clip_fraction"), F.round(F.sum(F.col("value") * (F.col("event_id") % 7)) / F.nullif(F.sum(F.col("event_id") % 7), F.lit(0)), 6).alias("entropy")))
-query("a19_completion_length", D.SR + "SELECT answer_type, round(avg(length(a1)), 6) AS a1, round(avg(length(f1)), 6) AS f1, round(avg(length(a2)), 6) AS a2 FROM sr GROUP BY 1")(
-    lambda spark, d: rollouts(spark, d).groupBy("answer_type").agg(*[F.round(F.avg(F.length(c)), 6).alias(c) for c in ("a1", "f1", "a2")]))
-query("a20_validation_metrics", J + f"SELECT 'val' AS split, count(*) AS total_trajectories, {RATES} FROM j WHERE sample_index % 5 = 0")(
-    lambda spark, d: rounded(G.transition_metrics(flags(spark, d).where("sample_index % 5 = 0")).withColumn("split", F.lit("val")), "split"))
+_TOK = "SELECT label % 3 AS b, list_transform(range(1, 33), lambda k: CAST(embedding[k] AS DOUBLE) * 3) AS n, list_transform(range(33, 65), lambda k: CAST(embedding[k] AS DOUBLE) * 3) AS o FROM embeddings"
+query("a18_clip_and_entropy", f"WITH t AS ({_TOK}), u AS (SELECT b, list_transform(range(1, 33), lambda k: exp(n[k] - o[k])) AS r, list_sum(list_transform(n, lambda x: abs(x))) AS e FROM t) SELECT b, round(sum(len(list_filter(r, lambda x: x < 0.8 OR x > 1.2))) / CAST(sum(32) AS DOUBLE), 6) AS clip_fraction, round(sum(e) / sum(32), 6) AS entropy FROM u GROUP BY 1")(
+    lambda spark, d: rounded(G.token_diagnostics(spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("label") % 3).alias("b"), *[F.transform(F.slice("embedding", at, 32), lambda x: x.cast("double") * 3).alias(n) for n, at in (("n", 1), ("o", 33))])
+                                                 .withColumn("e", F.transform("n", F.abs)), "b", new="n", old="o", entropy="e"), "b"))
+query("a19_completion_length", D.SR + r"SELECT answer_type, round(avg(len(regexp_split_to_array(a1, '\s+'))), 6) AS a1, round(avg(CASE WHEN f1 = '' THEN 0 ELSE len(regexp_split_to_array(f1, '\s+')) END), 6) AS f1, round(avg(length(a2) - length(ground_truth)), 6) AS a2 FROM sr GROUP BY 1")(
+    lambda spark, d: rollouts(spark, d).groupBy("answer_type").agg(F.round(F.avg(G.completion_length(F.split("a1", r"\s+"))), 6).alias("a1"), F.round(F.avg(G.completion_length(F.when(F.col("f1") != "", F.split("f1", r"\s+")))), 6).alias("f1"),
+                                                                    F.round(F.avg(G.completion_length(whole=F.length("a2"), prompt=F.length("ground_truth"))), 6).alias("a2")))
+query("a20_validation_metrics", RWM + f"SELECT concat('val/', name) AS metric, value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS total_trajectories, {RATES}, {MEANS} FROM rw WHERE sample_index % 5 = 0) ON COLUMNS(*) INTO NAME name VALUE value)")(
+    lambda spark, d: (lambda sr: G.rekeyed(sr, "val").select("metric", F.round("value", 6).alias("value")))(G.keyed(G.reflection_metrics(measured(spark, d).where("sample_index % 5 = 0")), "sr")))
 query("a1_pass_rates", J + "SELECT sample_index, CAST(count(*) AS INTEGER) AS k, count(*) FILTER (m1_v) AS a1_correct_count, round(count(*) FILTER (m1_v) / CAST(count(*) AS DOUBLE), 6) AS a1_pass_rate FROM j GROUP BY 1")(
     lambda spark, d: rounded(C.pass_rates(flags(spark, d), "sample_index", correct="a1_correct"), "sample_index"))
 _BUCKET = "CASE WHEN c = 0 THEN 'brick_wall' WHEN c >= 7 THEN 'trivial' WHEN c >= 4 THEN 'easy' ELSE 'medium' END"
