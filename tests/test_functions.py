@@ -2,8 +2,8 @@
 
 import math
 import random
-import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,15 +118,6 @@ def test_arrays(spark):
     assert r.k0 == 0 and r.k == pytest.approx((math.e - 2) / 2) and r.nan == 0 and r.big == pytest.approx(math.exp(20) - 21) and r.s == pytest.approx(-1.2) and r.ids == [1, 3] and r.e == pytest.approx(3 / 7) and r.z == 1.0
 
 
-def test_dedup(spark):
-    sig = [0, 0xFF, 0x7F, (1 << 62) | 1, 0x0101010101010101]
-    df = spark.createDataFrame(list(enumerate(sig)), "i int, s long")
-    got = {(r.i, r.o) for r in X.near_signatures(df, df.select(F.col("i").alias("o"), F.col("s").alias("t")), "i", "s", "o", "t").collect()}
-    assert got == {(a, b) for a, x in enumerate(sig) for b, y in enumerate(sig) if bin(x ^ y).count("1") < 8}
-    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "i int, e array<double>")
-    assert {r.i: r.kept for r in X.cosine_keep(vec, vec.where("i = 1"), "i", "e").collect()} == {1: False, 2: True, 3: True}
-
-
 def test_splits_share_no_entity(spark):
     df = spark.range(500).select("id", (F.col("id") % 37).alias("e"))
     got = C.entity_split(df, "e").groupBy("e").agg(F.countDistinct("split").alias("n"), F.first("split").alias("s")).collect()
@@ -136,18 +127,100 @@ def test_splits_share_no_entity(spark):
     assert all(p.a_member != p.b_member for p in pairs) and len({x for p in pairs for x in (p.a, p.b)}) == 2 * len(pairs)
 
 
-def test_letters_match_python(spark):
-    r = random.Random(4)
-    texts = ["".join(r.choice("ABCxy .()answeris:") for _ in range(r.randrange(14))) for _ in range(400)]
-
-    def want(t):
-        if m := re.match(r"^\s*(?:\(([A-Fa-f])\)|([A-Fa-f])[.\s]?)\s*$", t):
-            return (m[1] or m[2]).upper()
-        if m := re.search(r"(?:\(([A-Fa-f])\)|(?<!\w)([A-Fa-f])\.)", t):
-            return (m[1] or m[2]).upper()
-        if m := re.search(r"(?i)(?:the\s+)?answer\s*(?:is|:)\s*\(?([A-Fa-f])\)?", t):
-            return m[1].upper()
-        found = set(re.findall("[A-F]", t.upper()))
-        return found.pop() if len(found) == 1 else ""
-
-    assert column(spark, texts, T.mcq_letter) == [want(t) for t in texts]
+#: Answers and the letter that stands for the choice ('' where none does).
+LETTERS = [
+    ("A", "A"), ("(c)", "C"), (" b. ", "B"), ("D ", "D"), ("f.", "F"), ("g", ""), ("(G)", ""), ("", ""), ("   ", ""),
+    ("I think (B) is right", "B"), ("so it is C. Done", "C"), ("(A) or (B)", "A"), ("B. and not (A)", "B"), ("x.A. y", "A"), ("xA. (D)", "D"),
+    ("the answer is d", "D"), ("Answer: (e)", "E"), ("ANSWER IS F because", "F"), ("answer b", ""), ("my answer is C, not A", "C"),
+    ("only E here", "E"), ("rust", ""), ("A or B", ""), ("B B B", "B"), ("xyz (C", "C"),
+]
+
+
+def test_letters(spark):
+    assert column(spark, [t for t, _ in LETTERS], T.mcq_letter) == [x for _, x in LETTERS]
+
+
+def test_signatures_and_images(spark):
+    r = np.random.default_rng(3)
+    base = [int(x) for x in r.integers(-(2**63), 2**63 - 1, 12)]
+    flip = lambda x, bits: x ^ sum(1 << int(b) for b in bits)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    other = [signed(flip(x % 2**64, r.choice(64, k, replace=False))) for x in base for k in (0, 1, 6, 7, 8, 9)]
+    left, right = spark.createDataFrame([(x,) for x in base], "s long"), spark.createDataFrame([(x,) for x in other], "o long")
+    far = lambda a, b: bin((a ^ b) % 2**64).count("1")
+    got = X.near_signatures(left, right, "s", "o").collect()
+    assert sorted((p.s, p.o, p.distance) for p in got) == sorted((a, b, far(a, b)) for a in base for b in set(other) if far(a, b) < 8)
+
+    def naive(x, y):
+        out = []
+        for i in range(x.shape[0] - 6):
+            for j in range(x.shape[1] - 6):
+                p, q = x[i : i + 7, j : j + 7].ravel(), y[i : i + 7, j : j + 7].ravel()
+                c = np.cov(p, q)
+                out.append((2 * p.mean() * q.mean() + 6.5025) * (2 * c[0, 1] + 58.5225) / ((p.mean() ** 2 + q.mean() ** 2 + 6.5025) * (c[0, 0] + c[1, 1] + 58.5225)))
+        return np.mean(out)
+
+    x = r.uniform(0, 255, (5, 10, 10))
+    y = x + r.normal(0, 20, x.shape)
+    assert X.structural_similarity(x, y) == pytest.approx([naive(a, b) for a, b in zip(x, y, strict=True)])
+    pairs = spark.createDataFrame([(1, x[0].ravel().tolist(), y[0].ravel().tolist()), (2, x[0].ravel().tolist(), None), (3, [1.0] * 9, [1.0] * 9)], "k int, x array<double>, y array<double>")
+    got = {p.k: p.ssim for p in X.similar_images(pairs, "x", "y", ["k"]).collect()}
+    assert got[1] == pytest.approx(naive(x[0], y[0])) and got[2] is None and got[3] is None
+    # an image that can't be read is dropped by the perceptual test, kept by the cosine test, kept by both together
+    rows = [(1, [1.0, 0.0], base[0], x[0].ravel().tolist()), (2, [0.0, 1.0], base[1], x[1].ravel().tolist()), (3, None, None, None)]
+    img = spark.createDataFrame(rows, "k int, v array<double>, s long, t array<double>")
+    held = img.where("k = 1")
+    assert {p.k: p.kept for p in X.perceptual_keep(img, held, "k", "s", "t").collect()} == {1: False, 2: True, 3: False}
+    assert {p.k: p.kept for p in X.composite_keep(img, held, "k", "v", "s", "t").collect()} == {1: False, 2: True, 3: True}
+    assert [(p.a, p.b) for p in X.alike_members(img, held, "k", "v", "s", "t").collect()] == [(1, 1)]
+
+
+def test_cosines_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None), (98, [1.0, None, 1.0, 1.0])], "i int, e array<double>")
+    u = x / np.sqrt((x**2).sum(1, keepdims=True))
+    want = (u @ u[:20].T).max(1)
+    for most in (X.BROADCAST_BYTES, 200):
+        monkeypatch.setattr(X, "BROADCAST_BYTES", most)
+        got = {p.i: p.max_sim for p in X.cosine_keep(df, df.where("i < 20 or i > 90"), "i", "e").collect()}
+        assert [got[i] for i in range(60)] == pytest.approx(want, abs=1e-9) and got[99] is None and got[98] is None
+
+
+def test_contaminated_by_short_texts(spark, monkeypatch):
+    texts = ["alpha beta gamma delta epsilon zeta", "xalpha beta gammax", "beta  gamma", "tail of alpha", "a", "", None, "one two three four five", "(one two three four five)", "zz one\ttwo"]
+    held = ["beta", "beta gamma", "alpha beta gamma", "alpha beta gamma delta", "one two three four five", "a", " of ", "two three four fi", "zz", "nowhere", "", None, "  "]
+    for most in (X.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(X, "BROADCAST_BYTES", most)
+        for some in ([h] for h in held):
+            got = {p.i for p in X.contaminated(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame([(h,) for h in some], "h string"), "i", "t", "h").collect()}
+            assert got == {i for i, t in enumerate(texts) if t and some[0] and some[0] in t}, some
+    got = {p.i for p in X.contaminated(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame([(h,) for h in held], "h string"), "i", "t", "h").collect()}
+    assert got == {i for i, t in enumerate(texts) if t and any(h and h in t for h in held)}
+
+
+def test_equal_rewards_have_no_advantage(spark):
+    df = spark.createDataFrame([(g, x) for g in range(3) for x in ([0.1 * 3] * 3 + [0.3] * 4 + [0.1 + 0.2] if g < 2 else [0.0, 1.0, 1.0, 0.0])], "g int, r double")
+    got = df.select("g", G.advantage(F.col("r"), "g").alias("a")).collect()
+    assert all(p.a == 0.0 for p in got if p.g < 2) and {round(p.a, 4) for p in got if p.g == 2} == {0.866, -0.866}
+
+
+def test_metrics_of_nothing_and_of_nulls(spark):
+    df = spark.createDataFrame([(True, None, 1.0, "a b  c"), (False, True, 0.0, ""), (True, False, 0.5, None)], "a1_correct boolean, a2_correct boolean, total double, f1 string")
+    m = G.critic_metrics(df).first()
+    assert (m.total_pairs, m.reward_mean, m.rr_rate, m.rw_rate, m.wr_rate, m.ww_rate) == (3, 0.5, 0.0, pytest.approx(1 / 3), pytest.approx(1 / 3), 0.0) and m.feedback_length_mean == 1.0
+    assert G.critic_metrics(df.where("false")).count() == 0
+    b = G.baseline_metrics(df.withColumn("a1_format", F.lit(0.0))).first()
+    assert math.isnan(b.a2_accuracy) and b.feedback_reward_mean == 0.0 and b.a1_format_violation_rate == 1.0
+    long = G.rekeyed(G.keyed(G.critic_metrics(df), "rollout"), "val").collect()
+    assert {p.metric: p.value for p in long}["val/total_pairs"] == 3.0
+    ids = spark.createDataFrame([([1, 2, 3], 9, 4), (None, 9, 4)], "i array<int>, w int, p int")
+    assert [p[0] for p in ids.select(G.completion_length(F.col("i"))).collect()] == [3, 0] and [p[0] for p in ids.select(G.completion_length(F.col("i"), F.col("w"), F.col("p"))).collect()] == [3, 5]
+
+
+def test_positions_and_trends(spark):
+    df = spark.createDataFrame([(float(i * i), float(i)) for i in range(100)], "o double, x double").repartition(5)
+    assert sorted((p.o, p.position) for p in G.positions(df, "o").collect()) == [(float(i * i), i) for i in range(100)]
+    assert {p.w: p["mean"] for p in G.windowed_trend(df, "o", "x").collect()} == {w: 10 * w + 4.5 for w in range(10)}
+    assert G.early_late(df, "o", "x").first().delta == pytest.approx(4.5 - 94.5)
+    assert sorted(p.o for p in C.holdout_tail(df, "o", 0.03).where("is_val").collect()) == [97.0**2, 98.0**2, 99.0**2]
