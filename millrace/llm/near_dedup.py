@@ -47,6 +47,7 @@ from .shingles import shingle_set
 #: Retained values that a linked pair shares for certain, where its sets are as large.
 SHARED = 32
 BLOCK = 1536
+BROADCAST_BYTES = 32 << 20
 #: Of a class's retained and listed values, so many of the smallest go with it into its groups. With fewer a pair is ruled out
 #: less often there, or found in more than one list; none is lost.
 SHOWN, TOLD = 64, 32
@@ -266,11 +267,15 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
               .select("cls", "n_shingles", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
     listed = staged(listed, "lists")
     marked = staged(may_match(reps.select("cls", "sketch"), listed, "cls").join(listed, "cls").select("cls", "n_shingles", F.slice("sketch", 1, SHOWN).alias("sketch"), F.slice(F.array_sort("vs"), 1, TOLD).alias("vs")), "marked")
-    lists = listed.select("cls", F.explode("vs").alias("v"))
+    lists = listed.select("cls", "n_shingles", F.explode("vs").alias("v"))
     counts = staged(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int")), "counts")
-    short = (lists.join(counts.where("parts = 1"), "v").groupBy("v").agg(F.sort_array(F.collect_set("cls")).alias("ids"))
-             .groupBy("ids").agg(F.min("v").alias("v"))
-             .select(F.concat_ws(":", "v", F.lit("a")).alias("gid"), "v", F.explode("ids").alias("cls"), F.lit(0).alias("block")))
+    # in a list, a class whose set is not nearly as large as that of any other has nobody to meet
+    n_at = lambda i: F.get(F.col("ids"), i)["n_shingles"]
+    near = lambda a, b: F.coalesce(100 * a >= percent * b, F.lit(False))
+    meets = F.filter("ids", lambda x, i: near(n_at(i - 1), x["n_shingles"]) | near(x["n_shingles"], n_at(i + 1)))
+    short = (lists.join(counts.where("parts = 1").select("v"), "v").groupBy("v").agg(F.sort_array(F.collect_set(F.struct("n_shingles", "cls"))).alias("ids"))
+             .select("v", meets.alias("ids")).where("size(ids) > 1").groupBy("ids").agg(F.min("v").alias("v"))
+             .select(F.concat_ws(":", "v", F.lit("a")).alias("gid"), "v", F.explode("ids.cls").alias("cls"), F.lit(0).alias("block")))
     # long lists: blocks by hash, each of which meets each
     long = (lists.join(counts.where("parts > 1"), "v")
             .select("v", "cls", F.pmod(F.xxhash64("cls"), F.col("parts").cast("long")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
@@ -281,7 +286,9 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     need = staged(groups.select("cls").distinct().join(reps.select("cls", "doc_id", *_CLASS), "cls"), "wanted")
     sets = (may_match(docs.where("doc_id is not null").select("doc_id", "text"), need, "doc_id").join(need.select("doc_id").distinct(), "doc_id", "left_semi")
             .mapInArrow(set_batches, "doc_id long, n_shingles long, f1 long, f2 long, shingles array<long>").join(need, ["doc_id", *_CLASS]).select("cls", "shingles"))
-    edges = (groups.join(sets, "cls").select("gid", "cls", "block", "shingles").repartition("gid")
+    # sets travel once where the list of who meets whom is small enough to go to them
+    met = F.broadcast(groups) if groups.count() * 64 <= BROADCAST_BYTES else groups
+    edges = (sets.join(met, "cls").select("gid", "cls", "block", "shingles").repartition("gid")
              .sortWithinPartitions("gid", "cls").mapInArrow(_group_links(percent), "a long, b long"))
     comp = components(edges)  # without the smallest node of each
     comp = staged(comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()), "components")
