@@ -104,7 +104,7 @@ def _forest(v: np.ndarray, post: np.ndarray, least: float = 0.01) -> np.ndarray:
     for w in (post, 1 - post):
         n = w.sum() + 1e-9
         one = (w @ v) / n
-        both = (v.T * w) @ v / n
+        both = sum((v[at : at + 4096].T * w[at : at + 4096]) @ v[at : at + 4096] for at in range(0, len(v), 4096)) / n
         for a, b in ((1, 1), (1, 0), (0, 1), (0, 0)):
             pa, pb = one if a else 1 - one, one if b else 1 - one
             joint = {(1, 1): both, (1, 0): one[:, None] - both, (0, 1): one[None, :] - both, (0, 0): 1 - one[:, None] - one[None, :] + both}[a, b]
@@ -148,18 +148,24 @@ def label_model(v: np.ndarray, label: np.ndarray, rounds: int = 30, toxic: np.nd
     # from labelled rows, whose class does not come from the votes; once the votes have decided the class, copies look independent
     told = known if known.sum() >= 100 else np.ones(n, bool)
     parent = _forest(v[told], post[told])
+    free, bound = np.flatnonzero(parent < 0), np.flatnonzero(parent >= 0)
+    # of bound voters: the vote each depends on, and where both vote
+    alone, on = v[:, free], v[:, parent[bound]]
+    both = on * v[:, bound]
     for _ in range(rounds):
-        free, bound = np.flatnonzero(parent < 0), np.flatnonzero(parent >= 0)
         prior = (post.sum() + 1) / (n + 2)
         log = np.full(n, np.log(prior / (1 - prior)))
         for sign, w in ((1, post), (-1, 1 - post)):
-            p = (w @ v[:, free] + 0.5) / (w.sum() + 1)
-            log += sign * (v[:, free] @ (np.log(p) - np.log(1 - p)) + np.log(1 - p).sum())
+            w32 = w.astype(v.dtype)
+            p = (w32 @ alone + 0.5) / (w.sum() + 1)
+            log += sign * (alone @ (np.log(p) - np.log(1 - p)).astype(v.dtype) + np.log(1 - p).sum())
             if len(bound):
-                on = v[:, parent[bound]]
-                for state in (on, 1 - on):
-                    p = (w @ (state * v[:, bound]) + 0.5) / (w @ state + 1)
-                    log += sign * (state * np.where(v[:, bound] > 0, np.log(p), np.log(1 - p))).sum(1)
+                n_on, n_both, n_own = w32 @ on, w32 @ both, w32 @ v[:, bound]
+                for state, votes, n_state, n_votes in ((on, both, n_on, n_both), (None, None, w.sum() - n_on, n_own - n_both)):
+                    p = (n_votes + 0.5) / (n_state + 1)
+                    yes, no = (np.log(p) - np.log(1 - p)).astype(v.dtype), np.log(1 - p).astype(v.dtype)
+                    # without the vote it depends on: all rows less those with it
+                    log += sign * (both @ yes + on @ no if state is not None else v[:, bound] @ yes - both @ yes + no.sum() - on @ no)
         if known.any():
             h1, h0 = (post[known] @ (label[known] == 1) + 4) / (post[known].sum() + 5), ((1 - post[known]) @ (label[known] == 1) + 0.2) / ((1 - post[known]).sum() + 5)
             log += np.where(label == 1, np.log(h1 / h0), np.where(label == 0, np.log((1 - h1) / (1 - h0)), 0))
@@ -167,21 +173,21 @@ def label_model(v: np.ndarray, label: np.ndarray, rounds: int = 30, toxic: np.nd
     return post
 
 
-def fit_linear(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, l2: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels, by Newton steps with conjugate gradients. ``rows``, ``values``: each row's features; ``l2``: by feature."""
-    n, m = len(rows), len(l2)
-    at = np.repeat(np.arange(n), [len(r) for r in rows])
-    col, val = np.concatenate([*rows, np.zeros(0, int)]).astype(np.int64), np.concatenate([*values, np.zeros(0)])
+def fit_linear(starts: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, l2: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels, by Newton steps with conjugate gradients. Row i has the features
+    ``col[starts[i]:starts[i + 1]]`` with the values ``val``; ``l2``: by feature."""
+    n, m = len(y), len(l2)
+    at = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
     l2 = np.append(l2, 1e-9)
-    of = lambda w: np.bincount(at, val * w[col], n) + w[m]
-    back = lambda d: np.append(np.bincount(col, val * d[at], m), d.sum())
+    of = lambda w: np.bincount(at, val * w[:m].astype(np.float32)[col], n) + w[m]
+    back = lambda d: np.append(np.bincount(col, val * d.astype(np.float32)[at], m), d.sum())
     loss = lambda z, w: (np.logaddexp(0, z) - y * z).mean() + (l2 * w * w).sum() / 2
     w = np.zeros(m + 1)
     z = of(w)
     for _ in range(rounds if n else 0):
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         g, curve = back((p - y) / n) + l2 * w, np.maximum(p * (1 - p), 1e-6) / n
-        if np.abs(g).max() < 1e-7:
+        if np.abs(g).max() < 1e-6:
             break
         step, r = np.zeros(m + 1), -g
         d, rr = r.copy(), r @ r
@@ -225,7 +231,7 @@ def _count_traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _mine(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Words and beginnings of words that mark toxic texts, and words that only clean ones have."""
     t, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    every = sample.mapInArrow(_count_traits, "trait string, a long, c long").groupBy("trait").agg(F.sum("a").alias("a"), F.sum("c").alias("c"))
+    every = staged(sample.mapInArrow(_count_traits, "trait string, a long, c long").groupBy("trait").agg(F.sum("a").alias("a"), F.sum("c").alias("c")).where("c > 4"), "traits")
     counts = every.where((F.col("a") >= max(5, 0.004 * t)) & (F.col("a") > 0.9 * F.col("c")) & (F.length("trait") > 3))
     out: list[str] = []
     for r in counts.orderBy(F.desc(F.col("a") * F.col("a") / (F.col("c") + 1)), F.length("trait"), "trait").limit(20 * MINED).collect():
@@ -234,6 +240,7 @@ def _mine(sample: DataFrame) -> tuple[list[str], list[str]]:
         if len(out) < MINED and not any(root.startswith(x.rstrip("*")) if x.endswith("*") else x.startswith(root) for x in out):
             out.append(r["trait"])
     clean = every.where((F.col("a") == 0) & (F.col("c") >= max(20, 0.01 * n)) & (F.length("trait") > 3) & ~F.endswith("trait", F.lit("*"))).orderBy(F.desc("c"), "trait").limit(CLEAN).collect() if t else []
+    unstage(every)
     return out, sorted(r["trait"] for r in clean)
 
 
@@ -260,25 +267,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted:
     lexicon = sorted({*(w.encode().decode("latin-1") for w in LEXICON), *mined})
     rows = chosen.mapInArrow(_vote_batches(lexicon, clean), "toxic int, votes array<int>, words array<int>").toArrow()  # at most ``sample`` rows
     unstage(chosen)
-    said, placed = ([np.asarray(x, np.int64) for x in rows.column(c).to_pylist()] for c in ("votes", "words"))
-    m, k = len(lexicon) + len(clean) + len(PATTERNS), len(lexicon)
-    v = np.zeros((len(said), m))
-    for i, x in enumerate(said):
-        v[i, x] = 1
+    (s_off, said), (w_off, placed) = (_flat(rows.column(c)) for c in ("votes", "words"))
     label = np.array(rows.column("toxic").to_pylist(), int)
+    del rows
+    n, m, k = len(label), len(lexicon) + len(clean) + len(PATTERNS), len(lexicon)
+    v = np.zeros((n, m), np.float32)
+    v[np.repeat(np.arange(n), np.diff(s_off)), said] = 1
     seen = np.flatnonzero(v.any(0))
     post = label_model(v[:, seen], label, toxic=np.flatnonzero((seen < k) | (seen >= m - len(PATTERNS)) & (seen < m - len(PATTERNS) + TOXIC_SIDE)))
+    del v
     # one prior row per voter stands for what its name says; it decides only where the sample has no case
     names = np.r_[np.ones(k), np.zeros(len(clean)), np.full(TOXIC_SIDE, 0.1), np.zeros(len(PATTERNS) - TOXIC_SIDE)]
-    features = [np.concatenate([x, m + w]) for x, w in zip(said, placed, strict=True)] + [np.array([i]) for i in range(m)] + [np.zeros(0, int)] * 3
-    values = [np.concatenate([np.ones(len(x)), np.full(len(w), _scale(len(w)))]) for x, w in zip(said, placed, strict=True)] + [np.ones(1)] * m + [np.zeros(0)] * 3
-    w, b = fit_linear(features, values, np.concatenate([post, names, np.zeros(3)]), np.r_[np.full(m, 1e-5), np.full(HASHED, 1e-4)])
+    n_words = np.diff(w_off)
+    order = np.argsort(np.r_[np.repeat(np.arange(n, dtype=np.int32), np.diff(s_off)), np.repeat(np.arange(n, dtype=np.int32), n_words)], kind="stable")
+    col = np.r_[np.r_[said, m + placed][order], np.arange(m, dtype=np.int32)]
+    val = np.r_[np.r_[np.ones(len(said), np.float32), np.repeat(_scale(n_words), n_words).astype(np.float32)][order], np.ones(m, np.float32)]
+    del order
+    starts = np.r_[s_off + w_off, (s_off + w_off)[-1] + np.arange(1, m + 1), np.full(3, len(col))] if n else np.r_[np.arange(m + 1), np.full(3, m)]
+    w, b = fit_linear(starts, col, val, np.concatenate([post, names, np.zeros(3)]), np.r_[np.full(m, 1e-5), np.full(HASHED, 1e-4)])
     return lexicon, clean, w, b
 
 
-def _scale(n: int) -> float:
+def _flat(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists."""
+    parts = [c for c in col.chunks if len(c)]
+    lengths = [np.diff(c.offsets.to_numpy()) for c in parts]
+    return np.cumsum(np.concatenate([np.zeros(1, int), *lengths])), np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in parts]])
+
+
+def _scale(n):
     """The weight of a hashed word among ``n``: all of a text's words together weigh as much as one vote."""
-    return max(1, n) ** -0.5
+    return np.maximum(1, n) ** -0.5
 
 
 def score(docs: DataFrame, model: Fitted, keep: list[str] | None = None, out: str = "score") -> DataFrame:
