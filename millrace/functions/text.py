@@ -6,6 +6,8 @@ Unicode meaning is wanted.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, functions as F
 
 # Patterns and word lists that results depend on.
@@ -219,18 +221,43 @@ def message(role: str, text: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), text.alias("content"))
 
 
-def answer_prompt(question: Column, suffix: str = "") -> Column:
-    return F.array(message("user", F.concat(question, F.lit(suffix))))
+# Instructions of the prompts; a variable of the same name in the environment goes before each.
+INSTRUCTIONS = {
+    "ANSWER_TAG_INSTRUCTION": "Put your final answer inside <answer> tags. Example: <answer>(A)</answer>",
+    "THINK_ANSWER_INSTRUCTION": "The reasoning process MUST BE enclosed within <think> </think> tags. The final answer MUST BE put in <answer> </answer> tags.",
+    "F1_VERIFIER_INSTRUCTION": "Re-examine the image and determine whether the candidate answer is correct or incorrect. The reasoning process MUST BE enclosed within <think> </think> tags. "
+    "The final verdict MUST BE put in \\boxed{} as either CORRECT or INCORRECT.",
+}
+REFINE = "Re-examine the image and either correct your answer or keep it if you believe it is right."
+_BY_MODE = {"think": "THINK_ANSWER_INSTRUCTION", "tag": "ANSWER_TAG_INSTRUCTION"}
+
+
+def instruction(name: str) -> str:
+    return os.environ.get(name, "").strip() or INSTRUCTIONS[name]
+
+
+def turn(role: str, text: Column, image: bool = False) -> Column:
+    """A message of typed parts."""
+    part = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.cast("string").alias("text"))
+    return F.struct(F.lit(role).alias("role"), F.array(*[part("image", F.lit(None))] * image, part("text", text)).alias("content"))
+
+
+def answer_prompt(question: Column, mode: str = "") -> Column:
+    """The first answer's prompt; ``mode``: think (tags for both), tag (for the answer), or neither."""
+    return F.array(turn("user", F.concat_ws("\n\n", question, *([F.lit(instruction(_BY_MODE[mode]))] if mode in _BY_MODE else [])), True))
 
 
-def critic_prompt(question: Column, answer: Column, choices: Column | None = None) -> Column:
-    parts = [F.concat(F.lit("Question: "), question)] + ([F.concat(F.lit("Choices: "), F.nullif(choices, F.lit("")))] if choices is not None else []) + [F.concat(F.lit("Answer: "), answer)]
-    return F.array(message("user", F.concat_ws("\n\n", *parts)))
+def critic_prompt(question: Column, answer: Column) -> Column:
+    """The prompt that asks for a verdict on a candidate answer."""
+    return F.array(turn("user", F.concat(F.lit("Question: "), question, F.lit("\nCandidate answer: "), answer, F.lit("\n\n" + instruction("F1_VERIFIER_INSTRUCTION"))), True))
 
 
-def refiner_prompt(question: Column, answer: Column, feedback: Column, suffix: str = "") -> Column:
-    return F.array(message("user", F.concat_ws("\n\n", F.concat(F.lit("Question: "), question), F.concat(F.lit("Earlier answer: "), answer), F.concat(F.lit("Feedback: "), feedback), F.nullif(F.lit(suffix), F.lit("")))))
+def refiner_prompt(question: Column, answer: Column, feedback: Column, mode: str = "") -> Column:
+    """The second answer's prompt, with the first and the feedback quoted in one turn."""
+    last = REFINE + (" " + instruction(_BY_MODE[mode]) if mode in _BY_MODE else "")
+    parts = [F.concat(F.lit("Question: "), question), F.concat(F.lit("Your previous answer: "), answer), F.concat(F.lit("Feedback on your previous answer: "), feedback), F.lit(last)]
+    return F.array(turn("user", F.concat_ws("\n\n", *parts), True))
 
 
 def with_completion(prompt: Column, completion: Column) -> Column:
-    return F.concat(prompt, F.array(message("assistant", completion)))
+    return F.concat(prompt, F.array(turn("assistant", completion)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions import numbers as N, text as T
-from millrace.operators import corpus as C, dedup as X, groups as G
+from millrace.operators import corpus as C, dedup as X, groups as G, records as RC
 from millrace.sources import files as S
 from millrace.sources.views import MESSAGES, messages, rollouts, table
 from millrace.streaming import trajectories as ST
@@ -43,6 +43,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 h42 = lambda c: f"md5(concat('42:', CAST({c} AS VARCHAR)))"
 docs = lambda spark, d: table(spark, d, "documents")
+emb = lambda spark, d: table(spark, d, "embeddings")
 
 # ---- sources and sinks -----------------------------------------------------------
 SMALL = "doc_id long, lang string, text string"
@@ -109,13 +110,40 @@ def _s11(spark, d):
     return S.annotations(spark, path).groupBy(F.col("image_id").alias("id"), "name").agg(F.count("*").alias("n"))
 
 
-query("s12_sampled_prefix", f"SELECT doc_id FROM documents ORDER BY {h42('doc_id')}, doc_id LIMIT 100")(lambda spark, d: docs(spark, d).orderBy(N.seeded(F.col("doc_id")), "doc_id").limit(100).select("doc_id"))
+
+
+@query("s12_small_files", "WITH f AS (SELECT name FROM (SELECT DISTINCT concat('d', doc_id % 97, '.json') AS name FROM documents WHERE doc_id % 97 % 4 <> 3) ORDER BY md5('42:' || name), name LIMIT 60) SELECT doc_id, lang FROM documents JOIN f ON concat('d', doc_id % 97, '.json') = f.name")
+def _s12(spark, d):
+    path = scratch(spark, "s12")
+    files = docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_id") % 97, F.lit(".json")).alias("name"), F.struct("doc_id", "lang").alias("r"))
+    there = files.where("r.doc_id % 97 % 4 <> 3")  # every fourth file listed is missing
+    there.groupBy("name").agg(F.to_json(F.collect_list("r")).alias("value")).repartition(4).write.partitionBy("name").text(f"{path}-parts")
+    fs, to = S.fs_path(spark, path)
+    fs.mkdirs(to)
+    for s in fs.listStatus(S.fs_path(spark, f"{path}-parts")[1]):  # at most 97, laid out as a folder of files
+        name = s.getPath().getName()
+        if name.startswith("name="):
+            part = next(f.getPath() for f in fs.listStatus(s.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.rename(part, S.fs_path(spark, f"{path}/{name[5:]}")[1])
+    return S.small_files(spark, path, files.select("name"), "name", "doc_id long, lang string", 60).select("doc_id", "lang")
+
+
 query("s13_image_cells", "SELECT doc_id, CAST(unnest([0, 2]) AS INTEGER) AS pos FROM documents")(
     lambda spark, d: S.image_cells(docs(spark, d).select("doc_id", F.lit(b"a").alias("image"), F.lit(None).cast("binary").alias("image_1"), F.lit(b"b").alias("image_2")), "doc_id").select("doc_id", "pos"))
 query("s18_image_size", "SELECT doc_id, CAST(16 AS BIGINT) AS w, 256 + doc_id % 2 AS h FROM documents WHERE doc_id % 3 <> 0")(
     lambda spark, d: (lambda b: docs(spark, d).select("doc_id", *[x.alias(n) for n, x in zip("wh", S.image_size(b), strict=True)]).where("w is not null"))(
         F.unhex(F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("FFD8FFE000104A46")).otherwise(F.lit("89504E470D0A1A0A")), F.lit("0000000D49484452"), F.lit("00000010"), F.lpad(F.hex(256 + F.col("doc_id") % 2), 8, "0")))))
-query("s20_manifest", "SELECT source, lang, count(*) AS n FROM documents GROUP BY GROUPING SETS ((source, lang), (source))")(lambda spark, d: C.manifest(docs(spark, d), "source", "lang"))
+
+
+@query("s20_manifest", "WITH c AS (SELECT source AS corpus, lang AS task, CASE WHEN doc_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY ALL) SELECT *, CAST(sum(n) OVER (PARTITION BY corpus, split) AS BIGINT) AS total FROM c")
+def _s20(spark, d):
+    path = scratch(spark, "s20")
+    S.write_manifest(docs(spark, d).groupBy(F.col("source").alias("corpus"), F.col("lang").alias("task"), F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split")).agg(F.count("*").alias("n")), path)
+    m = spark.read.schema("corpus string, tasks array<string>, totals map<string,long>, per_task map<string,map<string,long>>").json(path)
+    return (m.select("corpus", "totals", F.explode("per_task").alias("task", "splits")).select("corpus", "task", "totals", F.explode("splits").alias("split", "n"))
+            .select("corpus", "task", "split", "n", F.col("totals")[F.col("split")].alias("total")))
+
+
 query("s21_base64", "SELECT doc_id, base64(encode(lang)) AS b, lang AS back FROM documents")(
     lambda spark, d: docs(spark, d).select("doc_id", S.base64_text(F.col("lang").cast("binary")).alias("b"), S.base64_bytes(S.base64_text(F.col("lang").cast("binary"))).cast("string").alias("back")))
 query("s19_markdown", "SELECT '| lang | n |' AS head, count(DISTINCT lang) AS n FROM documents")(
@@ -135,6 +163,25 @@ query("f6_valid_boxes", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber F
 query("f7_seeded_prefix", f"SELECT event_id FROM events ORDER BY {h42('event_id')}, event_id LIMIT 500")(lambda spark, d: table(spark, d, "events").orderBy(N.seeded(F.col("event_id")), "event_id").limit(500).select("event_id"))
 query("f8_keypoints", "SELECT vec_id, len(list_filter(range(1, 33), lambda i: embedding[i] >= 0 AND embedding[i + 32] >= 0)) AS n FROM embeddings WHERE len(list_filter(range(1, 33), lambda i: embedding[i] >= 0 AND embedding[i + 32] >= 0)) >= 4")(
     lambda spark, d: table(spark, d, "embeddings").select("vec_id", F.size(F.filter(F.zip_with(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), lambda a, b: (a >= 0) & (b >= 0)), lambda x: x)).cast("long").alias("n")).where("n >= 4"))
+_PTS = "list_transform(range(1, 6), lambda k: {'x': floor((CAST(embedding[2 * k] AS DOUBLE) + 0.3) * 1000), 'y': floor((CAST(embedding[2 * k + 1] AS DOUBLE) + 0.3) * 1000)})"
+query("f9_distractors", f"""WITH RECURSIVE p AS (SELECT vec_id, {_PTS} AS ps FROM embeddings), r AS (SELECT vec_id, ps, 1 AS i, [ps[1]] AS kept FROM p
+UNION ALL SELECT vec_id, ps, i + 1, CASE WHEN len(kept) <= 3 AND ps[i + 1].x BETWEEN 30 AND 570 AND ps[i + 1].y BETWEEN 30 AND 570 AND len(list_filter(kept, lambda k: sqrt((k.x - ps[i + 1].x) * (k.x - ps[i + 1].x) + (k.y - ps[i + 1].y) * (k.y - ps[i + 1].y)) < 80)) = 0 THEN list_append(kept, ps[i + 1]) ELSE kept END FROM r WHERE i < 5)
+SELECT vec_id, len(kept) - 1 AS n, coalesce(list_sum(list_transform(kept[2:], lambda k: k.x)), 0) AS xs FROM r WHERE i = 5""")(
+    lambda spark, d: (lambda pts: emb(spark, d).select("vec_id", pts.alias("ps")).select("vec_id", RC.apart(F.slice("ps", 2, 4), F.col("ps")[0], F.lit(600.0), F.lit(600.0), 30.0, 80.0).alias("k"))
+                      .select("vec_id", F.size("k").cast("long").alias("n"), F.aggregate("k", F.lit(0.0), lambda a, p: a + p["x"]).alias("xs")))(
+        F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.struct(F.floor((F.get("embedding", 2 * k - 1).cast("double") + 0.3) * 1000).cast("double").alias("x"), F.floor((F.get("embedding", 2 * k).cast("double") + 0.3) * 1000).cast("double").alias("y")))))
+_DRAW = lambda what, n, lo, hi: f"({lo} + CAST(floor(CAST(('0x' || substr(md5('{what}:' || p_partkey || ':' || {n}), 1, 8)) AS BIGINT) / 4294967296.0 * ({hi} - ({lo}) + 1)) AS BIGINT))"
+query("f10_patches", f"""WITH c AS (SELECT p_partkey, 410 + p_partkey % 300 AS iw, 200 + p_partkey % 170 AS ih, {_DRAW('h', 0, 170, 230)} AS h FROM part),
+v AS (SELECT *, {_DRAW('x', 0, 0, 'iw - 400')} AS x, {_DRAW('y', 0, 0, 'ih - h')} AS y, 60 AS pw, 40 AS ph FROM c WHERE iw >= 420 AND ih >= h + 20),
+t AS (SELECT *, x + 300 AS gx, y + h // 2 AS gy FROM v), s AS (SELECT t.*, n, {_DRAW('dx', 'n', 0, 'iw - pw')} AS dx, {_DRAW('dy', 'n', 0, 'ih - ph')} AS dy FROM t, range(50) AS r(n)),
+g AS (SELECT p_partkey, arg_min(dx, n) AS dx, arg_min(dy, n) AS dy FROM s WHERE dx < x + 400 AND x < dx + pw AND dy < y + h AND y < dy + ph AND NOT (dx < gx + pw AND gx < dx + pw AND dy < gy + ph AND gy < dy + ph)
+  AND sqrt((dx - gx) * (dx - gx) + (dy - gy) * (dy - gy)) >= 0.5 * least(400, h) GROUP BY 1)
+SELECT t.p_partkey, t.x, t.y, t.h, coalesce(g.dx, -1) AS dx, coalesce(g.dy, -1) AS dy FROM t LEFT JOIN g USING (p_partkey)""")(
+    lambda spark, d: (table(spark, d, "part").select("p_partkey", (410 + F.col("p_partkey") % 300).alias("iw"), (200 + F.col("p_partkey") % 170).alias("ih"))
+                      .withColumn("c", RC.canvas(F.col("p_partkey"), F.col("iw"), F.col("ih"))).where("c is not null")
+                      .withColumn("g", F.struct((F.col("c.x") + 300).alias("x"), (F.col("c.y") + F.floor(F.col("c.h") / 2)).alias("y"), F.lit(60).cast("long").alias("w"), F.lit(40).cast("long").alias("h")))
+                      .withColumn("o", RC.other_patch(F.col("p_partkey"), F.col("iw"), F.col("ih"), F.col("g"), F.col("c")))
+                      .select("p_partkey", "c.x", "c.y", "c.h", F.coalesce("o.x", F.lit(-1)).alias("dx"), F.coalesce("o.y", F.lit(-1)).alias("dy"))))
 query("f9_margin", "SELECT vec_id FROM embeddings WHERE embedding[1] BETWEEN -0.1 AND 0.1 AND sqrt(power(CAST(embedding[1] AS DOUBLE) - embedding[3], 2) + power(CAST(embedding[2] AS DOUBLE) - embedding[4], 2)) >= 0.15")(
     lambda spark, d: (lambda e: table(spark, d, "embeddings").where(e(0).between(-0.1, 0.1) & (F.sqrt(F.pow(e(0) - e(2), F.lit(2)) + F.pow(e(1) - e(3), F.lit(2))) >= 0.15)).select("vec_id"))(lambda i: F.col("embedding")[i].cast("double")))
 
@@ -289,7 +336,6 @@ query("w13_early_late", "WITH n AS (SELECT *, row_number() OVER (ORDER BY event_
     lambda spark, d: G.early_late(table(spark, d, "events"), "event_id", "value").select(F.round("delta", 6).alias("delta")))
 
 # ---- arithmetic -----------------------------------------------------------------------------
-emb = lambda spark, d: table(spark, d, "embeddings")
 query("p30_to_unit", "SELECT c_custkey, round(least(greatest((c_acctbal + 999) / 10999.0, 0), 1), 6) AS x FROM customer")(lambda spark, d: table(spark, d, "customer").select("c_custkey", F.round(N.to_unit(F.col("c_acctbal"), -999, 10000), 6).alias("x")))
 query("p31_majority", "SELECT c_custkey, CASE WHEN c_nationkey > 12 THEN 'A' WHEN c_nationkey < 12 THEN 'B' END AS v FROM customer")(lambda spark, d: table(spark, d, "customer").select("c_custkey", N.majority(F.col("c_nationkey"), F.lit(12)).alias("v")))
 query("p32_iou", "SELECT vec_id, vec_id % 20 < 10 AND vec_id % 7 < 5 AS hit, round(greatest(0, 10 - vec_id % 20) * greatest(0, 5 - vec_id % 7) / (100.0 - greatest(0, 10 - vec_id % 20) * greatest(0, 5 - vec_id % 7)), 6) AS iou FROM embeddings")(
@@ -308,6 +354,16 @@ def _p34(spark, d):
 
 query("p35_luminance", "SELECT vec_id, round(0.2126 * f(vec_id % 256) + 0.7152 * f(vec_id % 100) + 0.0722 * f(7), 6) AS l FROM embeddings".replace("f(vec_id % 256)", "pow((vec_id % 256 / 255.0 + 0.055) / 1.055, 2.4)").replace("f(vec_id % 100)", "CASE WHEN vec_id % 100 / 255.0 <= 0.04045 THEN vec_id % 100 / 255.0 / 12.92 ELSE pow((vec_id % 100 / 255.0 + 0.055) / 1.055, 2.4) END").replace("f(7)", "(7 / 255.0 / 12.92)").replace("pow((vec_id % 256", "CASE WHEN vec_id % 256 / 255.0 <= 0.04045 THEN vec_id % 256 / 255.0 / 12.92 ELSE pow((vec_id % 256", 1).replace("2.4) + 0.7152", "2.4) END + 0.7152", 1))(
     lambda spark, d: emb(spark, d).select("vec_id", F.round(N.luminance(F.col("vec_id") % 256, F.col("vec_id") % 100, F.lit(7)), 6).alias("l")))
+query("p35_disk_mean", """WITH d AS (SELECT vec_id, vec_id % 8 AS cx, vec_id // 8 % 8 AS cy, embedding FROM embeddings), c AS (SELECT vec_id, CAST(embedding[(y * 8 + x) + 1] AS DOUBLE) * 2 + 0.5 AS v FROM d, range(8) AS a(x), range(8) AS b(y) WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 4)
+SELECT vec_id, round(avg(v * v), 6) AS mean FROM c GROUP BY 1""")(
+    lambda spark, d: emb(spark, d).select("vec_id", F.round(RC.disk_mean(F.col("embedding"), 8, 8, F.col("vec_id") % 8, F.floor(F.col("vec_id") / 8) % 8, 2, lambda v: (v.cast("double") * 2 + 0.5) * (v.cast("double") * 2 + 0.5)), 6).alias("mean")))
+_TASKS = list(RC.QUESTIONS)
+_Q = lambda t: "'" + RC.QUESTIONS[t].replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+query("p22_questions", "SELECT doc_id, replace(CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN {_Q(t)}" for i, t in enumerate(_TASKS)) + " END, '{}', lang) AS question FROM documents")(
+    lambda spark, d: docs(spark, d).select("doc_id", RC.question(F.element_at(F.array(*map(F.lit, _TASKS)), (F.col("doc_id") % 9 + 1).cast("int")), F.col("lang")).alias("question")))
+query("p21_records", "SELECT doc_id, concat('{\"question\":\"Q ', lang, '\",\"ground_truth\":\"', CASE WHEN doc_id % 3 = 0 THEN '(B)' WHEN doc_id % 3 = 1 THEN '12' ELSE '(B)' END, '\",\"answer_type\":\"mcq\",\"choices\":\"(A) 3, (B) 5\",\"images\":[\"/i/', doc_id, '.png\"],\"dataset_name\":\"', source, '\",\"split\":\"train\"}') AS record FROM documents")(
+    lambda spark, d: docs(spark, d).select("doc_id", F.to_json(RC.record(F.concat(F.lit("Q "), "lang"), F.element_at(F.array(F.lit("B"), F.lit("12"), F.lit("(B)")), (F.col("doc_id") % 3 + 1).cast("int")), F.array(F.lit("(A) 3"), F.lit("(B) 5")),
+                                                                         F.concat(F.lit("/i/"), "doc_id", F.lit(".png")), F.col("source"), F.lit("train"))).alias("record")))
 query("p36_shuffled_choices", "WITH o AS (SELECT vec_id, list_transform(list_sort(list_transform(range(0, 4), lambda i: md5(concat(vec_id, ':', i)) || i)), lambda x: CAST(x[33:33] AS INTEGER)) AS \"order\" FROM embeddings) SELECT vec_id, \"order\", CAST(list_position(\"order\", CAST(vec_id % 4 AS INTEGER)) AS INTEGER) - 1 AS pos FROM o")(
     lambda spark, d: (lambda o: emb(spark, d).select("vec_id", o[0].alias("order"), o[1].alias("pos")))(N.shuffled_choices(F.col("vec_id"), 4, F.col("vec_id") % 4)))
 _LP = "list_transform(range(1, 33), lambda i: CAST(embedding[i] AS DOUBLE))", "list_transform(range(33, 65), lambda i: CAST(embedding[i] AS DOUBLE))"
@@ -398,13 +454,39 @@ def _s17(spark, d):
     return S.images(spark, path, "*.json").groupBy("label").agg((F.count("*") > 0).alias("found"))
 
 
-@query("s22_configuration", "SELECT 'response' AS name, CAST(0.27 AS DOUBLE) AS a1_correctness, CAST(0.4 AS DOUBLE) AS no_regression")
+@query("s22_configuration", "SELECT 'response' AS name, CAST(0.27 AS DOUBLE) AS a1_correctness, CAST(0.4 AS DOUBLE) AS no_regression, 42 AS seed")
 def _s22(spark, d):
     from millrace.operators.rewards import ResponseWeights
     path = scratch(spark, "s22")
-    w = ResponseWeights()
-    spark.createDataFrame([("response", w.a1_correctness, w.no_regression)], "name string, a1_correctness double, no_regression double").write.json(path)
-    return spark.read.schema("name string, a1_correctness double, no_regression double").json(path)
+    S.write_config(spark, {"name": "response", "weights": ResponseWeights(), "seed": 42}, path, ("name", "seed"))
+    c = S.read_config(spark, path)
+    return spark.createDataFrame([(c["name"], c["weights"]["a1_correctness"], c["weights"]["no_regression"], c["seed"])], "name string, a1_correctness double, no_regression double, seed int")
+
+
+@query("s15_fetch_once", "SELECT doc_id, 2 AS runs FROM documents")
+def _s15(spark, d):
+    path, runs = scratch(spark, "s15"), []
+
+    def fetch(to: str) -> None:
+        runs.append(to)
+        docs(spark, d).select("doc_id").write.mode("overwrite").parquet(f"{to}/rows")
+        if len(runs) == 1:
+            raise OSError("cut short")
+    try:
+        S.fetch_once(spark, path, fetch)
+    except OSError:
+        pass
+    S.fetch_once(spark, path, fetch)  # not marked, so again
+    S.fetch_once(spark, path, fetch)  # marked
+    return spark.read.parquet(f"{path}/rows").withColumn("runs", F.lit(len(runs)))
+
+
+@query("s16_rebuild_and_merge", "SELECT doc_id, lang AS task, lang IN ('de', 'fr') AS again FROM documents WHERE doc_id % 5 <> 0")
+def _s16(spark, d):
+    root, merged = scratch(spark, "s16"), scratch(spark, "s16-merged")
+    task = lambda t, again: docs(spark, d).where(F.col("lang") == t).select("doc_id", F.when(F.col("doc_id") % 5 == 0, "val").otherwise("train").alias("split"), F.lit(again).alias("again"))
+    S.rebuild(spark, root, {t: task(t, False) for t in ("de", "en", "es", "fr")}, merged)
+    return S.rebuild(spark, root, {t: task(t, True) for t in ("de", "fr")}, merged).select("doc_id", F.col("task").cast("string").alias("task"), "again")
 
 
 @query("s23_task_loop", "SELECT lang AS task, count(*) AS n FROM documents WHERE lang IN ('de', 'fr') GROUP BY 1")

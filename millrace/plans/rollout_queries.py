@@ -69,8 +69,15 @@ over_rollouts("p19_choices", lambda: {"x": T.choices_of(F.concat(F.lit("Pick:\n(
 over_rollouts("p20_image_path", lambda: {"x": T.image_path(F.lit(""), F.array(F.concat(F.lit("d/"), F.col("traj").cast("string"), F.lit(".png"))), "/base"), "y": T.image_path(F.lit("/abs.png"), F.array().cast("array<string>"), "/base")}, {"x": "concat('/base/d/', CAST(traj AS VARCHAR), '.png')", "y": "'/abs.png'"})
 over_rollouts("p21_record_truth", lambda: {"x": T.record_truth(T.extract(c.truth, F.lit("mcq"))), "question": T.clean_question(F.concat(F.lit(" <image> What? "), c.kind))}, {"x": f"regexp_replace({D.extract('ground_truth', chr(39) + 'mcq' + chr(39))}, '^([A-Za-z])$', '(\\1)')", "question": "concat('What? ', answer_type)"})
 over_rollouts("p22_question_template", lambda: {"x": F.format_string("How many %s are there in image %d?", F.col("dataset_name"), F.col("sample_index"))}, {"x": "printf('How many %s are there in image %d?', dataset_name, sample_index)"})
-over_rollouts("p23_prompts", lambda: {"x": T.refiner_prompt(F.lit("Q?"), c.a1, c.f1)[0]["content"], "n": F.size(T.with_completion(T.answer_prompt(F.lit("Q?")), c.a1)), "c": T.critic_prompt(F.lit("Q?"), c.a1, F.lit(""))[0]["content"]},
-              {"x": "concat('Question: Q?', chr(10), chr(10), 'Earlier answer: ', a1, chr(10), chr(10), 'Feedback: ', f1)", "n": "2", "c": "concat('Question: Q?', chr(10), chr(10), 'Answer: ', a1)"})
+_TEXT = lambda prompt, at=1: F.element_at(prompt, -1)["content"][at]["text"]
+_SAY = lambda name: "'" + T.INSTRUCTIONS[name] + "'"
+_NL = "chr(10) || chr(10)"
+_AGAIN = f"concat('Question: Q?', {_NL}, 'Your previous answer: ', a1, {_NL}, 'Feedback on your previous answer: ', f1, {_NL}, '{T.REFINE}'"
+over_rollouts("p23_prompts", lambda: {"first": _TEXT(T.answer_prompt(F.lit("Q?"))), "first_think": _TEXT(T.answer_prompt(F.lit("Q?"), "think")), "first_tag": _TEXT(T.answer_prompt(F.lit("Q?"), "tag")), "critic": _TEXT(T.critic_prompt(F.lit("Q?"), c.a1)),
+                                      "again": _TEXT(T.refiner_prompt(F.lit("Q?"), c.a1, c.f1)), "again_think": _TEXT(T.refiner_prompt(F.lit("Q?"), c.a1, c.f1, "think")), "again_tag": _TEXT(T.refiner_prompt(F.lit("Q?"), c.a1, c.f1, "tag")),
+                                      "done": _TEXT(T.with_completion(T.answer_prompt(F.lit("Q?")), c.a1), 0), "n": F.size(T.with_completion(T.answer_prompt(F.lit("Q?")), c.a1))},
+              {"first": "'Q?'", "first_think": f"concat('Q?', {_NL}, {_SAY('THINK_ANSWER_INSTRUCTION')})", "first_tag": f"concat('Q?', {_NL}, {_SAY('ANSWER_TAG_INSTRUCTION')})", "critic": f"concat('Question: Q?', chr(10), 'Candidate answer: ', a1, {_NL}, {_SAY('F1_VERIFIER_INSTRUCTION')})",
+               "again": _AGAIN + ")", "again_think": f"{_AGAIN}, ' ', {_SAY('THINK_ANSWER_INSTRUCTION')})", "again_tag": f"{_AGAIN}, ' ', {_SAY('ANSWER_TAG_INSTRUCTION')})", "done": "a1", "n": "2"})
 over_rollouts("p24_sample_hash", lambda: {"x": T.sample_hash(c.a1, F.col("dataset_name"))}, {"x": "substr(sha256(concat(a1, '|', dataset_name)), 1, 16)"})
 over_rollouts("p25_judge_score", lambda: {"x": T.judge_score(F.concat(F.lit("Score: "), (F.col("sample_index") % 14).cast("string")))}, {"x": "least(sample_index % 14, 10) / 10.0"})
 over_rollouts("p26_preview", lambda: {"x": T.preview(F.concat(F.lit("  "), F.repeat(c.a1, 20)), 64)}, {"x": f"substr({D.strip("repeat(a1, 20)")}, 1, 64)"})

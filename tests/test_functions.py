@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numbers as N, text as T
 from millrace.operators import corpus as C, dedup as X, groups as G, rewards as R
 from millrace.operators.verify import verify
+from millrace.sources import files as S
 
 
 def column(spark, values, f, kind="string"):
@@ -224,3 +225,24 @@ def test_positions_and_trends(spark):
     assert {p.w: p["mean"] for p in G.windowed_trend(df, "o", "x").collect()} == {w: 10 * w + 4.5 for w in range(10)}
     assert G.early_late(df, "o", "x").first().delta == pytest.approx(4.5 - 94.5)
     assert sorted(p.o for p in C.holdout_tail(df, "o", 0.03).where("is_val").collect()) == [97.0**2, 98.0**2, 99.0**2]
+
+
+def test_prompts_take_instructions_from_the_environment(spark, monkeypatch):
+    monkeypatch.setenv("ANSWER_TAG_INSTRUCTION", "  Say it. ")
+    monkeypatch.setenv("THINK_ANSWER_INSTRUCTION", " ")
+    r = one(spark, tag=T.answer_prompt(F.lit("Q"), "tag"), think=T.answer_prompt(F.lit("Q"), "think"))
+    assert r.tag[0].content[1].text == "Q\n\nSay it." and r.tag[0].content[0].type == "image" and r.think[0].content[1].text == "Q\n\n" + T.INSTRUCTIONS["THINK_ANSWER_INSTRUCTION"]
+
+
+def test_image_sizes(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\x00\x00\x00\rIHDR" + (3000).to_bytes(4, "big") + (20).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x10" + b"JFIF" + b"\x00" * 10 + b"\xff\xdb\x00\x05abc" + b"\xff\xc2\x00\x11\x08" + (600).to_bytes(2, "big") + (800).to_bytes(2, "big") + b"\x03rest"
+    df = spark.createDataFrame([(0, png), (1, jpeg), (2, b"\xff\xd8\xff\xe0\x00\x10"), (3, b"GIF89a"), (4, None), (5, b"")], "i int, b binary")
+    w, h = S.image_size(F.col("b"))
+    got = {r.i: (r.w, r.h, r.s and tuple(r.s), r.t and tuple(r.t)) for r in df.select("i", w.alias("w"), h.alias("h"), S.bounded_size(F.col("b")).alias("s"), S.bounded_size(F.col("b"), 120_000).alias("t")).collect()}
+    assert got[0] == (3000, 20, (1024, 6), (3000, 20)) and got[1] == (800, 600, (800, 600), (400, 300)) and all(got[i] == (None, None, None, None) for i in (2, 3, 4, 5))
+
+
+def test_configuration_is_checked(spark, tmp_path):
+    with pytest.raises(ValueError, match="seed"):
+        S.write_config(spark, {"name": "x", "seed": None}, f"file://{tmp_path}/c", ("name", "seed"))
