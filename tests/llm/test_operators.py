@@ -526,6 +526,32 @@ def test_url_filter(spark):
                    ("", "", None, "allow"), ("", "", None, "allow"), ("b.org", "/es/", "org/es/", "block"), ("org", "/es/", "org/es/", "block"), ("x.org", "", None, "allow"), ("a.com", "/EN/", None, "allow")]
 
 
+def test_url_filter_ways_agree(spark, monkeypatch):
+    """Sent and shuffled rules, many shapes, upper-case hosts, odd urls, clashing columns and no rows, against brute force."""
+    r = random.Random(6)
+    hosts, paths = ["com", "a.com", "b.a.com", "A.Com", "net", "x.y.net", "org"], ["/", "/en/", "/en/7", "/EN/", "/a/b/c", ""]
+    rules = [(r.choice(hosts), r.choice(paths), r.choice(["allow", "block"])) for _ in range(30)] + [(None, "/", "block"), ("com", None, "block"), ("com", "/", None)]
+    urls = [f"{r.choice(['http', 'https'])}://{r.choice(['', 'www.', 'q.a.'])}{r.choice(hosts)}{r.choice(paths)}{r.choice(['', 'x', '?/en/', '#/en/7'])}" for _ in range(300)] + [None, "", "a.com/en/", "http://" + "s." * 500 + "com/" + "p" * 20_000]
+    df = spark.createDataFrame([(i, u, "h", "p", "s", "d", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, path string, short string, digest string, row int").repartition(3)
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+
+    def want(u):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fit = [(len(h.lower() + p), v, h.lower() + p) for h, p, v in rules if h and p is not None and v and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+        best = max(fit, default=None)
+        return host, path, best and best[2], best[1] if best else "allow"
+
+    for most, shapes in ((100_000, 100), (100_000, 0), (0, 0)):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+        monkeypatch.setattr(url_filter, "SHAPES", shapes)
+        got = {x.page_id: tuple(x)[1:] for x in url_filter.judge(df, table).collect()}
+        assert got == {i: want(u) for i, u in enumerate(urls)}
+        assert url_filter.judge(df.where("false"), table).count() == 0
+    monkeypatch.undo()
+    assert {x.verdict for x in url_filter.judge(df, table.where("false")).collect()} == {"allow"}
+
+
 def test_lm_base_and_model(docs, none, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HOT", 5)  # most words take the shuffled way
     path = P.path("byte_bpe_50k.tiktoken")
