@@ -50,7 +50,7 @@ BLOCK = 1536
 BROADCAST_BYTES = 32 << 20
 #: Of a class's retained and listed values, so many of the smallest go with it into its groups. With fewer a pair is ruled out
 #: less often there, or found in more than one list; none is lost.
-SHOWN, TOLD = 64, 32
+SHOWN, TOLD = 48, 16
 
 
 def retained(n: int, percent: int) -> int:
@@ -255,8 +255,10 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     ship(docs.sparkSession)
     base = staged(spread(docs).mapInArrow(sketch_batches(percent), "row long, doc_id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, sketch array<long>"), "sketches")
     one = base.where("doc_id is not null and n_shingles > 0")
-    # a class is named by one of its rows, that with the smallest doc_id
-    reps = staged(one.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row", "sketch")).alias("r")).select(F.col("r.row").alias("cls"), "r.doc_id", *_CLASS, "r.sketch"), "classes")
+    # a class is named by one of its rows, that with the smallest doc_id; sketches stay where they are if the names fit in a broadcast
+    names = staged(one.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.row"), "names")
+    few = names.count() * 16 <= BROADCAST_BYTES
+    reps = staged(one.join(F.broadcast(names) if few else names, "row", "left_semi").select(F.col("row").alias("cls"), "doc_id", *_CLASS, "sketch"), "classes")
     entries = reps.select("cls", "n_shingles", F.explode("sketch").alias("v"))
     shared = staged(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     # rarest first; values that one class alone holds come before all others and need no list
@@ -292,7 +294,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
              .sortWithinPartitions("gid", "cls").mapInArrow(_group_links(percent), "a long, b long"))
     comp = components(edges)  # without the smallest node of each
     comp = staged(comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()), "components")
-    unstage(shared, listed, marked, counts, groups, need)
+    unstage(names, shared, listed, marked, counts, groups, need)
     named = comp.join(reps.select(F.col("cls").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     classes = (reps.select("cls", "doc_id", *_CLASS).join(comp.join(named, "component").select(F.col("node").alias("cls"), "component", "smallest"), "cls", "left")
                .select(*_CLASS, F.coalesce("component", "cls").alias("component"), F.coalesce("smallest", "doc_id").alias("component_id")))
