@@ -381,6 +381,29 @@ def test_binomial_bound(spark):
         assert got == pytest.approx(want if x <= n * 0.005 else 1.0, rel=1e-9)
 
 
+def test_packing_of_all_documents(spark):
+    """The query over its whole table: every id in one piece, sequences without gaps, little padding."""
+    encode = packing.plain_encoder(P.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = packing.op6_sequence_packing(spark, "/root/testdata/sf0.001").collect()
+    of, by = {}, {}
+    for r in got:
+        of.setdefault(r.doc_id, []).append(r)
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(of) == set(texts)
+    for i, pieces in of.items():
+        ids = np.array([*encode(texts[i] or ""), packing.END_ID], "<u4")
+        pieces.sort(key=lambda r: r.start)
+        assert [r.start for r in pieces] == [0, *np.cumsum([r.length for r in pieces])[:-1]] and sum(r.length for r in pieces) == len(ids) == pieces[0].doc_tokens
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in pieces)
+    for s in by.values():
+        s.sort()
+        assert [o for o, _ in s] == [0, *np.cumsum([n for _, n in s])[:-1]] and sum(n for _, n in s) <= 1024
+    total = sum(r.length for r in got)
+    padded = sum(n if n & (n - 1) == 0 else 1024 for n in (sum(x for _, x in s) for s in by.values()))
+    assert padded <= 1.03 * total + 1024
+
+
 def test_packing(docs, none):
     enc = packing.encoder(P.path("byte_bpe_50k.tiktoken"))
     got = packing.pack_documents(docs).collect()
@@ -413,14 +436,18 @@ def test_pack_histogram_is_tight():
     assert back == hist and sum(c for c, _ in patterns) <= 1.03 * total / 1024 + 1
 
 
-def test_json_and_rank_file_agree():
+def test_ids_are_those_of_the_tokenizer_at_its_defaults(spark):
+    """All documents of sf0.01, odd texts and random ones, the added token among them, with no setting of the tokenizer changed."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    enc = packing.encoder(P.path("byte_bpe_50k.tiktoken"))
-    for x in [t_ or "" for t_ in TEXTS] + ["<|endoftext|> a", "  \n\n x’s 12３ ½ 漢字 🙂"]:
-        assert t.encode(x, add_special_tokens=False).ids == enc.encode_ordinary(x)
+    encode = packing.plain_encoder(P.path("byte_bpe_50k.json"))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += [x or "" for x in TEXTS] + ["<|endoftext|> a", "a<|endoftext|>", "  \n\n x’s 12３ ½ 漢字 🙂"]
+    r = random.Random(12)
+    texts += ["".join(r.choice([" ", "\n", "\t", "a", "Z", "09", "'s", "t", "é", "½", "漢", "🙂", "_", "-", "<|", "|>", "<|endoftext|>", "endoftext"]) for _ in range(r.randrange(30))) for _ in range(3000)]
+    for x in texts:
+        assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
 
 
 def test_packing_knows_added_tokens(spark):
