@@ -151,11 +151,11 @@ def completion_length(ids: Column | None = None, whole: Column | None = None, pr
 
 def positions(df: DataFrame, order: str, out: str = "position", *ties: str) -> DataFrame:
     """The place from 0 of each row by a numeric column, without a global sort: rows are ranked within 65,536 equal ranges of
-    its values, and the ranges' counts, a table of that many rows, are summed up."""
+    its values, and the ranges' counts, a table of that many rows, are summed up. Nulls come first."""
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     if lo is None:
         return df.withColumn(out, F.lit(None).cast("long"))
-    part = F.floor((F.col(order) - lo) / F.lit(max(float(hi) - float(lo), 1e-300)) * 65535)
+    part = F.coalesce(F.floor((F.col(order) - lo) / F.lit(max(float(hi) - float(lo), 1e-300)) * 65535), F.lit(-1))
     d = df.withColumn("_p", part)
     counts = d.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
