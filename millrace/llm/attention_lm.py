@@ -85,11 +85,15 @@ class Counts:
         self.bucket = np.minimum(BUCKETS - 1, np.ceil(np.log2(self.c2 + 1))).astype(np.int8)
 
     def shares(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """P of ``c`` after ``b`` and, before that, ``a`` (-1: none) by each model, and the context's bucket. ``own``: 1 where the place was counted."""
+        """P of ``c`` after ``b`` and, before that, ``a`` (-1: none) by each model, and the context's bucket. ``own``: 1 where the place was counted.
+
+        The arrays run along texts: where there is an ``a``, it and ``b`` are ``b`` and ``c`` of the place before."""
         own = own.astype(f32)
         p1 = (np.maximum(self.ones[c] - own, 0) + f32(0.01)) / (np.maximum(f32(self.total) - own, 0) + f32(0.01 * self.vocab))
-        p2 = self._back(self.c2[self.t2.find(b * self.vocab + c)], self.ones[b], self.l2[b], self.d2[b], own, p1)
-        at = self.t2.find(a * self.vocab + b)  # none for a negative key
+        here = self.t2.find(b * self.vocab + c)
+        p2 = self._back(self.c2[here], self.ones[b], self.l2[b], self.d2[b], own, p1)
+        none = np.int32(len(self.c2) - 1)
+        at = np.where(a >= 0, np.concatenate(([none], here[:-1])), none)  # the pair before was looked up there
         p3 = self._back(self.c3[self.t3.find(at.astype(np.int64) * self.vocab + c)], self.c2[at], self.l3[at], self.d3[at], own, p2)
         return p1, p2, p3, self.bucket[at]
 
