@@ -259,6 +259,10 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     names = staged(one.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.row"), "names")
     few = names.count() * 16 <= BROADCAST_BYTES
     reps = staged(one.join(F.broadcast(names) if few else names, "row", "left_semi").select(F.col("row").alias("cls"), "doc_id", *_CLASS, "sketch"), "classes")
+    # sketches are dropped from disk as soon as no later step reads them
+    out = staged(base.drop("sketch"), "rows")
+    named = staged(reps.drop("sketch"), "named")
+    unstage(base, names)
     entries = reps.select("cls", "n_shingles", F.explode("sketch").alias("v"))
     shared = staged(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     # rarest first; values that one class alone holds come before all others and need no list
@@ -269,6 +273,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
               .select("cls", "n_shingles", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
     listed = staged(listed, "lists")
     marked = staged(may_match(reps.select("cls", "sketch"), listed, "cls").join(listed, "cls").select("cls", "n_shingles", F.slice("sketch", 1, SHOWN).alias("sketch"), F.slice(F.array_sort("vs"), 1, TOLD).alias("vs")), "marked")
+    unstage(reps, shared)
     lists = listed.select("cls", "n_shingles", F.explode("vs").alias("v"))
     counts = staged(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int")), "counts")
     # in a list, a class whose set is not nearly as large as that of any other has nobody to meet
@@ -285,7 +290,8 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     groups = (short.unionByName(long).join(marked, "cls").select("gid", "cls", "v", "n_shingles", "block", "sketch", "vs")
               .repartition("gid").sortWithinPartitions("gid", "cls"))
     groups = staged(groups.mapInArrow(_filter_groups(percent), "gid string, cls long, block int"), "groups")
-    need = staged(groups.select("cls").distinct().join(reps.select("cls", "doc_id", *_CLASS), "cls"), "wanted")
+    unstage(listed, marked, counts)
+    need = staged(groups.select("cls").distinct().join(named, "cls"), "wanted")
     sets = (may_match(docs.where("doc_id is not null").select("doc_id", "text"), need, "doc_id").join(need.select("doc_id").distinct(), "doc_id", "left_semi")
             .mapInArrow(set_batches, "doc_id long, n_shingles long, f1 long, f2 long, shingles array<long>").join(need, ["doc_id", *_CLASS]).select("cls", "shingles"))
     # sets travel once where the list of who meets whom is small enough to go to them
@@ -294,11 +300,10 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
              .sortWithinPartitions("gid", "cls").mapInArrow(_group_links(percent), "a long, b long"))
     comp = components(edges)  # without the smallest node of each
     comp = staged(comp.unionByName(comp.select(F.col("component").alias("node"), "component").distinct()), "components")
-    unstage(names, shared, listed, marked, counts, groups, need)
-    named = comp.join(reps.select(F.col("cls").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    classes = (reps.select("cls", "doc_id", *_CLASS).join(comp.join(named, "component").select(F.col("node").alias("cls"), "component", "smallest"), "cls", "left")
+    unstage(groups, need)
+    least = comp.join(named.select(F.col("cls").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    classes = (named.join(comp.join(least, "component").select(F.col("node").alias("cls"), "component", "smallest"), "cls", "left")
                .select(*_CLASS, F.coalesce("component", "cls").alias("component"), F.coalesce("smallest", "doc_id").alias("component_id")))
-    out = base.drop("sketch")
     alone = out.where("doc_id is null or n_shingles = 0").select("doc_id", "t1", "t2", "n_shingles", F.col("row").alias("component"), F.col("doc_id").alias("component_id"))
     return (out.where("doc_id is not null and n_shingles > 0").join(classes, list(_CLASS))
             .select("doc_id", "t1", "t2", "n_shingles", "component", "component_id").unionByName(alone))
