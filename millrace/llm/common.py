@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS, ARROW_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's default, made for narrow rows
         spark.conf.set(ARROW_ROWS, "1000")
+    if str(spark.conf.get(ARROW_BYTES)) == "67108864b":  # held several times over, on both sides, by every task
+        spark.conf.set(ARROW_BYTES, "8m")
     if getattr(sc, "_millrace_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
