@@ -119,8 +119,9 @@ def all_members_kept(pairs: DataFrame, key: str, members: list[str], kept: DataF
     return pairs.join(lost, key, "left_anti")
 
 
-def repair(df: DataFrame, source: DataFrame, path: str, value: str, split: Column, pattern: str = r"_(train|val|test)_(\d{5})\.png$") -> DataFrame:
+def repair(df: DataFrame, source: DataFrame, path: str, value: str, split: Column, pattern: str = r"_(train|val|test)_(\d{5,})\.png$") -> DataFrame:
     """Labels looked up by the number in a file name: adds ``fixed`` and ``status`` (same, updated, missing).
+    Numbers are padded to five digits, so those from 100,000 on have more.
     ``source``: split, idx, value."""
     s, i = F.regexp_extract(path, pattern, 1), F.regexp_extract(path, pattern, 2)
     keyed = df.withColumns({"_split": F.when(s == split, s), "_idx": F.when(i != "", i.cast("long"))})

@@ -141,6 +141,13 @@ def test_letters(spark):
     assert column(spark, [t for t, _ in LETTERS], T.mcq_letter) == [x for _, x in LETTERS]
 
 
+def test_repair_of_numbers_beyond_five_digits(spark):
+    df = spark.createDataFrame([(f"counting_train_{i:05d}.png", 1) for i in (7, 99_999, 100_000, 256_409, 12_345_678)] + [("counting_train_0007.png", 1)], "path string, value int")
+    source = spark.createDataFrame([("train", i, v) for i, v in ((7, 1), (99_999, 99), (100_000, 99), (256_409, 1), (0, 5), (12_345_678, 99), (45_678, 5))], "split string, idx long, value int")
+    got = [(p.status, p.fixed) for p in C.repair(df, source, "path", "value", F.lit("train")).orderBy(F.length("path"), "path").collect()]
+    assert got == [("missing", 1), ("same", 1), ("updated", 99), ("updated", 99), ("same", 1), ("updated", 99)]
+
+
 def test_signatures_and_images(spark):
     r = np.random.default_rng(3)
     base = [int(x) for x in r.integers(-(2**63), 2**63 - 1, 12)]
