@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, may_match, ship, spread, staged, unstage
+from .common import components, drop_shuffles, may_match, ship, spread, staged, unstage
 from .shingles import shingle_set
 
 #: Retained values that a linked pair shares for certain, where its sets are as large.
@@ -255,25 +255,38 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     ship(docs.sparkSession)
     base = staged(spread(docs).mapInArrow(sketch_batches(percent), "row long, doc_id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, sketch array<long>"), "sketches")
     one = base.where("doc_id is not null and n_shingles > 0")
-    # a class is named by one of its rows, that with the smallest doc_id; sketches stay where they are if the names fit in a broadcast
-    names = staged(one.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.row"), "names")
+    # a class is named by one of its rows, that with the smallest doc_id; sketches stay where they are if the names, a bit a row, fit in a broadcast
+    first = one.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.row")
+    names = staged(first.groupBy(F.shiftright("row", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(row & 63 as int)))").alias("bits")), "names")
     few = names.count() * 16 <= BROADCAST_BYTES
-    reps = staged(one.join(F.broadcast(names) if few else names, "row", "left_semi").select(F.col("row").alias("cls"), "doc_id", *_CLASS, "sketch"), "classes")
+    named_by = (one.withColumn("word", F.shiftright("row", 6)).join(F.broadcast(names) if few else names.hint("merge"), "word")
+                .where("shiftrightunsigned(bits, cast(row & 63 as int)) & 1 = 1"))
+    reps = staged(named_by.select(F.col("row").alias("cls"), "doc_id", *_CLASS, "sketch"), "classes")
     # sketches are dropped from disk as soon as no later step reads them
     out = staged(base.drop("sketch"), "rows")
     named = staged(reps.drop("sketch"), "named")
     unstage(base, names)
     entries = reps.select("cls", "n_shingles", F.explode("sketch").alias("v"))
     shared = staged(entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    drop_shuffles(docs.sparkSession)
     # rarest first; values that one class alone holds come before all others and need no list
-    listed = (entries.join(shared, "v").groupBy("cls", "n_shingles")
+    # written, so that shuffles by value and by class do not lie on disk at once
+    common = staged(entries.join(shared, "v").select("cls", "n_shingles", "df", "v"), "common")
+    unstage(shared)
+    drop_shuffles(docs.sparkSession)
+    listed = (common.groupBy("cls", "n_shingles")
               .agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
               .withColumn("left", F.size("vs") - left_out(F.col("n_shingles"), percent))
               .where("left > 0")
               .select("cls", "n_shingles", F.transform(F.slice("vs", F.lit(1), F.col("left").cast("int")), lambda e: e["v"]).alias("vs")))
     listed = staged(listed, "lists")
-    marked = staged(may_match(reps.select("cls", "sketch"), listed, "cls").join(listed, "cls").select("cls", "n_shingles", F.slice("sketch", 1, SHOWN).alias("sketch"), F.slice(F.array_sort("vs"), 1, TOLD).alias("vs")), "marked")
-    unstage(reps, shared)
+    unstage(common)
+    drop_shuffles(docs.sparkSession)
+    # no more than the beginnings of sketches travels
+    shown = may_match(reps.select("cls", F.slice("sketch", 1, SHOWN).alias("sketch")), listed, "cls")
+    marked = staged(shown.join(listed.select("cls", "n_shingles", F.slice(F.array_sort("vs"), 1, TOLD).alias("vs")), "cls").select("cls", "n_shingles", "sketch", "vs"), "marked")
+    unstage(reps)
+    drop_shuffles(docs.sparkSession)
     lists = listed.select("cls", "n_shingles", F.explode("vs").alias("v"))
     counts = staged(lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int")), "counts")
     # in a list, a class whose set is not nearly as large as that of any other has nobody to meet
@@ -291,6 +304,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
               .repartition("gid").sortWithinPartitions("gid", "cls"))
     groups = staged(groups.mapInArrow(_filter_groups(percent), "gid string, cls long, block int"), "groups")
     unstage(listed, marked, counts)
+    drop_shuffles(docs.sparkSession)
     need = staged(groups.select("cls").distinct().join(named, "cls"), "wanted")
     sets = (may_match(docs.where("doc_id is not null").select("doc_id", "text"), need, "doc_id").join(need.select("doc_id").distinct(), "doc_id", "left_semi")
             .mapInArrow(set_batches, "doc_id long, n_shingles long, f1 long, f2 long, shingles array<long>").join(need, ["doc_id", *_CLASS]).select("cls", "shingles"))

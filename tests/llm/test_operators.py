@@ -145,6 +145,26 @@ def test_near_dedup_of_all_documents(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, c if n else i, (c if n else i) == i)
 
 
+def test_near_dedup_moves_no_sketch_where_names_fit_as_bits(spark, monkeypatch):
+    base = spark.createDataFrame([(i, edited(text(100, i % 40), 2 * (i % 3), i)) for i in range(400)], "doc_id long, text string").repartition(3)
+    plans, old = {}, near_dedup.staged
+
+    def staged(df, name="stage", by=None):
+        out = old(df, name, by)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", staged)
+    plain = lambda: sorted(map(tuple, near_dedup.near_duplicates(base, percent=80).collect()))
+    want = plain()
+    # names of 173 classes and more would take 2,768 bytes at 16 each, as bits of 400 rows in 3 partitions about 9 x 16
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", 400)
+    assert plain() == want and "Exchange hashpartitioning" not in plans["classes"]
+    assert plans["marked"].index("Join") < plans["marked"].index("slice(sketch")  # cut before it travels
+    monkeypatch.setattr(near_dedup, "BROADCAST_BYTES", 0)
+    assert plain() == want and "Exchange hashpartitioning" in plans["classes"]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 99), (99, 100), (7, 7), (200, 1)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}
