@@ -16,11 +16,14 @@ the host share are template; slots are the content. A page whose host has no
 wrapper that fits is its own host: the wrapper of that page alone decides.
 
 Inference covers all pages. Each task aligns its own pages into partial wrappers,
-which are small; partial wrappers of a host meet in two steps, salted first, so
-that no host, however large, brings its pages into one task. Wrappers are
-broadcast up to BROADCAST_BYTES, beyond which pages and wrappers meet by a salted
-shuffle. A wrapper keeps at most MAX_ITEMS items: beyond, the rarest optional
-parts are forgotten, which steer the choice of the region least.
+and passes them on whole where it holds too much; partial wrappers of a host meet
+in two steps, salted first, so that no host, however large, brings its pages into
+one task. Nothing of a wrapper is forgotten, whatever its size: one task
+holds a host's whole wrapper at last. On how many pages a text is, is counted by a
+shuffle; of these counts, a host's last task gets those of texts that are template
+in some part of its pages, and no other text can be template in all. Plans are
+broadcast up to BROADCAST_BYTES, beyond which pages and plans meet by a salted
+shuffle.
 
 Defined results: null or empty html: empty text. Rows without a url, or without
 a host, are each their own host. Rows that repeat are extracted as rows of their
@@ -34,22 +37,23 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ship, spread, staged
+from .common import ship, spread, staged, unstage
 
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
 DEEPEST = 100
-MAX_ITEMS = 4000
 #: Share of a host's pages that template texts are on, and of the region's text that they may be at most.
 SHARED, AT_MOST = 0.8, 0.3
-#: Hosts and texts that a task holds before it passes them on.
-_HOSTS, _TEXTS = 2000, 20_000
+#: Hosts, items and texts that a task holds before it passes them on.
+_HOSTS, _ITEMS, _TEXTS = 2000, 100_000, 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|(</?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>|</?[A-Za-z][^>]*\Z|[^<]+|<""", re.S | re.I)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -182,13 +186,20 @@ def _flat(items: list) -> Iterator[str]:
             yield "#" if x[0] == "#" else x[1]
 
 
-def _like(x: list, y: list) -> bool:
-    """Do items of the same key stand for each other? Containers only if they hold like things."""
-    k = _key(x)
-    if not isinstance(k, str) or k == "#" or k.split(".")[0] in _ALIKE or "." in k:
-        return True
-    a, b = _within(x), _within(y)
-    return not a or not b or 2 * len(a & b) >= min(len(a), len(b))
+def _by_name(key: str) -> bool:
+    """Is an element found by its key, whatever it holds?"""
+    return "." in key or key in _MAIN or key in ("html", "body")
+
+
+def _kind(x: list, k: str | tuple) -> tuple:
+    """What decides which items of key ``k`` an item stands for: the key and, of containers, what they hold."""
+    return (k, None) if not isinstance(k, str) or k == "#" or k in _ALIKE or _by_name(k) else (k, frozenset(_within(x)))
+
+
+def _alike(x: tuple, y: tuple) -> bool:
+    """Do items of these kinds stand for each other? Containers only if they hold like things."""
+    a, b = x[1], y[1]
+    return x[0] == y[0] and (not a or not b or 2 * len(a & b) >= min(len(a), len(b)))
 
 
 def _merge(x: list, y: list) -> list:
@@ -217,13 +228,18 @@ def _group(items: list, times: list[list]) -> list:
 
 def fold(items: list) -> list:
     """Tandem repeats become repeated groups, shortest periods first, of any period."""
-    period = 1
+    period, keys = 1, []
     while 2 * period <= len(items):
-        keys = [_key(i) for i in items]
-        if period > 1 and len(set(keys)) == len(keys):
+        if not keys:
+            keys, number = [_key(i) for i in items], {}
+            times, run, longest = Counter(keys), 0, 0
+            for k in keys:  # repeats lie within runs of items whose keys occur again
+                run = run + 1 if times[k] > 1 else 0
+                longest = max(longest, run)
+            if longest > 1:
+                ks, kinds = np.array([number.setdefault(k, len(number)) for k in keys]), list(map(_kind, items, keys))
+        if 2 * period > longest:
             break
-        number: dict = {}
-        ks = np.array([number.setdefault(k, len(number)) for k in keys])
         same = ks[period:] == ks[:-period]
         if same.sum() < period:
             period += 1
@@ -232,7 +248,7 @@ def fold(items: list) -> list:
         run = np.convolve(same, np.ones(period, int), "valid") == period if period > 1 else same
         while i < len(items):
             j = i
-            while j < len(run) and run[j] and all(_like(a, b) for a, b in zip(items[i : i + period], items[j + period : j + 2 * period], strict=True)) and not (period == 1 and keys[i] == "#"):
+            while j < len(run) and run[j] and all(map(_alike, kinds[i : i + period], kinds[j + period : j + 2 * period])) and not (period == 1 and keys[i] == "#"):
                 j += period
             if j > i:
                 out.append(_group(items[i : i + period], [items[at : at + period] for at in range(i + period, j + period, period)]))
@@ -240,17 +256,19 @@ def fold(items: list) -> list:
             else:
                 out.append(items[i])
                 i += 1
-        items = out
-        if not changed:
+        if changed:
+            items, keys = out, []
+        else:
             period += 1
     return items
 
 
 def _rounds(items: list, others: list) -> list:
     """``items`` with runs that a repeated group of ``others`` describes made into such groups."""
+    has = set(map(_key, items))
     for o in others:
         body = o[1] if o[0] == "+" else o[1][0][1] if o[0] == "?" and o[1][0][0] == "+" else []
-        if len(body) < 2:
+        if len(body) < 2 or _key(body[0]) not in has:
             continue
         want, k, out, i = tuple(map(_key, body)), len(body), [], 0
         while i < len(items):
@@ -260,7 +278,9 @@ def _rounds(items: list, others: list) -> list:
             else:
                 out.append(items[i])
                 i += 1
-        items = fold(out) if len(out) < len(items) else items
+        if len(out) < len(items):
+            items = fold(out)
+            has = set(map(_key, items))
     return items
 
 
@@ -270,14 +290,14 @@ def align(a: list, b: list) -> list:
         b = _rounds(b, a)
     if any(x[0] in "+?" for x in b):
         a = _rounds(a, b)
-    ka, kb = list(map(_key, a)), list(map(_key, b))
-    fits = lambda i, j: ka[i] == kb[j] and _like(a[i], b[j])
+    ka, kb = ([_kind(x, _key(x)) for x in y] for y in (a, b))
+    fits = lambda i, j: _alike(ka[i], kb[j])
     i, n, m = 0, len(a), len(b)
     while i < min(n, m) and fits(i, i):
         i += 1
     while n > i and m > i and fits(n - 1, m - 1):
         n, m = n - 1, m - 1
-    pairs = [(k, k) for k in range(i)] + _common(ka, kb, fits, i, n, i, m) + [(k, m + k - n) for k in range(n, len(a))]
+    pairs = [(k, k) for k in range(i)] + [(p + i, q + i) for p, q in _common(ka[i:n], kb[i:m])] + [(k, m + k - n) for k in range(n, len(a))]
     out, at, to, loose = [], 0, 0, False
     for p, q in [*pairs, (len(a), len(b))]:
         for rest in (a[at:p], b[to:q]):
@@ -290,37 +310,58 @@ def align(a: list, b: list) -> list:
     return fold(out) if loose else out
 
 
-def _common(ka: list, kb: list, fits, i: int, n: int, j: int, m: int) -> list[tuple[int, int]]:
-    """A longest common subsequence of ``ka[i:n]`` and ``kb[j:m]``; of very long lists, one that is common but maybe not the longest."""
-    if i >= n or j >= m:
+def _common(ka: list[tuple], kb: list[tuple]) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists of kinds, as pairs of places."""
+    of: dict = {}
+    for k in set(kb):
+        of.setdefault(k[0], []).append(k)
+    stands = {k: [x for x in of.get(k[0], ()) if _alike(k, x)] for k in set(ka)}
+    met = {x for xs in stands.values() for x in xs}
+    ps, qs = [p for p, k in enumerate(ka) if stands[k]], [q for q, k in enumerate(kb) if k in met]
+    if not ps:
         return []
-    if (n - i) * (m - j) > 1_000_000:
-        place: dict = {}
-        for q in range(m - 1, j - 1, -1):
-            place.setdefault(kb[q], []).append(q)
-        out, low = [], j
-        for p in range(i, n):
-            of = place.get(ka[p], [])
-            while of and of[-1] < low:
-                of.pop()
-            if of and of[-1] - low <= 8 and fits(p, of[-1]):
-                out.append((p, of[-1]))
-                low = of.pop() + 1
-        return out
-    best = [[0] * (m - j + 1) for _ in range(n - i + 1)]
-    for p in range(n - 1, i - 1, -1):
-        row, below = best[p - i], best[p - i + 1]
-        for q in range(m - 1, j - 1, -1):
-            row[q - j] = below[q - j + 1] + 1 if fits(p, q) else max(below[q - j], row[q - j + 1])
-    out, p, q = [], i, j
-    while p < n and q < m:
-        if fits(p, q):
-            out.append((p, q))
-            p, q = p + 1, q + 1
-        elif best[p - i + 1][q - j] >= best[p - i][q - j + 1]:
+    # bit r stands for qs[-1 - r]
+    width, bits = len(qs), dict.fromkeys(met, 0)
+    places: dict = {}
+    for r, q in enumerate(reversed(qs)):
+        places.setdefault(kb[q], []).append(r)
+    for k, rs in places.items():
+        raw = bytearray(width // 8 + 1)
+        for r in rs:
+            raw[r >> 3] |= 1 << (r & 7)
+        bits[k] = int.from_bytes(raw, "little")
+    mask = {}
+    for k in {ka[p] for p in ps}:
+        mask[k] = 0
+        for x in stands[k]:
+            mask[k] |= bits[x]
+    # of each suffix of ps: bit r is 0 where the longest grows with qs[-1 - r]; every step-th is kept, those between are found again
+    full, step = (1 << width) - 1, isqrt(len(ps)) + 1
+
+    def up(v: int, p: int) -> int:
+        u = v & mask[ka[ps[p]]]
+        return ((v + u) | (v - u)) & full
+
+    kept, v = {}, full
+    for p in range(len(ps), -1, -1):
+        v = up(v, p) if p < len(ps) else v
+        if p % step == 0 or p == len(ps):
+            kept[p] = v
+    left = width - v.bit_count()
+    out, p, r, rows = [], 0, width - 1, {}
+    while left:
+        if p + 1 not in rows:
+            end = min(len(ps), (p // step + 1) * step)
+            rows = {end: kept[end]}
+            for k in range(end - 1, p - 1, -1):
+                rows[k] = up(rows[k + 1], k)
+        if mask[ka[ps[p]]] >> r & 1:
+            out.append((ps[p], qs[width - 1 - r]))
+            p, r, left = p + 1, r - 1, left - 1
+        elif (~rows[p + 1] & ((1 << (r + 1)) - 1)).bit_count() == left:
             p += 1
         else:
-            q += 1
+            r -= 1
     return out
 
 
@@ -328,21 +369,6 @@ def _size(items: list) -> int:
     return sum(1 + (0 if x[0] == "#" else _size(x[2] if x[0] == "<" else x[1])) for x in items)
 
 
-def _seen(x: list) -> int:
-    while x[0] in "+?":
-        x = x[1][0]
-    return x[2] if x[0] == "#" else x[3]
-
-
-def _without(items: list, least: int) -> list:
-    out = []
-    for x in items:
-        if x[0] == "?" and _seen(x) < least:
-            continue
-        out.append(x if x[0] == "#" else ["<", x[1], _without(x[2], least), *x[3:]] if x[0] == "<" else [x[0], _without(x[1], least) or x[1]])
-    return out
-
-
 class Wrapper:
     """The wrapper of a host's pages: items, number of pages, and on how many each text is."""
 
@@ -354,21 +380,24 @@ class Wrapper:
         self.pages += pages
         for t, n in texts.items():
             self.texts[t] = self.texts.get(t, 0) + n
-        if len(self.texts) > _TEXTS:
-            self.prune()
-        least = 2
-        while _size(self.items) > MAX_ITEMS and least <= 2 * self.pages:
-            self.items, least = _without(self.items, least), 2 * least
-
-    def prune(self) -> None:
-        """Forgets texts that are on less than half of enough pages."""
-        if self.pages >= 5:
-            self.texts = {t: n for t, n in self.texts.items() if 2 * n >= self.pages}
 
     def page(self, root: Node) -> None:
         self.add(items_of(root), 1, dict.fromkeys(_texts(root), 1))
 
 
+def put(held: list[Wrapper], w: Wrapper | None) -> None:
+    """Adds a wrapper to a list of wrappers, in which those of no more pages meet it, so that each meets others a logarithm of times; none: all meet."""
+    if w is None:
+        w = held.pop()
+        while held:
+            held[-1].add(w.items, w.pages, w.texts)
+            w = held.pop()
+    while held and held[-1].pages <= w.pages:
+        held[-1].add(w.items, w.pages, w.texts)
+        w = held.pop()
+    held.append(w)
+
+
 def _texts(node: Node) -> Iterator[str]:
     for c in node.children:
         if isinstance(c, Node):
@@ -446,7 +475,7 @@ def decide(w: Wrapper) -> dict:
             best = max(named, key=lambda x: weigh[id(x)], default=None)
             if best is None:
                 break
-        region.append([best[1], sorted(_within(best))])
+        region.append([best[1], [] if _by_name(best[1]) else sorted(_within(best))])
         items = best[2]
         if best[1] in _MAIN:
             break
@@ -473,7 +502,7 @@ def _find(node: Node, region: list) -> list[Node]:
     for c in node.children:
         if isinstance(c, Node) and c.key == key:
             has = {x.key if isinstance(x, Node) else "#" for x in c.children if isinstance(x, Node) or x.strip()}
-            if "." in key or key in _MAIN or key in ("html", "body") or not has or 2 * len(has.intersection(within)) >= min(len(has), len(within)):
+            if _by_name(key) or not has or 2 * len(has.intersection(within)) >= min(len(has), len(within)):
                 out += _find(c, region[1:])
     return out
 
@@ -547,51 +576,83 @@ def extract(page: str | None, how: dict | None = None) -> str:
 
 # ---- distribution ------------------------------------------------------------
 
-_PARTIAL = "host string, salt int, pages long, wrapper string"
-
-
-def _rows(ws: dict[str, Wrapper], salt: int) -> pa.RecordBatch:
-    for w in ws.values():
-        w.prune()
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(ws), pa.string()), pa.array([salt] * len(ws), pa.int32()), pa.array([w.pages for w in ws.values()], pa.int64()),
-         pa.array([json.dumps([w.items, w.texts], ensure_ascii=False) for w in ws.values()], pa.string())], ["host", "salt", "pages", "wrapper"])
+_PARTIAL = "host string, salt int, pages long, wrapper string, texts array<struct<text: string, n: long>>"
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's pages: a wrapper per host."""
+    """This task's pages: wrappers of hosts and, with the number of pages they are from, counts of their texts."""
     from pyspark import TaskContext
 
-    salt, held = TaskContext.get().partitionId() % SALTS, {}
+    salt, names = TaskContext.get().partitionId() % SALTS, ["host", "salt", "pages", "wrapper", "texts"]
+    held: dict[str, Wrapper] = {}
+    texts: dict[str, tuple[list[int], dict[str, int]]] = {}
+    n_items, n_texts, full = 0, 0, False
+
+    def rows(hosts: list[str], pages: list[int], wrappers: list | None, counts: list[dict[str, int]] | None) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(hosts), 64):
+            h = hosts[s : s + 64]
+            w = [json.dumps(x.items, ensure_ascii=False) for x in wrappers[s : s + 64]] if wrappers else [None] * len(h)
+            c = [[{"text": t, "n": n} for t, n in x.items()] for x in counts[s : s + 64]] if counts else [None] * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array([salt] * len(h), pa.int32()), pa.array(pages[s : s + 64], pa.int64()), pa.array(w, pa.string()),
+                                              pa.array(c, pa.list_(pa.struct([("text", pa.string()), ("n", pa.int64())])))], names)
+
+    def wrappers() -> Iterator[pa.RecordBatch]:
+        yield from rows(list(held), [w.pages for w in held.values()], list(held.values()), None)
+
+    def counts() -> Iterator[pa.RecordBatch]:
+        yield from rows(list(texts), [n[0] for n, _ in texts.values()], None, [c for _, c in texts.values()])
+
     for b in batches:
         for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            held.setdefault(host, Wrapper()).page(tree(page))
-        if len(held) > _HOSTS:
-            yield _rows(held, salt)
-            held = {}
-    yield _rows(held, salt)
+            root = tree(page)
+            items = items_of(root)
+            n_items += _size(items)
+            held.setdefault(host, Wrapper()).add(items, 1, {})
+            n, of = texts.setdefault(host, ([0], {}))
+            n[0] += 1
+            n_texts -= len(of)
+            for t in dict.fromkeys(_texts(root)):
+                of[t] = of.get(t, 0) + 1
+            n_texts += len(of)
+            if n_items > _ITEMS:  # as if pages shared none
+                n_items = sum(_size(w.items) for w in held.values())
+                full = 2 * n_items > _ITEMS
+            if full or len(held) > _HOSTS:
+                yield from wrappers()
+                held, n_items, full = {}, 0, False
+            if n_texts > _TEXTS or len(texts) > _HOSTS:
+                yield from counts()
+                texts, n_texts = {}, 0
+    yield from wrappers()
+    yield from counts()
 
 
 def _join(last: bool):
     """Partial wrappers sorted by host: one per host, and where it is the last step, what it decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, w, salt = None, Wrapper(), 0
+        host, held, texts, salt = None, [], {}, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            if host is not None:
-                if not last:
-                    yield _rows({host: w}, salt)
-                elif w.pages > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(decide(w), ensure_ascii=False)])], ["host", "plan"])
+            if host is None:
+                return
+            put(held, None)
+            w = held[0]
+            if not last:
+                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([salt], pa.int32()), pa.array([w.pages]), pa.array([json.dumps(w.items, ensure_ascii=False)])], ["host", "salt", "pages", "wrapper"])
+            elif w.pages > 1:
+                w.texts = texts
+                yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(decide(w), ensure_ascii=False)])], ["host", "plan"])
 
         for b in batches:
-            for h, s, n, body in zip(*(b.column(c).to_pylist() for c in ("host", "salt", "pages", "wrapper")), strict=True):
-                if h != host:
+            for h, s, n, body, text in zip(*(b.column(c).to_pylist() for c in ("host", "salt", "pages", "wrapper", "text")), strict=True):
+                if (h, s) != (host, salt) if not last else h != host:
                     yield from out()
-                    host, w, salt = h, Wrapper(), s
-                items, texts = json.loads(body)
-                w.add(items, n, texts)
+                    host, held, texts, salt = h, [], {}, s
+                if text is None:
+                    put(held, Wrapper(json.loads(body), n))
+                else:
+                    texts[text] = n
         yield from out()
 
     return run
@@ -614,9 +675,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host and plan of every host with two pages or more. ``pages``: host, html."""
-    part = pages.where("host <> '' and length(html) > 0").select("host", "html").mapInArrow(_partial, _PARTIAL)
-    part = part.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(_join(False), _PARTIAL)
-    return part.repartition("host").sortWithinPartitions("host").mapInArrow(_join(True), "host string, plan string")
+    part = staged(pages.where("host <> '' and length(html) > 0").select("host", "html").mapInArrow(_partial, _PARTIAL), "partial")
+    none = F.lit(None)
+    whole = part.where("wrapper IS NOT NULL").select("host", "salt", "pages", "wrapper", none.cast("string").alias("text"))
+    order = ["host", "salt", "pages", "wrapper"]
+    whole = whole.repartition("host", "salt").sortWithinPartitions(*order).mapInArrow(_join(False), "host string, salt int, pages long, wrapper string")
+    # what is on that share of all pages is on it in some part of them
+    texts = (part.select("host", "pages", F.inline("texts")).groupBy("host", "text")
+             .agg(F.sum("n").alias("pages"), F.max(F.col("n") >= SHARED * F.col("pages") - 0.001).alias("often")).where("often"))
+    both = whole.select(*order, none.cast("string").alias("text")).unionByName(texts.select("host", F.lit(SALTS).alias("salt"), "pages", none.cast("string").alias("wrapper"), "text"))
+    plans = staged(both.repartition("host").sortWithinPartitions(*order).mapInArrow(_join(True), "host string, plan string"), "wrappers")
+    unstage(part)
+    return plans
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -624,7 +694,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     ship(pages.sparkSession)
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     pages = spread(pages).withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit(""))))
-    plans = staged(wrappers(pages), "wrappers")
+    plans = wrappers(pages)
     size = plans.agg(F.coalesce(F.sum(F.length("plan") + F.length("host") + 64), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         both = pages.join(F.broadcast(plans), "host", "left")
