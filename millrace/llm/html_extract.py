@@ -192,14 +192,16 @@ def _by_name(key: str) -> bool:
 
 
 def _kind(x: list, k: str | tuple) -> tuple:
-    """What decides which items of key ``k`` an item stands for: the key and, of containers, what they hold."""
-    return (k, None) if not isinstance(k, str) or k == "#" or k in _ALIKE or _by_name(k) else (k, frozenset(_within(x)))
+    """What decides which items of key ``k`` an item stands for: the key and, of containers, what they hold and how much of it always."""
+    while x[0] in "+?":
+        x = x[1][0]
+    return (k, None, 0) if not isinstance(k, str) or k == "#" or k in _ALIKE or _by_name(k) else (k, frozenset(_within(x)), len(set(_flat([y for y in x[2] if y[0] != "?"]))))
 
 
 def _alike(x: tuple, y: tuple) -> bool:
-    """Do items of these kinds stand for each other? Containers only if they hold like things."""
+    """Do items of these kinds stand for each other? Containers only if they hold like things; rare parts tell none apart."""
     a, b = x[1], y[1]
-    return x[0] == y[0] and (not a or not b or 2 * len(a & b) >= min(len(a), len(b)))
+    return x[0] == y[0] and (not a or not b or 2 * len(a & b) >= max(1, min(x[2], y[2])))
 
 
 def _merge(x: list, y: list) -> list:

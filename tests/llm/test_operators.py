@@ -280,6 +280,19 @@ def test_wrapper_forgets_nothing(spark, monkeypatch):
     split = lambda rows: spark.sparkContext.parallelize(rows, 1)
     for pages in (split(some).union(split(rest)), split(some + rest)):
         assert {r.text for r in html_extract.main_text(spark.createDataFrame(pages, schema)).collect()} == {f"text {i} of its own, which is longer than the notice" for i in range(50)}
+    # nor does an element of no name fall apart where partial wrappers of rare parts meet
+    pages = [f"<div><p>article {i} is here</p><div class={name(i)}>part {i}</div><div class=box><i>page {i}</i></div></div><div id=foot><b>x{i}</b></div>" for i in range(40)]
+    held: list = []
+    for at in (0, 20):
+        w = html_extract.Wrapper()
+        for p in pages[at : at + 20]:
+            w.page(html_extract.tree(p))
+        html_extract.put(held, w)
+    html_extract.put(held, None)
+    whole = html_extract.Wrapper()
+    for p in pages:
+        whole.page(html_extract.tree(p))
+    assert html_extract.decide(held[0])["region"] == html_extract.decide(whole)["region"] != []
     # what a task holds decides nothing
     monkeypatch.setattr(html_extract, "_ITEMS", 40)
     assert {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows[:50], schema)).collect()} == {i: got[i] for i in range(50)}
@@ -288,7 +301,7 @@ def test_wrapper_forgets_nothing(spark, monkeypatch):
 def test_common_is_longest():
     rng = np.random.default_rng(3)
     for n, m in [(0, 5), (5, 0), *rng.integers(1, 30, (60, 2))]:
-        a, b = ([(x, None) if x < "f" else ("div", frozenset(rng.choice(list("uvwxyz"), rng.integers(0, 3)))) for x in rng.choice(list("abcdefg"), k)] for k in (n, m))
+        a, b = ([(x, None, 0) if x < "f" else ("div", frozenset(rng.choice(list("uvwxyz"), rng.integers(0, 3))), 2) for x in rng.choice(list("abcdefg"), k)] for k in (n, m))
         best = np.zeros((n + 1, m + 1), int)
         for p, q in itertools.product(range(n), range(m)):
             best[p + 1, q + 1] = best[p, q] + 1 if html_extract._alike(a[p], b[q]) else max(best[p, q + 1], best[p + 1, q])
@@ -296,7 +309,7 @@ def test_common_is_longest():
         assert len(got) == best[n, m] and all(html_extract._alike(a[p], b[q]) for p, q in got)
         assert all(p < r and q < s for (p, q), (r, s) in itertools.pairwise(got))
     # beyond a million pairs of items, too: a far match was left out there
-    a, b = ([(x, None) for x in xs] for xs in ([*range(1200)], [*range(2000, 2020), *range(1200)]))
+    a, b = ([(x, None, 0) for x in xs] for xs in ([*range(1200)], [*range(2000, 2020), *range(1200)]))
     assert html_extract._common(a, b) == [(k, k + 20) for k in range(1200)]
 
 
